@@ -13,17 +13,17 @@ LATE_NIGHT_FROM_HOUR = 2
 
 
 def utc_timestamp(text: Column) -> Column:
-    """Parse ISO text with or without a zone as UTC and drop the zone; NULL when unparsable."""
-    as_utc = F.to_utc_timestamp(F.try_to_timestamp(text), F.current_timezone())
-    return as_utc.cast("timestamp_ntz")
+    """Parse ISO text with or without a zone as UTC and drop the zone; NULL when unparsable.
+
+    Relies on ``spark.sql.session.timeZone=UTC``, which ``session.build_session`` sets.
+    """
+    return F.try_to_timestamp(text).cast("timestamp_ntz")
 
 
 def collection_period(month: Column) -> Column:
     """Label of the collection window of a month."""
-    expr = F.when(F.lit(False), F.lit(OTHER_PERIOD))
-    for number, period in PERIOD_OF_MONTH.items():
-        expr = expr.when(month == number, F.lit(period))
-    return expr.otherwise(F.lit(OTHER_PERIOD))
+    labels = [F.when(month == number, period) for number, period in PERIOD_OF_MONTH.items()]
+    return F.coalesce(*labels, F.lit(OTHER_PERIOD))
 
 
 def day_of_week(day: Column) -> Column:
