@@ -69,7 +69,7 @@ def stage(df: DataFrame, label: str, partition_by: list[str] | None = None) -> D
 def input_bytes(df: DataFrame) -> int | None:
     """Catalyst's size estimate of ``df``, or None where the session does not expose it."""
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     except AttributeError:
         return None
 
