@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chargeweave.functions.measures import MISSING_SENTINEL
-from chargeweave.schemas import CHARGER, ENERGY, SPLIT, STATION
+from chargeweave.operators.order_stats import quantiles
+from chargeweave.schemas import CHARGER, SPLIT, STATION
 
 SIGNED_COLUMNS = ("hour_sin", "hour_cos")
 
@@ -103,8 +104,10 @@ def target_by_split(df: DataFrame, target: str) -> DataFrame:
     return df.groupBy(SPLIT).agg(F.avg(target).alias("mean_target"))
 
 
-def energy_summary(df: DataFrame) -> DataFrame:
-    return describe(df, [ENERGY])
+def target_report(df: DataFrame, target: str, method: str = "auto") -> DataFrame:
+    """Description of a target column with its exact median."""
+    median = quantiles(df, [target], 0.5, method)[target]
+    return describe(df, [target]).withColumn("median", F.lit(median))
 
 
 def inspect(df: DataFrame, name: str) -> DataFrame:

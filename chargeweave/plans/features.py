@@ -31,6 +31,7 @@ from chargeweave.schemas import (
     STATION,
     TS,
 )
+from chargeweave.session import stage
 
 # Columns derived from the energy target, and statistics over future rows.
 LEAKED = ["estimated_capacity_wh", "leftover_energy_wh", "power_to_energy_ratio"]
@@ -88,20 +89,31 @@ def congestion_features(
     unbroken_rolling: bool = False,
     partition_by_period: bool = False,
     every: str | None = None,
+    staged: bool = True,
 ) -> DataFrame:
-    """Station snapshots with lags; incomplete rows dropped; periods other than 3 stay in train."""
+    """Station snapshots with lags; incomplete rows dropped; periods other than 3 stay in train.
+
+    The lagged snapshots are staged: finding the cuts and labelling then only scan them.
+    """
     snapshots = agg.station_snapshots(cleaned, every)
     if unbroken_rolling:
         lagged = lag_features_unbroken(snapshots)
     else:
         lagged = lag_features(snapshots, partition_by_period)
     complete = drop_incomplete(lagged)
+    if staged:
+        complete = stage(complete, "complete_snapshots")
     return period_time_split(complete, [STATION], other_periods="train").select(*CONGESTION_FEATURES)
 
 
-def demand_features(cleaned: DataFrame, every: str | None = None) -> DataFrame:
+def demand_features(
+    cleaned: DataFrame, every: str | None = None, staged: bool = True
+) -> DataFrame:
     """Station demand snapshots with train-only mean and peak demand."""
-    labelled = period_time_split(agg.demand_snapshots(cleaned, every), [STATION])
+    snapshots = agg.demand_snapshots(cleaned, every)
+    if staged:
+        snapshots = stage(snapshots, "demand_snapshots")
+    labelled = period_time_split(snapshots, [STATION])
     stats = agg.station_demand_stats(agg.train_rows(labelled))
     return agg.attach(labelled, stats, STATION).select(*DEMAND_FEATURES)
 
