@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -112,23 +114,23 @@ def target_report(df: DataFrame, target: str, method: str = "auto") -> DataFrame
 
 def inspect(df: DataFrame, name: str) -> DataFrame:
     """Whole quality report of a table as (table, check, item, value) rows."""
-    shaped = shape(df).select(
-        F.inline(
-            F.array(
-                F.struct(F.lit("shape").alias("check"), F.lit("rows").alias("item"), F.col("rows").alias("value")),
-                F.struct(F.lit("shape"), F.lit("columns"), F.col("columns").cast("bigint")),
-            )
+
+    def part(report: DataFrame, check: str, item: Column, value: str) -> DataFrame:
+        return report.select(
+            F.lit(name).alias("table"),
+            F.lit(check).alias("check"),
+            item.alias("item"),
+            F.col(value).cast("bigint").alias("value"),
         )
-    )
+
+    counts = shape(df)
     parts = [
-        shaped,
-        null_report(df).select(F.lit("nulls").alias("check"), F.col("column").alias("item"), F.col("nulls").alias("value")),
-        negative_report(df).select(F.lit("negatives"), "column", "negatives"),
-        duplicate_count(df).select(F.lit("duplicates"), F.lit("rows"), "duplicates"),
+        part(counts, "shape", F.lit("rows"), "rows"),
+        part(counts, "shape", F.lit("columns"), "columns"),
+        part(null_report(df), "nulls", F.col("column"), "nulls"),
+        part(negative_report(df), "negatives", F.col("column"), "negatives"),
+        part(duplicate_count(df), "duplicates", F.lit("rows"), "duplicates"),
     ]
     if SPLIT in df.columns:
-        parts.append(value_counts(df, SPLIT).select(F.lit("split"), SPLIT, "rows"))
-    report = parts[0]
-    for part in parts[1:]:
-        report = report.union(part)
-    return report.select(F.lit(name).alias("table"), "check", "item", F.col("value").cast("bigint"))
+        parts.append(part(value_counts(df, SPLIT), "split", F.col(SPLIT), "rows"))
+    return reduce(DataFrame.unionByName, parts)

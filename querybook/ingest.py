@@ -140,7 +140,7 @@ def f10(lake: Lake) -> DataFrame:
 
 @query(
     "f11_point_lookup",
-    "request_id:i station_id is_known:i total_chargers:i",
+    "request_id:i station_id is_known:i total_chargers:f",
     """SELECT r.request_id, r.station_id, CAST(s.station_id IS NOT NULL AS INT) AS is_known,
       s.size AS total_chargers FROM congestion_requests AS r LEFT JOIN station_sizes AS s USING (station_id)""",
 )

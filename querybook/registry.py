@@ -1,7 +1,7 @@
 """Registry of queries and the column formats both engines share.
 
 Engines add doubles in different orders, so figures that come out of sums are compared in single
-precision (kind ``f``); integers are compared as 64-bit numbers.
+precision (kind ``f``), as are integers that may be missing; other integers as 64-bit numbers.
 """
 
 from __future__ import annotations

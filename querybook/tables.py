@@ -20,7 +20,7 @@ STATION_STATS = (
     "station_max_power_kw:f station_charger_count:i"
 )
 CHARGER_STATS = "charger_mean_energy_wh:f charger_median_energy_wh:f"
-LAGS = "lag_1_active:i lag_2_active:i lag_1_power_kw:f roll_3_active:f roll_6_active:f"
+LAGS = "lag_1_active:f lag_2_active:f lag_1_power_kw:f roll_3_active:f roll_6_active:f"
 ENERGY_TABLE = (
     f"{KEY} split collection_period:i {TIME} is_late_night:i avg_pwr_kw:f active_session_count:i "
     f"is_idle_charger:i {STATION_STATS} {CHARGER_STATS} max_energy_wh:f"
@@ -231,7 +231,7 @@ def j4(lake: Lake) -> DataFrame:
 # -- windows and splits ------------------------------------------------------------------------
 
 
-@query("w1_lags", "charging_station_id timestamp lag_1_active:i lag_2_active:i lag_1_power_kw:f", "SELECT * FROM lagged")
+@query("w1_lags", "charging_station_id timestamp lag_1_active:f lag_2_active:f lag_1_power_kw:f", "SELECT * FROM lagged")
 def w1(lake: Lake) -> DataFrame:
     return lags.lag_features(agg.station_snapshots(lake.cleaned))
 
