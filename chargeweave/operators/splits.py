@@ -18,6 +18,7 @@ from chargeweave.operators.order_stats import Level, literal, rows_at_ranks
 from chargeweave.schemas import CHARGER, PERIOD, SPLIT, STATION, TS
 
 TRAIN_SHARE, VAL_SHARE_END = 0.8, 0.9
+COARSE = {"_minute", "_hash_top", "_hash_upper"}
 
 
 def time_levels(keys: list[str]) -> list[Level]:
@@ -29,16 +30,20 @@ def time_levels(keys: list[str]) -> list[Level]:
 def hash_levels(keys: list[str], seed: int) -> list[Level]:
     """Seeded pseudo-random order, reproducible because it only depends on the row's key."""
     h = F.xxhash64(F.lit(seed), *[F.col(k) for k in keys])
-    levels = [("_h0", F.shiftright(h, 48)), ("_h1", F.shiftright(h, 32)), ("_h", h)]
+    coarse = [("_hash_top", F.shiftright(h, 48)), ("_hash_upper", F.shiftright(h, 32))]
+    levels = [*coarse, ("_hash", h)]
     return levels + [(k, F.col(k)) for k in keys]
 
 
 def comes_before(levels: list[Level], cut: dict[str, Any] | None) -> Column:
-    """True for rows ordered before the cut row; all rows when there is no cut row."""
+    """True for rows ordered before the cut row; all rows when there is no cut row.
+
+    Coarse levels only serve the search for the cut and are implied by the finer ones.
+    """
     if cut is None:
         return F.lit(True)
     result = F.lit(False)
-    for name, expr in reversed(levels):
+    for name, expr in reversed([level for level in levels if level[0] not in COARSE]):
         bound = literal(cut[name])
         result = (expr < bound) | ((expr == bound) & result)
     return result

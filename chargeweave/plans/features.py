@@ -1,7 +1,9 @@
 """The feature tables of the five products, the charger base table and the legacy variant.
 
 Each builder takes the cleaned table (best a written one: finding split cuts reads it a few times)
-and returns one lazy plan with the product's column contract.
+and returns a plan with the product's column contract. With ``staged`` (the default) statistics per
+station and charger are written first, so Spark knows their true size when it plans the join: it
+broadcasts them if they are small and otherwise shuffles, with AQE splitting hot keys.
 """
 
 from __future__ import annotations
@@ -58,24 +60,31 @@ def add_row_features(df: DataFrame) -> DataFrame:
     )
 
 
-def charger_base(cleaned: DataFrame) -> DataFrame:
+def _stats(table: DataFrame, label: str, staged: bool) -> DataFrame:
+    return stage(table, label) if staged else table
+
+
+def charger_base(cleaned: DataFrame, staged: bool = True) -> DataFrame:
     """Cleaned readings with capacity, leftover and full-table station means."""
     stations = cleaned.groupBy(STATION).agg(
         F.avg(ENERGY).alias("station_mean_energy_wh"), F.avg(POWER).alias("station_mean_power_kw")
     )
     peaks = agg.charger_peak_stats(cleaned).drop("charger_mean_energy_wh")
-    base = agg.attach(agg.attach(cleaned, stations, STATION), peaks, CHARGER)
+    base = agg.attach(cleaned, _stats(stations, "station_means", staged), STATION)
+    base = agg.attach(base, _stats(peaks, "charger_peaks", staged), CHARGER)
     return add_capacity(add_row_features(base)).select(*CHARGER_BASE)
 
 
-def energy_features(base: DataFrame) -> DataFrame:
+def energy_features(base: DataFrame, staged: bool = True) -> DataFrame:
     """Readings with leaked columns removed, idle flag, split and train-only statistics."""
     safe = base.drop(*LEAKED, SOC, *FULL_TABLE_STATS)
     safe = add_idle_flag(safe).withColumn("is_late_night", is_late_night(F.col("hour")))
     labelled = period_time_split(safe)
     train = agg.train_rows(labelled)
-    with_station = agg.attach(labelled, agg.station_stats(train), STATION)
-    return agg.attach(with_station, agg.charger_stats(train), CHARGER).select(*ENERGY_FEATURES)
+    stations = _stats(agg.station_stats(train), "station_stats", staged)
+    chargers = _stats(agg.charger_stats(train), "charger_stats", staged)
+    with_station = agg.attach(labelled, stations, STATION)
+    return agg.attach(with_station, chargers, CHARGER).select(*ENERGY_FEATURES)
 
 
 def soc_features(cleaned: DataFrame) -> DataFrame:
@@ -114,22 +123,23 @@ def demand_features(
     if staged:
         snapshots = stage(snapshots, "demand_snapshots")
     labelled = period_time_split(snapshots, [STATION])
-    stats = agg.station_demand_stats(agg.train_rows(labelled))
+    stats = _stats(agg.station_demand_stats(agg.train_rows(labelled)), "demand_stats", staged)
     return agg.attach(labelled, stats, STATION).select(*DEMAND_FEATURES)
 
 
-def leftover_features(cleaned: DataFrame) -> DataFrame:
+def leftover_features(cleaned: DataFrame, staged: bool = True) -> DataFrame:
     """Readings with train-only charger peaks and the unused capacity as target."""
     labelled = period_time_split(add_idle_flag(cleaned.drop(SOC)))
-    stats = agg.charger_peak_stats(agg.train_rows(labelled))
+    stats = _stats(agg.charger_peak_stats(agg.train_rows(labelled)), "charger_peaks", staged)
     return add_capacity(agg.attach(labelled, stats, CHARGER)).select(*LEFTOVER_FEATURES)
 
 
-def legacy_features(legacy_cleaned: DataFrame) -> DataFrame:
+def legacy_features(legacy_cleaned: DataFrame, staged: bool = True) -> DataFrame:
     """Legacy variant: row features plus statistics over all rows, including future ones."""
     rows = add_row_features(legacy_cleaned)
-    rows = agg.attach(rows, agg.legacy_station_stats(legacy_cleaned), STATION)
-    rows = agg.attach(rows, agg.legacy_charger_stats(legacy_cleaned), CHARGER)
+    stations = _stats(agg.legacy_station_stats(legacy_cleaned), "legacy_stations", staged)
+    chargers = _stats(agg.legacy_charger_stats(legacy_cleaned), "legacy_chargers", staged)
+    rows = agg.attach(agg.attach(rows, stations, STATION), chargers, CHARGER)
     return period_time_split(add_capacity(rows)).select(
         *LEGACY_INPUTS, SPLIT, TS, ENERGY, "leftover_energy_wh"
     )

@@ -18,9 +18,9 @@ from chargeweave.session import stage
 from querybook import fixture
 
 # Short boosting runs over the whole tables; the product settings take up to 1500 rounds.
-TRIAL = Boosting(iterations=10, depth=5, learning_rate=0.3, patience=5)
+TRIAL = Boosting(iterations=8, depth=4, learning_rate=0.3, patience=5)
 LEGACY_TRIAL = Boosting(
-    iterations=10, depth=5, learning_rate=0.3, patience=5,
+    iterations=8, depth=4, learning_rate=0.3, patience=5,
     row_fraction=0.8, feature_fraction="0.8", min_rows_per_leaf=20,
 )
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chargeweave.plans import requests as rq
 from chargeweave.schemas import LAG_COLUMNS, PRODUCTS
-from chargeweave.session import new_folder
+from chargeweave.session import new_folder, stage
 from chargeweave.streaming.scoring import read_request_stream, write_predictions
 from querybook.lake import Lake
 from querybook.registry import query
@@ -329,7 +329,8 @@ def r8(lake: Lake) -> DataFrame:
     """The energy inputs of r2, but the requests arrive as a stream of files."""
     arrived = new_folder(lake.spark, "requests")
     lake.requests.repartition(4, "request_id").write.parquet(arrived)
-    history = rq.energy_history(lake.features("energy"))
+    # staged, or every micro-batch would aggregate the history again
+    history = tuple(stage(t, "history") for t in rq.energy_history(lake.features("energy")))
 
     def score(requests: DataFrame) -> DataFrame:
         known = rq.valid_requests(requests.withColumnsRenamed(FIELDS["energy"]), "energy")
