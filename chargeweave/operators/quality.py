@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,10 +59,11 @@ def describe(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
-    """Rows and percentage per value. The window sees one row per value."""
+    """Rows and percentage per value."""
     counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("rows"))
-    total = F.sum("rows").over(Window.partitionBy())
-    return counts.withColumn("pct", F.col("rows") * F.lit(100.0) / total)
+    total = counts.agg(F.sum("rows").alias("_total"))
+    share = F.col("rows") * F.lit(100.0) / F.col("_total")
+    return counts.crossJoin(F.broadcast(total)).withColumn("pct", share).drop("_total")
 
 
 def negative_report(df: DataFrame) -> DataFrame:

@@ -206,6 +206,37 @@ def c22(lake: Lake) -> DataFrame:
     )
 
 
+@query(
+    "c23_ratio_to_history",
+    "charging_station_id timestamp ratio_to_history:f",
+    """SELECT *, CASE WHEN station_avg_hourly_demand > 0 THEN total_energy_wh / station_avg_hourly_demand END
+    AS ratio_to_history FROM demand_features""",
+)
+def c23(lake: Lake) -> DataFrame:
+    return c22(lake)
+
+
+@query(
+    "c24_occupancy_band",
+    "charging_station_id timestamp occupancy_band",
+    """SELECT *, CASE WHEN 100.0 * active_chargers / total_chargers > 80 THEN 'high'
+      WHEN 100.0 * active_chargers / total_chargers < 30 THEN 'open' END AS occupancy_band FROM snapshots""",
+)
+def c24(lake: Lake) -> DataFrame:
+    return c20(lake)
+
+
+@query(
+    "c25_session_band",
+    f"{KEY} session_band",
+    """SELECT *, CASE WHEN estimated_capacity_wh > 0 AND max_energy_wh / estimated_capacity_wh * 100 > 90 THEN 'nearly complete'
+      WHEN estimated_capacity_wh > 0 AND max_energy_wh / estimated_capacity_wh * 100 > 50 THEN 'in progress'
+      ELSE 'early' END AS session_band FROM leftover_features""",
+)
+def c25(lake: Lake) -> DataFrame:
+    return c21(lake)
+
+
 @query(
     "c26_provisional_note",
     "charging_station_id timestamp note",
@@ -231,3 +262,8 @@ def c27(lake: Lake) -> DataFrame:
         measures.sessions_from_power(F.col("power_kw")).alias("active_session_count"),
         F.lit(timefeat.SCORING_PERIOD).alias("collection_period"),
     )
+
+
+@query("c28_scoring_period", "request_id:i collection_period:i", "SELECT request_id, 3 AS collection_period FROM requests")
+def c28(lake: Lake) -> DataFrame:
+    return lake.requests.select("request_id", F.lit(timefeat.SCORING_PERIOD).alias("collection_period"))
