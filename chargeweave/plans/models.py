@@ -20,6 +20,8 @@ from chargeweave.session import shared_folder, stage
 
 SMOOTHING = 10.0
 LABEL = "_label"
+FOLD = "_fold"
+FOLDS = 5
 ROWS_PER_SHUFFLE_GROUP = 100_000
 
 
@@ -44,7 +46,7 @@ class FittedProduct:
 
     def predict(self, rows: DataFrame) -> DataFrame:
         """``prediction`` for feature rows: back-transformed and bounded by the product's range."""
-        encoded = encode_ids(rows, self.encodings, self.prior, own_label=None)
+        encoded = encode_ids(rows, self.encodings, self.prior, own_fold=None)
         filled = fill_missing(encoded, self.inputs)
         scored = self.stages.transform(filled)
         value = F.col("prediction")
@@ -95,32 +97,43 @@ def encoding_name(column: str) -> str:
     return f"{column}_encoded"
 
 
+def with_folds(df: DataFrame) -> DataFrame:
+    """A fold number per row that only depends on the row's values."""
+    return df.withColumn(FOLD, F.pmod(F.xxhash64(*df.columns), F.lit(FOLDS)).cast("int"))
+
+
 def fit_id_encodings(train: DataFrame, ids: list[str]) -> tuple[dict[str, DataFrame], float]:
-    """Label sum and row count per id. One small table per id column, staged since fitting,
-    validation and scoring all join it."""
+    """Label sums and row counts per id, in total and per fold. One small table per id column,
+    staged since fitting, validation and scoring all join it."""
     prior = train.agg(F.avg(LABEL)).first()[0]
+    in_fold = [F.when(F.col(FOLD) == k, F.col(LABEL)) for k in range(FOLDS)]
     tables = {}
     for c in ids:
         sums = train.groupBy(c).agg(
-            F.sum(LABEL).alias(f"_{c}_sum"), F.count(LABEL).alias(f"_{c}_rows")
+            F.sum(LABEL).alias(f"_{c}_sum"),
+            F.count(LABEL).alias(f"_{c}_rows"),
+            F.array(*[F.coalesce(F.sum(x), F.lit(0.0)) for x in in_fold]).alias(f"_{c}_fold_sums"),
+            F.array(*[F.count(x) for x in in_fold]).alias(f"_{c}_fold_rows"),
         )
         tables[c] = stage(sums, f"encoding_{c}")
     return tables, float(prior)
 
 
 def encode_ids(
-    df: DataFrame, tables: dict[str, DataFrame], prior: float, own_label: Column | None
+    df: DataFrame, tables: dict[str, DataFrame], prior: float, own_fold: Column | None
 ) -> DataFrame:
-    """Smoothed mean label per id; ``own_label`` (NULL outside train) is left out of its own code."""
+    """Smoothed mean label per id. Train rows, which have an ``own_fold``, get the mean of the other
+    folds: neither their own label nor its complement can be read off the code."""
     for c, table in tables.items():
         joined = df.join(table, c, "left")
-        total = F.coalesce(f"_{c}_sum", F.lit(0.0))
-        count = F.coalesce(f"_{c}_rows", F.lit(0))
-        if own_label is not None:
-            total = total - F.coalesce(own_label, F.lit(0.0))
-            count = count - own_label.isNotNull().cast("int")
+        total, count = F.col(f"_{c}_sum"), F.col(f"_{c}_rows")
+        if own_fold is not None:
+            total = total - F.coalesce(F.get(f"_{c}_fold_sums", own_fold), F.lit(0.0))
+            count = count - F.coalesce(F.get(f"_{c}_fold_rows", own_fold), F.lit(0))
+        total, count = F.coalesce(total, F.lit(0.0)), F.coalesce(count, F.lit(0))
         code = (total + F.lit(prior * SMOOTHING)) / (count + F.lit(SMOOTHING))
-        df = joined.withColumn(encoding_name(c), code).drop(f"_{c}_sum", f"_{c}_rows")
+        helpers = [x for x in table.columns if x != c]
+        df = joined.withColumn(encoding_name(c), code).drop(*helpers)
     return df
 
 
@@ -174,12 +187,12 @@ def fit(
     if boosting is not None:
         product = replace(product, boosting=boosting)
     boosting = product.boosting
-    rows = labelled_rows(features, product)
+    rows = with_folds(labelled_rows(features, product))
     tables, prior = fit_id_encodings(only(rows, "train"), product.categoricals)
     plain = [c for c in product.feature_columns(exclude_leaky) if c not in product.categoricals]
     inputs = [*[encoding_name(c) for c in product.categoricals], *plain]
 
-    own = F.when(F.col(SPLIT) == "train", F.col(LABEL))
+    own = F.when(F.col(SPLIT) == "train", F.col(FOLD))
     encoded = fill_missing(encode_ids(only(rows, "train", "val"), tables, prior, own), inputs)
     assembler = VectorAssembler(inputCols=inputs, outputCol="_features")
     matrix = stage(encoded.select(*inputs, LABEL, SPLIT), f"matrix_{product.name}")

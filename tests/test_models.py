@@ -40,17 +40,18 @@ def test_save_and_load(spark, lake, fitted):
     assert loaded.predict(rows).exceptAll(fitted.predict(rows)).count() == 0
 
 
-def test_own_label_is_left_out_of_the_encoding(spark):
-    rows = [("a", 10.0, "train"), ("a", 20.0, "train"), ("b", 30.0, "train"), ("a", 99.0, "test"), ("z", 1.0, "test")]
-    df = spark.createDataFrame(rows, f"id string, {models.LABEL} double, split string")
+def test_own_fold_is_left_out_of_the_encoding(spark):
+    rows = [("a", 10.0, "train", 0), ("a", 20.0, "train", 1), ("a", 30.0, "train", 1), ("b", 20.0, "train", 4), ("a", 99.0, "test", 0), ("z", 1.0, "test", 2)]
+    df = spark.createDataFrame(rows, f"id string, {models.LABEL} double, split string, {models.FOLD} int")
     tables, prior = models.fit_id_encodings(df.where("split = 'train'"), ["id"])
-    own = F.when(F.col("split") == "train", F.col(models.LABEL))
+    own = F.when(F.col("split") == "train", F.col(models.FOLD))
     got = models.encode_ids(df, tables, prior, own).collect()
     codes = {(r.id, r[models.LABEL]): r.id_encoded for r in got}
     assert prior == 20.0
-    assert codes["a", 10.0] == pytest.approx((20 + 200) / 11)
-    assert codes["b", 30.0] == pytest.approx(20.0)
-    assert codes["a", 99.0] == pytest.approx((30 + 200) / 12)
+    assert codes["a", 10.0] == pytest.approx((50 + 200) / 12)
+    assert codes["a", 20.0] == codes["a", 30.0] == pytest.approx((10 + 200) / 11)
+    assert codes["b", 20.0] == pytest.approx(20.0)
+    assert codes["a", 99.0] == pytest.approx((60 + 200) / 13)
     assert codes["z", 1.0] == pytest.approx(20.0)
 
 
