@@ -12,12 +12,17 @@ SCORING_PERIOD = 3
 LATE_NIGHT_FROM_HOUR = 2
 
 
-def utc_timestamp(text: Column) -> Column:
-    """Parse ISO text with or without a zone as UTC and drop the zone; NULL when unparsable.
+def utc_wall_clock(instant: Column) -> Column:
+    """Zone-free UTC time of an instant, whatever the session's time zone."""
+    return F.to_utc_timestamp(instant, F.current_timezone()).cast("timestamp_ntz")
+
 
-    Relies on ``spark.sql.session.timeZone=UTC``, which ``session.build_session`` sets.
-    """
-    return F.try_to_timestamp(text).cast("timestamp_ntz")
+def utc_timestamp(text: Column) -> Column:
+    """Parse ISO text as UTC and drop the zone; text without a zone is UTC already; NULL when
+    unparsable."""
+    parsed = F.try_to_timestamp(text)
+    has_zone = text.rlike(r"(Z|[+-]\d{2}:?\d{2})$")
+    return F.when(has_zone, utc_wall_clock(parsed)).otherwise(parsed.cast("timestamp_ntz"))
 
 
 def collection_period(month: Column) -> Column:

@@ -9,7 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chargeweave.functions import measures
-from chargeweave.functions.timefeat import collection_period, time_columns, utc_timestamp
+from chargeweave.functions.timefeat import (
+    collection_period,
+    time_columns,
+    utc_timestamp,
+    utc_wall_clock,
+)
 from chargeweave.operators.order_stats import quantiles
 from chargeweave.schemas import (
     CHARGER,
@@ -28,6 +33,8 @@ from chargeweave.schemas import (
 from chargeweave.session import stage
 
 STATION_ROW_CAP = 300
+PRE_SHUFFLE_LIMIT = 1000
+CAP_SALTS = 64
 OUTLIER_QUANTILE = 0.99
 LEGACY_CLIP_QUANTILE = 0.995
 
@@ -41,7 +48,7 @@ def prepare_readings(df: DataFrame) -> DataFrame:
     if isinstance(df.schema[TS].dataType, T.StringType):
         out = out.withColumn(TS, utc_timestamp(F.col(TS)))
     elif isinstance(df.schema[TS].dataType, T.TimestampType):
-        out = out.withColumn(TS, F.col(TS).cast("timestamp_ntz"))
+        out = out.withColumn(TS, utc_wall_clock(F.col(TS)))
     doubles = [f.name for f in df.schema.fields if isinstance(f.dataType, T.DoubleType)]
     return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in doubles})
 
@@ -132,15 +139,23 @@ def fix_types(df: DataFrame, recompute_time: bool = True) -> DataFrame:
     return typed.select(*[c for c in CLEANED if c in typed.columns])
 
 
+def _newest(df: DataFrame, keys: list[str], cap: int) -> DataFrame:
+    order = Window.partitionBy(*keys).orderBy(F.desc(TS), F.desc(CHARGER))
+    return df.withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= cap).drop("_nth")
+
+
 def cap_stations(df: DataFrame, cap: int = STATION_ROW_CAP) -> DataFrame:
     """Step 8: the most recent ``cap`` rows of every station, ties by charger.
 
-    Spark applies the rank limit before the shuffle as well, so a task sends at most ``cap`` rows
-    per station and a hot station never arrives whole in one task.
+    Spark applies a rank limit up to ``PRE_SHUFFLE_LIMIT`` before the shuffle as well, so a task
+    sends at most ``cap`` rows per station and a hot station never arrives whole in one task. For a
+    higher cap the rows of a station are first capped in salted parts, which cannot lose any of its
+    newest rows.
     """
-    newest = Window.partitionBy(STATION).orderBy(F.desc(TS), F.desc(CHARGER))
-    ranked = df.withColumn("_nth", F.row_number().over(newest))
-    return ranked.where(F.col("_nth") <= cap).drop("_nth")
+    if cap > PRE_SHUFFLE_LIMIT:
+        salted = df.withColumn("_salt", F.pmod(F.xxhash64(CHARGER, TS), F.lit(CAP_SALTS)))
+        df = _newest(salted, [STATION, "_salt"], cap).drop("_salt")
+    return _newest(df, [STATION], cap)
 
 
 def clean(

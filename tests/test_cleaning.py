@@ -108,6 +108,32 @@ def test_station_cap_keeps_the_newest(readings):
     assert capped.where("charging_station_id = 'S2'").count() == 1
 
 
+def test_high_cap_in_salted_parts(lake):
+    typed = cleaning.fix_types(lake.in_session)
+    biggest = typed.groupBy("charging_station_id").count().agg(F.max("count")).first()[0]
+    assert cleaning.cap_stations(typed, cap=1001).count() == typed.count() and biggest < 1001
+    twice = typed.withColumn("charger_id", F.explode(F.array(*[F.concat("charger_id", F.lit(x)) for x in "abcd"])))
+    high = cleaning.cap_stations(twice, cap=1001)
+    assert high.count() == sum(min(r["count"], 1001) for r in twice.groupBy("charging_station_id").count().collect())
+    plain = cleaning._newest(twice, ["charging_station_id"], 1001)
+    assert high.exceptAll(plain).count() == 0
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_timestamps_are_utc_in_any_session(spark, zone):
+    from chargeweave.functions.timefeat import utc_timestamp
+
+    texts = ["2025-11-01T10:30:00Z", "2025-11-01T12:30:00+02:00", "2025-11-01 10:30:00", "2025-11-01T10:30:00.000", "x"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        got = [r[0] and str(r[0]) for r in df.select(utc_timestamp(F.col("t"))).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert got == ["2025-11-01 10:30:00"] * 4 + [None]
+
+
 def test_periods_of_all_months(spark):
     from chargeweave.functions.timefeat import collection_period
 

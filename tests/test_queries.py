@@ -28,3 +28,25 @@ def test_query_matches_sql(spark, duck, name):
 
 def test_entry(spark):
     assert entry_points.entry(spark).count() == 1719
+
+
+LARGE = [
+    "a11_target_report", "a4_charger_stats", "c15_clip_upper", "clean_all_steps", "congestion_features",
+    "congestion_features_unbroken", "energy_features", "legacy_energy_features", "w2_rolling_means",
+]
+
+
+@pytest.mark.parametrize("name", LARGE)
+def test_ways_taken_for_large_inputs(spark, duck, name, monkeypatch):
+    """The same rows when no input counts as small and Spark may not broadcast."""
+    from chargeweave.operators import aggregates, lags, order_stats
+    from chargeweave.plans import features
+
+    for module in (aggregates, lags, order_stats, features):
+        monkeypatch.setattr(module, "is_small", lambda df: False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        ours = QUERIES[name](spark, SMALL).toPandas()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert difference(ours, duck.execute(ORACLES[name]).df()) is None
