@@ -7,8 +7,6 @@ from pathlib import Path
 import duckdb
 import pandas as pd
 
-TABLES = ["lineitem", "events"]
-
 
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
