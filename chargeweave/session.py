@@ -7,14 +7,12 @@ non-associative double sums read the same bits every time.
 
 from __future__ import annotations
 
-import os
-import tempfile
+import atexit
+import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_roots: dict[str, tempfile.TemporaryDirectory] = {}
-
 SMALL_INPUT_BYTES = 64 * 1024 * 1024
 
 
@@ -34,18 +32,26 @@ def build_session(master: str | None = None, **conf: str) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only in local mode."""
+    """The folder of ``spark.checkpoint.dir``, which the caller names."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
+    if not root:
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    return root.rstrip("/")
+
+
+def ensure_folder(spark: SparkSession) -> None:
+    """For tests, benches and notebooks: name a folder where none is named, in local mode only.
+
+    It lies below the warehouse and is deleted when the process ends.
+    """
+    if spark.conf.get("spark.checkpoint.dir", None):
+        return
+    if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    app = context.applicationId
-    if app not in _local_roots:
-        _local_roots[app] = tempfile.TemporaryDirectory(prefix="chargeweave-")
-        context.setCheckpointDir(os.path.join(_local_roots[app].name, "checkpoints"))
-    return _local_roots[app].name
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:")
+    folder = f"{warehouse}/stages-{uuid.uuid4().hex[:12]}"
+    spark.conf.set("spark.checkpoint.dir", folder)
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
 
 
 def new_folder(spark: SparkSession, label: str) -> str:

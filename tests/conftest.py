@@ -7,7 +7,7 @@ import pytest
 ROOT = Path(__file__).resolve().parent.parent
 sys.path[:0] = [str(ROOT), str(ROOT / "tests")]
 
-from chargeweave.session import build_session  # noqa: E402
+from chargeweave.session import build_session, ensure_folder  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -24,6 +24,7 @@ def spark():
         },
     )
     session.sparkContext.setLogLevel("ERROR")
+    ensure_folder(session)
     yield session
     session.stop()
 
