@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from chargeweave.llm import bpe, mixing, quality
+from chargeweave.llm import bpe, minhash, mixing, pii, quality
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -19,6 +19,14 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op3_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(_table(spark, sf_dir, "documents"))
+
+
+def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.cluster(_table(spark, sf_dir, "documents"))
+
+
 def op6_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(_table(spark, sf_dir, "documents"))
 
@@ -29,7 +37,7 @@ def op8_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_mix_sources, op6_host_quality, op8_prefix_bpe)
+    for f in (op1_mix_sources, op3_weak_pii, op5_minhash_dedup, op6_host_quality, op8_prefix_bpe)
 }
 QUERIES["pipeline"] = corpus_pipeline.run
 
