@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from chargeweave.llm import bpe, minhash, mixing, pii, quality
+from chargeweave.llm import ann, bpe, minhash, mixing, pii, quality, suffixes
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -23,6 +24,10 @@ def op3_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(_table(spark, sf_dir, "documents"))
 
 
+def op4_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.cluster(_table(spark, sf_dir, "documents"))
 
@@ -35,9 +40,13 @@ def op8_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.report(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_mix_sources, op3_weak_pii, op5_minhash_dedup, op6_host_quality, op8_prefix_bpe)
+    for f in (op1_mix_sources, op3_weak_pii, op4_adaptive_scan, op5_minhash_dedup, op6_host_quality, op8_prefix_bpe, op9_suffix_dedup)
 }
 QUERIES["pipeline"] = corpus_pipeline.run
 
