@@ -7,9 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from chargeweave.llm import ann, bpe, minhash, mixing, pii, quality, suffixes
+from chargeweave.llm import ann, bpe, chat, counting, minhash, mixing, pii, quality, suffixes, warc
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +21,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op2_rotate_speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(_table(spark, sf_dir, "conversations"))
+
+
 def op3_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(_table(spark, sf_dir, "documents"))
 
@@ -36,6 +41,10 @@ def op6_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(_table(spark, sf_dir, "documents"))
 
 
+def op7_trie_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counting.count_tokens(_table(spark, sf_dir, "documents").select("doc_id", "text"), PIECES)
+
+
 def op8_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
@@ -44,9 +53,24 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.report(_table(spark, sf_dir, "documents"))
 
 
+def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.report(_table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_mix_sources, op3_weak_pii, op4_adaptive_scan, op5_minhash_dedup, op6_host_quality, op8_prefix_bpe, op9_suffix_dedup)
+    for f in (
+        op1_mix_sources,
+        op2_rotate_speakers,
+        op3_weak_pii,
+        op4_adaptive_scan,
+        op5_minhash_dedup,
+        op6_host_quality,
+        op7_trie_counts,
+        op8_prefix_bpe,
+        op9_suffix_dedup,
+        op10_warc_revisits,
+    )
 }
 QUERIES["pipeline"] = corpus_pipeline.run
 
@@ -107,9 +131,72 @@ hosts AS (
   FROM measured m JOIN verdict v ON m.source IS NOT DISTINCT FROM v.source
 )"""
 
+_ROTATED = r"""
+WITH said AS (
+  SELECT row_number() OVER () AS rid, conv_id, turn, coalesce(role, 'unknown') AS role,
+    replace(coalesce(text, ''), '<|im_', '< |im_') AS text
+  FROM conversations
+), speakers AS (
+  SELECT DISTINCT conv_id, role AS speaker FROM said WHERE role <> 'system'
+), views AS (
+  SELECT s.*, p.speaker, '<|im_start|>' || CASE WHEN s.role = p.speaker THEN 'assistant'
+      WHEN s.role = 'system' THEN 'system'
+      ELSE 'user name=' || regexp_replace(s.role, '[^A-Za-z0-9_.-]', '_', 'g') END || chr(10) AS head
+  FROM said s JOIN speakers p ON s.conv_id IS NOT DISTINCT FROM p.conv_id
+), sized AS (
+  SELECT *, length(head) + length(text) + 11 AS size FROM views
+), placed AS (
+  SELECT *, row_number() OVER w - 1 AS position, sum(size) OVER w - size AS start
+  FROM sized
+  WINDOW w AS (PARTITION BY conv_id, speaker ORDER BY turn NULLS FIRST, role, text, rid)
+)
+SELECT conv_id, speaker, CAST(position AS BIGINT) AS position, turn, role,
+  head || text || '<|im_end|>' || chr(10) AS rendered,
+  CAST(start AS BIGINT) AS start, CAST(start + size AS BIGINT) AS "end",
+  CAST(CASE WHEN role = speaker THEN start + length(head) ELSE start + size END AS BIGINT) AS mask_start,
+  CAST(start + size AS BIGINT) AS mask_end
+FROM placed"""
+
+_REVISITS = r"""
+WITH bare AS (
+  SELECT page_id, md5(coalesce(html, '')) AS payload,
+    regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS rest
+  FROM pages
+), parts AS (
+  SELECT page_id, payload, 1704067200 + page_id * 60 AS t,
+    regexp_replace(regexp_replace(lower(regexp_extract(rest, '^([^/?]*)', 1)), '^www\.', ''), ':(?:80|443)$', '')
+      AS host,
+    regexp_replace(regexp_extract(rest, '^[^/?]*(/[^?]*)?', 1), '/+$', '') AS path,
+    array_to_string(list_sort(list_filter(string_split(regexp_extract(rest, '\?(.*)$', 1), '&'),
+      lambda p: p <> '' AND NOT regexp_matches(lower(p), '^(?:utm_[a-z]*|ref|fbclid|gclid)(?:=|$)'))), '&') AS q
+  FROM bare
+), keyed AS (
+  SELECT page_id, payload, t, host || path || CASE WHEN q <> '' THEN '?' || q ELSE '' END AS url_key FROM parts
+), revisits AS (
+  SELECT k || '-' || page_id AS record_id, url_key, t + shift AS seconds, k,
+    CASE k WHEN 'other' THEN 'other' ELSE payload END AS tag
+  FROM keyed, (VALUES ('early', -86400), ('same', 3600), ('weak', 86400), ('other', 604800)) AS v(k, shift)
+), found AS (
+  SELECT r.*, f.page_id AS f_page, f.payload AS f_payload, f.t AS f_t
+  FROM revisits r ASOF LEFT JOIN keyed f ON r.url_key = f.url_key AND r.seconds > f.t
+), judged AS (
+  SELECT *, CASE WHEN f_page IS NULL THEN 'orphan' WHEN tag = f_payload THEN 'resolved' ELSE 'mismatch' END AS status
+  FROM found
+)
+SELECT record_id, url_key, seconds, status, 'full-' || f_page AS refers_to,
+  CASE WHEN status = 'resolved' THEN f_payload END AS digest,
+  CASE WHEN status = 'resolved' THEN array_to_string(list_sort(list_filter([
+    'cache-control: ' || CASE k WHEN 'weak' THEN 'no-cache' ELSE 'max-age=60' END,
+    'content-type: text/html', 'date: ' || seconds,
+    'etag: ' || CASE k WHEN 'weak' THEN 'W/' ELSE '' END || '"' || tag || '"',
+    CASE k WHEN 'weak' THEN 'vary: Accept' END], lambda x: x IS NOT NULL)), chr(10)) END AS headers
+FROM judged"""
+
 ORACLES = {
+    "op2_rotate_speakers": _ROTATED,
+    "op10_warc_revisits": _REVISITS,
     "op6_host_quality": f"""WITH {_MEASURED}, {_VERDICTS}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   host_failed, NOT base_failed AND NOT host_failed AS kept
-FROM judged"""
+FROM judged""",
 }
