@@ -7,9 +7,11 @@ its signature is equal, the sizes allow the similarity and the signatures agree
 are confirmed on the full sets.
 
 In a bucket each member meets the first ``CENTERS`` members only (all, in buckets up to that size).
-A member first tries one partner, then the others that are not yet in its component; whatever large
-buckets then still hold in several components is compared pair by pair across these. No link that
-would change a component is left out, and groups of copies stay linear.
+A member first tries one partner, then the others that are not yet in its component. For the members
+of large buckets that then still hold several components, the shingles that no other such member
+has are counted: they bound every similarity from above, and the members with the fewest are the
+next ones to meet the others. What the bound leaves across components is compared pair by pair. No
+link that would change a component is left out, and groups of copies stay linear.
 
 Null and empty texts, and rows without doc_id, are linked with nothing. Rows that share a doc_id are
 one document, linked through any of their texts. Other columns are ignored.
@@ -20,6 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
@@ -33,6 +36,8 @@ PERCENT = 85
 BANDS = 24
 ROWS = 5
 CENTERS = 8
+#: Shingles counted in one task.
+SLICE = 4_000_000
 #: Signatures may agree this much less than the sets: six standard deviations.
 SLACK = 0.2
 
@@ -180,8 +185,60 @@ def candidates(shared: DataFrame) -> DataFrame:
     return _ordered_pairs(a.join(b, (F.col("a.key") == F.col("b.key")) & later & _sizes_allow()))
 
 
-def unresolved(shared: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs across components in the buckets that ``candidates`` has not compared in full."""
+def _dealt(slices: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: dict[str, list] = {"slice": [], "id": [], "part": []}
+            for id_, data in zip(batch.column("id").to_pylist(), batch.column("set"), strict=True):
+                h = np.frombuffer(data.as_py(), np.uint64)
+                at = ((h >> np.uint64(32)) * np.uint64(slices)) >> np.uint64(32)
+                for first, last in zip(*_runs(at), strict=True):
+                    out["slice"].append(int(at[first]))
+                    out["id"].append(id_)
+                    out["part"].append(h[first:last].tobytes())
+            yield pa.RecordBatch.from_pydict(out, _PARTS)
+
+    return run
+
+
+_PARTS = pa.schema([("slice", pa.int64()), ("id", pa.int64()), ("part", pa.binary())])
+
+
+def _runs(x: np.ndarray) -> tuple[list[int], list[int]]:
+    """First and last + 1 of the runs of equal values."""
+    cuts = (np.flatnonzero(x[1:] != x[:-1]) + 1).tolist()
+    return ([0, *cuts], [*cuts, len(x)]) if len(x) else ([], [])
+
+
+def _alone(parts: pd.DataFrame) -> pd.DataFrame:
+    lengths = np.array([len(x) // 8 for x in parts["part"]])
+    h = np.frombuffer(b"".join(parts["part"]), np.uint64)
+    _, at, times = np.unique(h, return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(lengths)), lengths)
+    n = np.bincount(owner, weights=times[at] == 1, minlength=len(lengths))
+    return pd.DataFrame({"id": parts["id"], "alone": n.astype(np.int64)})
+
+
+def alone_counts(sets: DataFrame, total: int) -> DataFrame:
+    """id, alone: how many shingles of a set are in no other one of ``sets``. Hash ranges of about
+    ``SLICE`` shingles are counted in a task each."""
+    slices = max(1, -(-total // SLICE))
+    texts = sets.groupBy("id").agg(F.count_distinct(F.xxhash64("set")).alias("texts"))
+    alone = (
+        sets.dropDuplicates(["id", "set"])
+        .mapInArrow(_dealt(slices), "slice long, id long, part binary")
+        .groupBy("slice")
+        .applyInPandas(_alone, "id long, alone long")
+        .groupBy("id")
+        .agg(F.sum("alone").alias("alone"))
+    )
+    # No bound for a document whose rows have different texts.
+    return alone.join(texts, "id").select("id", F.when(F.col("texts") == 1, F.col("alone")).otherwise(0).alias("alone"))
+
+
+def open_members(shared: DataFrame, found: DataFrame) -> DataFrame:
+    """Members of buckets that ``candidates`` has not compared in full and that hold several
+    components: key, id, n, component."""
     members = (
         shared.where(F.col("members") > CENTERS + 1)
         .join(found.withColumnRenamed("node", "id"), "id", "left")
@@ -193,10 +250,23 @@ def unresolved(shared: DataFrame, found: DataFrame) -> DataFrame:
         .where("x < y")
         .select("key")
     )
-    open_ = stage(members.join(several, "key", "left_semi"), "open_buckets")
-    a, b = open_.alias("a"), open_.alias("b")
-    across = (F.col("a.key") == F.col("b.key")) & (F.col("a.component") < F.col("b.component"))
-    return _ordered_pairs(a.join(b, across & _sizes_allow()))
+    return members.join(several, "key", "left_semi").select("key", "id", "n", "component")
+
+
+def across(members: DataFrame, centers: int | None) -> DataFrame:
+    """Pairs of members of different components, as far as their common shingles allow a link; with
+    ``centers``, only those with the members of a bucket that have the smallest share alone."""
+    some = members
+    if centers is not None:
+        order = Window.partitionBy("key").orderBy(F.col("alone") / F.col("n"), "id")
+        some = members.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= centers)
+    a, b = members.alias("a"), some.alias("b")
+    differ = F.col("a.component") != F.col("b.component")
+    if centers is None:
+        differ = F.col("a.component") < F.col("b.component")
+    common = F.least(F.col("a.n") - F.col("a.alone"), F.col("b.n") - F.col("b.alone"))
+    allowed = 100 * common >= PERCENT * (F.col("a.n") + F.col("b.n") - common)
+    return _ordered_pairs(a.join(b, (F.col("a.key") == F.col("b.key")) & differ & allowed))
 
 
 def _ids(pairs: DataFrame) -> DataFrame:
@@ -253,10 +323,22 @@ def cluster(docs: DataFrame) -> DataFrame:
     rest = _apart(pairs.join(first, ["u", "v"], "left_anti"), found)
     links = stage(links.union(_confirmed(rest, sets)), "links")
     found = components(links)
-    open_ = stage(_agreeing(unresolved(shared, found).join(pairs, ["u", "v"], "left_anti"), heads), "open_pairs")
-    if not open_.isEmpty():
-        more = stage(_full_sets(docs, _ids(open_)), "sets")
-        found = components(links.union(_confirmed(open_, more)))
+    left = stage(open_members(shared, found), "open_buckets")
+    ids = left.select("id", "n").distinct()
+    total = ids.agg(F.sum("n")).first()[0]
+    if total:
+        sets = stage(_full_sets(docs, ids.select("id")), "sets")
+        alone = stage(alone_counts(sets, total), "alone")
+        for centers in (CENTERS, None):
+            now = found.withColumnRenamed("node", "id")
+            members = (
+                left.drop("component").join(alone, "id").join(now, "id", "left")
+                .withColumn("component", F.coalesce("component", "id"))
+            )
+            open_ = across(members, centers).join(pairs, ["u", "v"], "left_anti")
+            more = stage(_confirmed(open_, sets), "links")
+            links = stage(links.union(more), "links")
+            found = components(links)
     component = F.when(
         F.col("n_shingles") > 0, F.coalesce("component", "id", "doc_id")
     ).otherwise(F.col("doc_id"))
