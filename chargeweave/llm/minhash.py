@@ -160,16 +160,17 @@ def _ordered_pairs(joined: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def buckets(heads: DataFrame) -> DataFrame:
-    """key, id, n, place for every band value that two or more representatives share."""
+def _keys() -> Column:
+    """The band values of a signature; the number of the band is part of each."""
     width = 4 * ROWS
-    bands = heads.select(
-        "id",
-        "n",
-        F.explode(
-            F.array(*(F.xxhash64(F.lit(b), F.substring("signature", b * width + 1, width)) for b in range(BANDS)))
-        ).alias("key"),
+    return F.array(
+        *(F.xxhash64(F.lit(b), F.substring("signature", b * width + 1, width)) for b in range(BANDS))
     )
+
+
+def buckets(heads: DataFrame) -> DataFrame:
+    """band, key, id, n, place for every band value that two or more representatives share."""
+    bands = heads.select("id", "n", F.posexplode(_keys()).alias("band", "key"))
     shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     return bands.join(shared, "key").withColumn("place", F.xxhash64("id"))
 
@@ -236,11 +237,16 @@ def alone_counts(sets: DataFrame, total: int) -> DataFrame:
     return alone.join(texts, "id").select("id", F.when(F.col("texts") == 1, F.col("alone")).otherwise(0).alias("alone"))
 
 
+def _large(shared: DataFrame) -> DataFrame:
+    """The members of buckets that ``candidates`` has not compared in full."""
+    return shared.where(F.col("members") > CENTERS + 1)
+
+
 def open_members(shared: DataFrame, found: DataFrame) -> DataFrame:
     """Members of buckets that ``candidates`` has not compared in full and that hold several
-    components: key, id, n, component."""
+    components: key, band, id, n, component."""
     members = (
-        shared.where(F.col("members") > CENTERS + 1)
+        _large(shared)
         .join(found.withColumnRenamed("node", "id"), "id", "left")
         .withColumn("component", F.coalesce("component", "id"))
     )
@@ -250,12 +256,13 @@ def open_members(shared: DataFrame, found: DataFrame) -> DataFrame:
         .where("x < y")
         .select("key")
     )
-    return members.join(several, "key", "left_semi").select("key", "id", "n", "component")
+    return members.join(several, "key", "left_semi").select("key", "band", "id", "n", "component")
 
 
 def across(members: DataFrame, centers: int | None) -> DataFrame:
-    """Pairs of members of different components, as far as their common shingles allow a link; with
-    ``centers``, only those with the members of a bucket that have the smallest share alone."""
+    """Pairs of members of different components, as far as their common shingles allow a link, from
+    the first band (of ``keys``) that they share; with ``centers``, only those with the members of a
+    bucket that have the smallest share alone."""
     some = members
     if centers is not None:
         order = Window.partitionBy("key").orderBy(F.col("alone") / F.col("n"), "id")
@@ -266,6 +273,9 @@ def across(members: DataFrame, centers: int | None) -> DataFrame:
         differ = F.col("a.component") < F.col("b.component")
     common = F.least(F.col("a.n") - F.col("a.alone"), F.col("b.n") - F.col("b.alone"))
     allowed = 100 * common >= PERCENT * (F.col("a.n") + F.col("b.n") - common)
+    if centers is None:  # a bucket's centers need not be those of the buckets before
+        earlier = F.arrays_overlap(*(F.slice(f"{x}.keys", F.lit(1), F.col("a.band")) for x in "ab"))
+        allowed = allowed & ~earlier
     return _ordered_pairs(a.join(b, (F.col("a.key") == F.col("b.key")) & differ & allowed))
 
 
@@ -307,7 +317,8 @@ def cluster(docs: DataFrame) -> DataFrame:
     )
     shared = stage(buckets(heads), "buckets")
     pairs = stage(_agreeing(candidates(shared), heads), "pairs")
-    sets = stage(_full_sets(docs, _ids(pairs)), "sets")
+    wanted = _ids(pairs).union(_large(shared).select("id")).distinct()
+    sets = stage(_full_sets(docs, wanted), "sets")
     # A document whose rows have different texts is in several classes.
     several = (
         named.groupBy("doc_id").agg(F.min("print").alias("x"), F.max("print").alias("y")).where("x < y")
@@ -327,12 +338,13 @@ def cluster(docs: DataFrame) -> DataFrame:
     ids = left.select("id", "n").distinct()
     total = ids.agg(F.sum("n")).first()[0]
     if total:
-        sets = stage(_full_sets(docs, ids.select("id")), "sets")
-        alone = stage(alone_counts(sets, total), "alone")
+        alone = stage(alone_counts(sets.join(ids.select("id").distinct(), "id", "left_semi"), total), "alone")
+        keys = heads.select("id", _keys().alias("keys")).join(alone, "id").dropDuplicates(["id"])
+        known = stage(keys, "alone")
         for centers in (CENTERS, None):
             now = found.withColumnRenamed("node", "id")
             members = (
-                left.drop("component").join(alone, "id").join(now, "id", "left")
+                left.drop("component").join(known, "id").join(now, "id", "left")
                 .withColumn("component", F.coalesce("component", "id"))
             )
             open_ = across(members, centers).join(pairs, ["u", "v"], "left_anti")
