@@ -9,7 +9,6 @@ from chargeweave.functions import measures
 from chargeweave.operators.order_stats import grouped_quantile
 from chargeweave.operators.splits import only
 from chargeweave.schemas import CHARGER, ENERGY, PERIOD, POWER, SPLIT, STATION, TIME_COLUMNS, TS
-from chargeweave.session import is_small
 
 
 def active_count(power: Column) -> Column:
@@ -51,18 +50,14 @@ def demand_snapshots(df: DataFrame, every: str | None = None) -> DataFrame:
     return snapshots.withColumn("utilization_rate", rate)
 
 
-def _with_median(df: DataFrame, key: str, alias: str, aggregates: list[Column], method: str) -> DataFrame:
+def _with_median(df: DataFrame, key: str, alias: str, aggregates: list[Column]) -> DataFrame:
     """Group by ``key`` with the exact median of the energy among the aggregates."""
     rows = df.where(F.col(key).isNotNull())
-    if method == "auto":
-        method = "percentile" if is_small(rows) else "narrow"
-    if method == "percentile":
-        return rows.groupBy(key).agg(*aggregates, F.percentile(ENERGY, 0.5).alias(alias))
     basic = rows.groupBy(key).agg(*aggregates)
-    return basic.join(grouped_quantile(rows, [key], ENERGY, 0.5, alias, method), key, "left")
+    return basic.join(grouped_quantile(rows, [key], ENERGY, 0.5, alias), key, "left")
 
 
-def station_stats(df: DataFrame, method: str = "auto") -> DataFrame:
+def station_stats(df: DataFrame) -> DataFrame:
     """Mean, median, power and distinct chargers per station; pass the train rows only."""
     aggregates = [
         F.avg(ENERGY).alias("station_mean_energy_wh"),
@@ -70,13 +65,13 @@ def station_stats(df: DataFrame, method: str = "auto") -> DataFrame:
         F.max(POWER).alias("station_max_power_kw"),
         F.countDistinct(CHARGER).alias("station_charger_count"),
     ]
-    return _with_median(df, STATION, "station_median_energy_wh", aggregates, method)
+    return _with_median(df, STATION, "station_median_energy_wh", aggregates)
 
 
-def charger_stats(df: DataFrame, method: str = "auto") -> DataFrame:
+def charger_stats(df: DataFrame) -> DataFrame:
     """Mean and median energy per charger; pass the train rows only."""
     aggregates = [F.avg(ENERGY).alias("charger_mean_energy_wh")]
-    return _with_median(df, CHARGER, "charger_median_energy_wh", aggregates, method)
+    return _with_median(df, CHARGER, "charger_median_energy_wh", aggregates)
 
 
 def station_demand_stats(snapshots: DataFrame) -> DataFrame:
@@ -93,7 +88,7 @@ def charger_peak_stats(df: DataFrame) -> DataFrame:
     )
 
 
-def legacy_station_stats(df: DataFrame, method: str = "auto") -> DataFrame:
+def legacy_station_stats(df: DataFrame) -> DataFrame:
     """Full-table station statistics of the legacy variant, with the sample standard deviation."""
     aggregates = [
         F.avg(ENERGY).alias("station_mean_energy_wh"),
@@ -102,7 +97,7 @@ def legacy_station_stats(df: DataFrame, method: str = "auto") -> DataFrame:
         F.max(POWER).alias("station_max_power_kw"),
         F.countDistinct(CHARGER).alias("station_charger_count"),
     ]
-    return _with_median(df, STATION, "station_median_energy_wh", aggregates, method)
+    return _with_median(df, STATION, "station_median_energy_wh", aggregates)
 
 
 def legacy_charger_stats(df: DataFrame) -> DataFrame:

@@ -33,7 +33,6 @@ from chargeweave.schemas import (
 from chargeweave.session import stage
 
 STATION_ROW_CAP = 300
-PRE_SHUFFLE_LIMIT = 1000
 CAP_SALTS = 64
 OUTLIER_QUANTILE = 0.99
 LEGACY_CLIP_QUANTILE = 0.995
@@ -89,9 +88,9 @@ def drop_invalid(df: DataFrame) -> DataFrame:
 
 
 def outlier_limits(
-    df: DataFrame, q: float = OUTLIER_QUANTILE, method: str = "auto"
+    df: DataFrame, q: float = OUTLIER_QUANTILE
 ) -> dict[str, float | None]:
-    return quantiles(df, [ENERGY, POWER], q, method)
+    return quantiles(df, [ENERGY, POWER], q)
 
 
 def within(limits: dict[str, float | None]) -> Column:
@@ -99,9 +98,9 @@ def within(limits: dict[str, float | None]) -> Column:
     return tests[0] & tests[1]
 
 
-def drop_outliers(df: DataFrame, q: float = OUTLIER_QUANTILE, method: str = "auto") -> DataFrame:
+def drop_outliers(df: DataFrame, q: float = OUTLIER_QUANTILE) -> DataFrame:
     """Step 4: drop rows above the quantile of either metric; both limits come from ``df``."""
-    return df.where(within(outlier_limits(df, q, method)))
+    return df.where(within(outlier_limits(df, q)))
 
 
 def drop_dead(df: DataFrame) -> DataFrame:
@@ -144,23 +143,21 @@ def _newest(df: DataFrame, keys: list[str], cap: int) -> DataFrame:
     return df.withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= cap).drop("_nth")
 
 
-def cap_stations(df: DataFrame, cap: int = STATION_ROW_CAP) -> DataFrame:
-    """Step 8: the most recent ``cap`` rows of every station, ties by charger.
+def cap_stations(df: DataFrame, cap: int | None = STATION_ROW_CAP) -> DataFrame:
+    """Step 8: the most recent ``cap`` rows of every station, ties by charger; None keeps all.
 
-    Spark applies a rank limit up to ``PRE_SHUFFLE_LIMIT`` before the shuffle as well, so a task
-    sends at most ``cap`` rows per station and a hot station never arrives whole in one task. For a
-    higher cap the rows of a station are first capped in salted parts, which cannot lose any of its
-    newest rows.
+    The rows of a station are first capped in salted parts, which cannot lose any of its newest
+    rows, so a hot station never arrives whole in one task.
     """
-    if cap > PRE_SHUFFLE_LIMIT:
-        salted = df.withColumn("_salt", F.pmod(F.xxhash64(CHARGER, TS), F.lit(CAP_SALTS)))
-        df = _newest(salted, [STATION, "_salt"], cap).drop("_salt")
-    return _newest(df, [STATION], cap)
+    if cap is None:
+        return df
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(CHARGER, TS), F.lit(CAP_SALTS)))
+    return _newest(_newest(salted, [STATION, "_salt"], cap).drop("_salt"), [STATION], cap)
 
 
 def clean(
     raw: DataFrame,
-    cap: int = STATION_ROW_CAP,
+    cap: int | None = STATION_ROW_CAP,
     q: float = OUTLIER_QUANTILE,
     recompute_time: bool = True,
     staged: bool = True,
@@ -173,9 +170,9 @@ def clean(
     return cap_stations(fix_types(kept, recompute_time), cap)
 
 
-def clip_upper(df: DataFrame, q: float = LEGACY_CLIP_QUANTILE, method: str = "auto") -> DataFrame:
+def clip_upper(df: DataFrame, q: float = LEGACY_CLIP_QUANTILE) -> DataFrame:
     """Cap both metrics at their quantile without removing rows."""
-    limits = quantiles(df, [ENERGY, POWER], q, method)
+    limits = quantiles(df, [ENERGY, POWER], q)
     return df.withColumns(
         {c: measures.at_most(F.col(c), v) for c, v in limits.items() if v is not None}
     )

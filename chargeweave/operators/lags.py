@@ -1,7 +1,6 @@
 """Lagged and rolling station features.
 
-A plain window per station would put a hot station into one task. Beyond a small input the window
-therefore runs per (station, hour); each such chunk first receives the up to six snapshots that
+A plain window per station would put a hot station into one task. The window therefore runs per (station, hour); each such chunk first receives the up to six snapshots that
 precede it, taken from the tails of the station's earlier chunks.
 """
 
@@ -12,7 +11,6 @@ from pyspark.sql import functions as F
 
 from chargeweave.functions.timefeat import minute_number
 from chargeweave.schemas import PERIOD, STATION, TS
-from chargeweave.session import is_small
 
 HALO = 6
 SHORT, LONG = 3, 6
@@ -62,34 +60,30 @@ def _with_halo(df: DataFrame, keys: list[str]) -> DataFrame:
     return chunked.withColumn("_is_halo", F.lit(False)).unionByName(halo, allowMissingColumns=True)
 
 
-def _lagged(df: DataFrame, keys: list[str], method: str) -> DataFrame:
-    if method == "auto":
-        method = "window" if is_small(df) else "chunks"
-    if method == "window":
-        return df.withColumns(_lag_columns(keys))
+def _lagged(df: DataFrame, keys: list[str]) -> DataFrame:
     chunks = _with_halo(df, keys).withColumns(_lag_columns([*keys, "_chunk"]))
     return chunks.where(~F.col("_is_halo")).drop("_is_halo", "_chunk")
 
 
 def lag_features(
-    snapshots: DataFrame, partition_by_period: bool = False, method: str = "auto"
+    snapshots: DataFrame, partition_by_period: bool = False
 ) -> DataFrame:
     """Lags 1 and 2 of active chargers, lag 1 of power, and rolling means over 3 and 6 snapshots.
 
     Lags cross the gaps between collection windows unless ``partition_by_period``.
     """
     keys = [STATION, PERIOD] if partition_by_period else [STATION]
-    lagged = _lagged(snapshots, keys, method)
+    lagged = _lagged(snapshots, keys)
     return lagged.drop("_own_sum", "_own_count", "_own_rows")
 
 
-def lag_features_unbroken(snapshots: DataFrame, method: str = "auto") -> DataFrame:
+def lag_features_unbroken(snapshots: DataFrame) -> DataFrame:
     """Variant whose six-row mean runs on over the previous stations, in order of their ids.
 
     Only the first rows of a station reach back, so the lagged series' last five values of every
     station, one small row each, are enough to complete them.
     """
-    lagged = _lagged(snapshots, [STATION], method)
+    lagged = _lagged(snapshots, [STATION])
     newest = Window.partitionBy(STATION).orderBy(F.desc(TS))
     reach = LONG - 1
     tails = (

@@ -12,13 +12,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date, datetime
 from functools import reduce
+from math import isfinite
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chargeweave.session import is_small
-
 Level = tuple[str, Column]
 
 LOG_STEPS = (64, 2**20)
@@ -46,7 +45,7 @@ def rows_at_ranks(
 
     ``levels`` run from coarse to fine and every level must be non-decreasing in the order wanted.
     ``ranks`` gets the row count as a column and returns the rank columns; a rank outside the table
-    gives None.
+    gives None. The row count is returned as ``_n``.
     """
     name, expr = levels[0]
     counts = df.groupBy(expr.alias(name)).agg(F.count(F.lit(1)).alias("_rows"))
@@ -61,11 +60,11 @@ def rows_at_ranks(
     hits = (
         placed.select("*", wanted.alias("_slot", "_rank"))
         .where("_before <= _rank AND _rank < _before + _rows")
-        .select("_slot", name, (F.col("_rank") - F.col("_before")).alias("_rest"))
+        .select("_slot", name, "_n", (F.col("_rank") - F.col("_before")).alias("_rest"))
         .collect()
     )
     found: dict[int, tuple[dict[str, Any], int]] = {
-        h["_slot"]: ({name: h[name]}, h["_rest"]) for h in hits
+        h["_slot"]: ({name: h[name], "_n": h["_n"]}, h["_rest"]) for h in hits
     }
     slots = len(ranks(F.lit(0)))
 
@@ -102,7 +101,8 @@ def rows_at_ranks(
 def log_bucket(value: Column, steps: int) -> Column:
     """Integer that never decreases as ``value`` grows: sign and ``steps`` buckets per octave."""
     offset = _MAX_EXPONENT * steps
-    size = F.floor(F.log2(F.abs(value)) * steps) + F.lit(offset)
+    octave = F.least(F.log2(F.abs(value)), F.lit(float(_MAX_EXPONENT - 1)))  # infinities come last
+    size = F.floor(octave * steps) + F.lit(offset)
     return F.when(value == 0, F.lit(0)).when(value > 0, size).otherwise(-size).cast("bigint")
 
 
@@ -115,49 +115,43 @@ def value_levels(value: Column) -> list[Level]:
     ]
 
 
-def quantiles(
-    df: DataFrame, columns: list[str], q: float, method: str = "auto"
-) -> dict[str, float | None]:
+def _between(low: float, high: float, fraction: float) -> float:
+    if low == high or fraction == 0:
+        return low
+    span = high - low
+    return low + span * fraction if isfinite(span) else low * (1 - fraction) + high * fraction
+
+
+def quantiles(df: DataFrame, columns: list[str], q: float) -> dict[str, float | None]:
     """Exact linearly interpolated quantile of each column over the whole table.
 
-    ``percentile`` merges all distinct values in one task, so it only runs on inputs Catalyst
-    estimates below ``session.SMALL_INPUT_BYTES``; beyond that the two neighbouring order
-    statistics are located by narrowing.
+    The two neighbouring order statistics are located by narrowing, whatever the size of the table.
     """
-    if method == "auto":
-        method = "percentile" if is_small(df) else "narrow"
-    if method == "percentile":
-        row = df.agg(*[F.percentile(c, q).alias(c) for c in columns]).first()
-        return row.asDict()
     result: dict[str, float | None] = {}
     for c in columns:
         known = df.where(F.col(c).isNotNull())
-        total = known.count()
-        if total == 0:
+        rows = rows_at_ranks(
+            known,
+            value_levels(F.col(c)),
+            lambda n: [F.floor((n - 1) * F.lit(q)), F.ceil((n - 1) * F.lit(q))],
+        )
+        if rows[0] is None:
             result[c] = None
             continue
-        position = (total - 1) * q
-        low_rank = int(position)
-        ranks = sorted({low_rank, min(low_rank + 1, total - 1)})
-        rows = rows_at_ranks(known, value_levels(F.col(c)), lambda n, r=ranks: [F.lit(x) for x in r])
         low, high = rows[0]["_v"], rows[-1]["_v"]
-        result[c] = low + (high - low) * (position - low_rank)
+        position = (rows[0]["_n"] - 1) * q
+        result[c] = _between(low, high, position - int(position))
     return result
 
 
 def grouped_quantile(
-    df: DataFrame, keys: list[str], column: str, q: float, alias: str, method: str = "auto"
+    df: DataFrame, keys: list[str], column: str, q: float, alias: str
 ) -> DataFrame:
     """Exact interpolated quantile per group; a group may be larger than one task can hold.
 
     Values are first counted per (group, value), which spreads a hot group over all tasks. Two
     histograms then leave only the few values around the wanted rank of each group.
     """
-    if method == "auto":
-        method = "percentile" if is_small(df) else "narrow"
-    if method == "percentile":
-        return df.groupBy(*keys).agg(F.percentile(column, q).alias(alias))
-
     value = F.col(column)
     counted = (
         df.where(value.isNotNull())
@@ -168,12 +162,12 @@ def grouped_quantile(
     counted = counted.withColumns(
         {"_b0": log_bucket(F.col("_v"), coarse), "_b1": log_bucket(F.col("_v"), fine)}
     )
-    low = F.floor((F.col("_n") - 1) * F.lit(q))
-    high = F.ceil((F.col("_n") - 1) * F.lit(q))
+    first = F.floor((F.col("_n") - 1) * F.lit(q))
+    second = F.ceil((F.col("_n") - 1) * F.lit(q))
 
     def around_rank(placed: DataFrame) -> DataFrame:
-        holds_low = (F.col("_before") <= low) & (low < F.col("_before") + F.col("_rows"))
-        holds_high = (F.col("_before") <= high) & (high < F.col("_before") + F.col("_rows"))
+        holds_low = (F.col("_before") <= first) & (first < F.col("_before") + F.col("_rows"))
+        holds_high = (F.col("_before") <= second) & (second < F.col("_before") + F.col("_rows"))
         return placed.where(holds_low | holds_high)
 
     by_group = Window.partitionBy(*keys)
@@ -199,5 +193,11 @@ def grouped_quantile(
     )
     # at most two values per group are left here
     fraction = (F.max("_n") - 1) * F.lit(q) - F.floor((F.max("_n") - 1) * F.lit(q))
-    span = F.max("_v") - F.min("_v")
-    return values.groupBy(*keys).agg((F.min("_v") + span * fraction).alias(alias))
+    low, high = F.min("_v"), F.max("_v")
+    infinite = F.abs(high - low) == float("inf")
+    between = (
+        F.when((low == high) | (fraction == 0), low)
+        .when(infinite, low * (1 - fraction) + high * fraction)
+        .otherwise(low + (high - low) * fraction)
+    )
+    return values.groupBy(*keys).agg(between.alias(alias))

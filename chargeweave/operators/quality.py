@@ -107,9 +107,9 @@ def target_by_split(df: DataFrame, target: str) -> DataFrame:
     return df.groupBy(SPLIT).agg(F.avg(target).alias("mean_target"))
 
 
-def target_report(df: DataFrame, target: str, method: str = "auto") -> DataFrame:
+def target_report(df: DataFrame, target: str) -> DataFrame:
     """Description of a target column with its exact median."""
-    median = quantiles(df, [target], 0.5, method)[target]
+    median = quantiles(df, [target], 0.5)[target]
     return describe(df, [target]).withColumn("median", F.lit(median))
 
 

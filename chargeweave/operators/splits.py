@@ -95,11 +95,11 @@ def third_period_split(
 ) -> DataFrame:
     """The two lowest periods train, the third is cut at ``train_share`` and halfway to its end.
 
-    Periods after the third are dropped. With fewer than three periods the whole table is cut
+    Periods after the third and rows without one are dropped. With fewer than three periods the whole table is cut
     80/10/10 in the given order.
     """
     levels = time_levels(keys or [STATION, CHARGER])
-    lowest = [r[0] for r in df.select(PERIOD).distinct().orderBy(PERIOD).limit(3).collect()]
+    lowest = [r[0] for r in df.where(F.col(PERIOD).isNotNull()).select(PERIOD).distinct().orderBy(PERIOD).limit(3).collect()]
     if len(lowest) < 3:
         cuts = rows_at_ranks(df, levels, _share_ranks(TRAIN_SHARE, VAL_SHARE_END))
         return df.withColumn(SPLIT, label_by_cuts(levels, *cuts))

@@ -33,7 +33,7 @@ from chargeweave.schemas import (
     STATION,
     TS,
 )
-from chargeweave.session import is_small, stage
+from chargeweave.session import stage
 
 # Columns derived from the energy target, and statistics over future rows.
 LEAKED = ["estimated_capacity_wh", "leftover_energy_wh", "power_to_energy_ratio"]
@@ -105,7 +105,7 @@ def congestion_features(
     The lagged snapshots are staged: finding the cuts and labelling then only scan them.
     """
     snapshots = agg.station_snapshots(cleaned, every)
-    if staged and not is_small(cleaned):
+    if staged:
         # the chunked lags read the snapshots twice
         snapshots = stage(snapshots, "station_snapshots")
     if unbroken_rolling:

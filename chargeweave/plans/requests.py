@@ -92,6 +92,15 @@ def _iso_date(df: DataFrame, name: str) -> Column:
     return F.when(F.col(name).rlike(r"^\d{4}-\d{2}-\d{2}$"), F.col(name).try_cast("date"))
 
 
+def _malformed(df: DataFrame, name: str, kind: str) -> Column:
+    """A value that is there but is not of its type; a fraction is no integer."""
+    given = F.col(name)
+    bad = given.try_cast(kind).isNull()
+    if kind in ("int", "bigint", "long") and isinstance(df.schema[name].dataType, T.FractionalType):
+        bad = bad | (given != F.floor(given))
+    return given.isNotNull() & bad
+
+
 def check_requests(requests: DataFrame, product: str) -> DataFrame:
     """Typed requests with defaults filled in and a ``reject_reason``, NULL for valid ones.
 
@@ -99,6 +108,11 @@ def check_requests(requests: DataFrame, product: str) -> DataFrame:
     """
     spec = REQUESTS[product]
     values: dict[str, Column] = {}
+    malformed = [
+        F.when(_malformed(requests, name, kind), F.lit(f"{name} is not of type {kind}"))
+        for name, kind in [*((n, k) for n, (k, _) in spec.optional.items()), ("hour", "int")]
+        if name in requests.columns
+    ]
     for name, (kind, default) in spec.optional.items():
         given = F.col(name).try_cast(kind) if name in requests.columns else F.lit(None).cast(kind)
         values[name] = given if default is None else F.coalesce(given, F.lit(default).cast(kind))
@@ -110,8 +124,10 @@ def check_requests(requests: DataFrame, product: str) -> DataFrame:
         *[F.when(F.col(c).isNull(), F.lit(f"{c} is required")) for c in spec.required],
         F.when(F.col("target_date").isNull(), F.lit("target_date is not an ISO date")),
         F.when(~F.col("hour").between(0, 23), F.lit("hour is not in 0-23")),
+        F.col("_malformed"),
     )
-    return requests.withColumns(values).withColumn("reject_reason", reason)
+    marked = requests.withColumn("_malformed", F.coalesce(*malformed, F.lit(None).cast("string")))
+    return marked.withColumns(values).withColumn("reject_reason", reason).drop("_malformed")
 
 
 def valid_requests(requests: DataFrame, product: str) -> DataFrame:
@@ -224,6 +240,7 @@ def with_charger_history(requests: DataFrame, history: DataFrame) -> DataFrame:
         "charger_max_energy_wh": F.when(known, F.col("_charger_max_energy_wh")).otherwise(used * 1.5),
         "charger_mean_energy_wh": F.when(known, F.col("_charger_mean_energy_wh")).otherwise(used),
         "station_id": F.when(known, F.col("_station_id")).otherwise(F.lit(UNKNOWN_STATION)),
+        "charger_looked_up": F.lit(True),
     }
     helpers = ["_known", "_charger_max_energy_wh", "_charger_mean_energy_wh", "_station_id"]
     return joined.withColumns(values).drop(*helpers)
@@ -239,7 +256,9 @@ def feature_rows(requests: DataFrame, product: str) -> DataFrame:
     if product == "leftover":
         used, power = F.col("energy_consumed_wh"), F.col("current_power_kw")
         named = F.when(F.col("station_id") != "", F.col("station_id"))
-        peak = F.coalesce("charger_max_energy_wh", used * 1.5)
+        peak, mean = F.col("charger_max_energy_wh"), F.col("charger_mean_energy_wh")
+        if "charger_looked_up" not in requests.columns:  # a known charger's missing value stays missing
+            peak, mean = F.coalesce(peak, used * 1.5), F.coalesce(mean, used)
         values |= {
             STATION: F.coalesce(named, F.lit(UNKNOWN_STATION)),
             POWER: power,
@@ -247,7 +266,7 @@ def feature_rows(requests: DataFrame, product: str) -> DataFrame:
             "is_idle_charger": measures.idle_flag(power),
             ENERGY: used,
             "charger_max_energy_wh": peak,
-            "charger_mean_energy_wh": F.coalesce("charger_mean_energy_wh", used),
+            "charger_mean_energy_wh": mean,
             "estimated_capacity_wh": measures.capacity(peak),
         }
     else:

@@ -13,8 +13,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-SMALL_INPUT_BYTES = 64 * 1024 * 1024
-
 
 def build_session(master: str | None = None, **conf: str) -> SparkSession:
     """Session with UTC time, AQE (coalescing, skew joins) and the caller's own settings on top."""
@@ -70,17 +68,3 @@ def stage(df: DataFrame, label: str, partition_by: list[str] | None = None) -> D
     writer.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     return back.select(*df.columns)
-
-
-def input_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate of ``df``, or None where the session does not expose it."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except AttributeError:
-        return None
-
-
-def is_small(df: DataFrame, limit: int = SMALL_INPUT_BYTES) -> bool:
-    """True only if the estimated input is so small that one task can hold all of it."""
-    size = input_bytes(df)
-    return size is not None and size <= limit

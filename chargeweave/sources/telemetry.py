@@ -31,14 +31,22 @@ def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType =
     return spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
 
 
-def read_table(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
-    return spark.read.format(format).load(path)
+def read_table(
+    spark: SparkSession, path: str, format: str = "parquet", schema: T.StructType | None = None
+) -> DataFrame:
+    """A table of ``write_table``. CSV has no types, so its schema must be given."""
+    reader = spark.read.format(format)
+    if format == "csv":
+        if schema is None:
+            raise ValueError("CSV tables are read with a schema")
+        reader = reader.option("header", True).option("enforceSchema", False)
+    return (reader.schema(schema) if schema is not None else reader).load(path)
 
 
 def extract(df: DataFrame, start: str, end: str) -> DataFrame:
     """The seven telemetry columns of ``start <= timestamp < end``, ordered by time."""
     lo, hi = (F.lit(x).cast("timestamp_ntz") for x in (start, end))
-    return df.where((F.col(TS) >= lo) & (F.col(TS) < hi)).select(*EXTRACT_COLUMNS).orderBy(TS)
+    return df.where((F.col(TS) >= lo) & (F.col(TS) < hi)).select(*EXTRACT_COLUMNS).orderBy(TS, STATION, CHARGER)
 
 
 def read_search_hits(spark: SparkSession, path: str | list[str], multi_line: bool = True) -> DataFrame:

@@ -81,13 +81,13 @@ def s5(lake: Lake) -> DataFrame:
 @query(
     "s6_merge_periods",
     READING,
-    """SELECT * REPLACE (CASE WHEN month("timestamp") = 12 THEN NULL ELSE soc_pct END AS soc_pct) FROM raw
-    WHERE month("timestamp") IN (4, 11, 12)""",
+    """SELECT * REPLACE (CASE WHEN month("timestamp") = 12 THEN NULL ELSE soc_pct END AS soc_pct) FROM raw""",
 )
 def s6(lake: Lake) -> DataFrame:
     """Three period extracts, the second of them without the state of charge."""
     month = F.month(TS)
-    first, second, third = (lake.raw.where(month == m) for m in (11, 12, 4))
+    first, second = (lake.raw.where(month == m) for m in (11, 12))
+    third = lake.raw.where(F.coalesce(~month.isin(11, 12), F.lit(True)))
     return telemetry.merge_periods([first, second.drop("soc_pct"), third])
 
 
@@ -169,4 +169,6 @@ def o1(lake: Lake) -> DataFrame:
 def o2(lake: Lake) -> DataFrame:
     from chargeweave.operators.cleaning import resolve_by_max_energy
 
-    return resolve_by_max_energy(lake.unique).orderBy(F.desc_nulls_last("max_energy_wh"))
+    return resolve_by_max_energy(lake.unique).orderBy(
+        F.desc_nulls_last("max_energy_wh"), STATION, TS, "charger_id"
+    )

@@ -136,7 +136,7 @@ def a9(lake: Lake) -> DataFrame:
 )
 def a9_narrowed(lake: Lake) -> DataFrame:
     """The way taken beyond small inputs."""
-    limits = cleaning.outlier_limits(lake.valid, method="narrow")
+    limits = cleaning.outlier_limits(lake.valid)
     return lake.spark.createDataFrame(list(limits.items()), "metric string, value double")
 
 

@@ -78,12 +78,11 @@ def test_invalid_and_dead_rows(readings):
     assert rows(cleaning.drop_dead(valid), "charger_id") == [("C4",)]
 
 
-@pytest.mark.parametrize("method", ["percentile", "narrow"])
-def test_outlier_limit_keeps_ties(readings, method):
+def test_outlier_limit_keeps_ties(readings):
     df = readings([("S1", f"C{i}", at(1), min(float(i), 90.0), float(i), 1.0, None) for i in range(101)])
-    limits = cleaning.outlier_limits(df, 0.99, method)
+    limits = cleaning.outlier_limits(df, 0.99)
     assert limits == {"max_energy_wh": 99.0, "avg_pwr_kw": 90.0}
-    assert cleaning.drop_outliers(df, 0.99, method).count() == 100
+    assert cleaning.drop_outliers(df, 0.99).count() == 100
 
 
 def test_clip_keeps_rows_and_nulls(readings):
@@ -196,3 +195,9 @@ def test_hot_key_and_copies(spark):
     )
     resolved = cleaning.resolve_by_mean(cleaning.exact_dedup(copies.union(near)))
     assert rows(resolved, "charger_id", "avg_pwr_kw") == [("C1", 5.0), ("C2", 1499.5)]
+
+
+def test_cap_none_keeps_all_rows(readings):
+    df = readings([("s", f"c{i}", at(1), 1.0, 1.0, 1.0, None) for i in range(400)])
+    assert cleaning.cap_stations(df, None).count() == 400
+    assert cleaning.cap_stations(df, 300).count() == 300

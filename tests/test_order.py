@@ -17,13 +17,13 @@ COMMON = dict(deadline=None, suppress_health_check=[HealthCheck.function_scoped_
 @settings(max_examples=6, **COMMON)
 def test_narrowed_quantile_equals_numpy(spark, values, q):
     df = spark.createDataFrame([(v,) for v in values], "v double")
-    got = order_stats.quantiles(df, ["v"], q, method="narrow")["v"]
+    got = order_stats.quantiles(df, ["v"], q)["v"]
     assert got == pytest.approx(float(np.quantile(values, q)), rel=1e-12, abs=1e-12)
 
 
 def test_quantile_of_nothing(spark):
     df = spark.createDataFrame([(None,)], "v double")
-    assert order_stats.quantiles(df, ["v"], 0.5, method="narrow") == {"v": None}
+    assert order_stats.quantiles(df, ["v"], 0.5) == {"v": None}
 
 
 def test_value_levels_never_decrease(spark):
@@ -40,8 +40,8 @@ def test_grouped_quantile_with_a_hot_group(spark):
     rows += [(f"g{i % 40}", float(i * 37 % 101)) for i in range(400)] + [("one", 3.0), ("two", 1.0), ("two", 2.0)]
     df = spark.createDataFrame(rows + [("none", None)], "g string, v double")
     for q in (0.5, 0.99):
-        slow = order_stats.grouped_quantile(df, ["g"], "v", q, "m", method="narrow")
-        fast = order_stats.grouped_quantile(df.where("v is not null"), ["g"], "v", q, "m", method="percentile")
+        slow = order_stats.grouped_quantile(df, ["g"], "v", q, "m")
+        fast = df.where("v is not null").groupBy("g").agg(F.percentile("v", q).alias("m"))
         a = {r.g: r.m for r in slow.collect()}
         b = {r.g: r.m for r in fast.collect()}
         assert a == pytest.approx(b)
@@ -111,3 +111,12 @@ def test_seeded_sample(timed):
     assert splits.seeded_sample(timed, keys, 500).count() == 123
     one, two = (splits.seeded_sample(timed, keys, 20) for _ in range(2))
     assert one.exceptAll(two).count() == 0
+
+
+def test_quantiles_with_infinities(spark):
+    rows = [(0, float(x)) for x in range(9)] + [(0, float("inf")), (1, float("-inf")), (1, 2.0)]
+    df = spark.createDataFrame(rows, "g int, v double")
+    assert order_stats.quantiles(df, ["v"], 1.0) == {"v": float("inf")}
+    assert order_stats.quantiles(df, ["v"], 0.0) == {"v": float("-inf")}
+    got = {r["g"]: r["m"] for r in order_stats.grouped_quantile(df, ["g"], "v", 0.5, "m").collect()}
+    assert got == {0: 4.5, 1: float("-inf")}

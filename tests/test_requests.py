@@ -130,3 +130,27 @@ def test_partitioned_table_is_pruned(spark, lake):
     plan = telemetry.read_table(spark, path).where("collection_period = 1")
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(collection_period" in text
+
+
+def test_malformed_values_are_rejected(spark):
+    from chargeweave.plans.requests import check_requests
+
+    rows = [("s", "c", "2026-04-01", h, p) for h, p in [("abc", "1"), ("17.6", "1"), ("5", "oops"), ("5", "2.5"), (None, None)]]
+    df = spark.createDataFrame(rows, "station_id string, charger_id string, target_date string, hour string, avg_pwr_kw string")
+    got = [r["reject_reason"] for r in check_requests(df, "energy").collect()]
+    assert got == ["hour is not of type int"] * 2 + ["avg_pwr_kw is not of type double", None, None]
+
+
+def test_known_charger_without_statistics_stays_missing(spark):
+    from chargeweave.plans.requests import charger_history, feature_rows, with_charger_history
+
+    history = spark.sql(
+        "SELECT 'c' AS charger_id, 'st' AS charging_station_id, TIMESTAMP_NTZ '2026-04-01 00:00:00' AS timestamp,"
+        " CAST(NULL AS double) AS charger_max_energy_wh, CAST(NULL AS double) AS charger_mean_energy_wh"
+    )
+    asked = spark.sql(
+        "SELECT id AS charger_id, DATE '2026-04-02' AS target_date, 5 AS hour, 100.0D AS energy_consumed_wh,"
+        " 1.0D AS current_power_kw FROM VALUES ('c'), ('new') AS t(id)"
+    )
+    rows = feature_rows(with_charger_history(asked, charger_history(history)), "leftover").collect()
+    assert {r["charger_id"]: r["charger_max_energy_wh"] for r in rows} == {"c": None, "new": 150.0}
