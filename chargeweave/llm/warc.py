@@ -7,8 +7,9 @@ part of all records is no single task; only headers and digests are moved, never
 
 ``status`` is resolved (validators agree), mismatch, unverified (no validator in common) or orphan
 (no earlier response). Of responses at one time the larger record id is taken. A null URL or date
-makes an orphan. Header names are matched without case; null headers are none. Repeated rows repeat.
-Columns other than those named are ignored.
+makes an orphan. Header names are matched without case, and of names that differ only in case the
+first one of the map counts; null headers are none. Repeated rows repeat. Columns other than those
+named are ignored.
 """
 
 from __future__ import annotations
@@ -41,12 +42,21 @@ def _tag(headers: Column) -> Column:
     return F.regexp_replace(F.try_element_at(headers, F.lit("etag")), r"^W/", "")
 
 
+def _lower_names(headers: Column) -> Column:
+    """``headers`` with names in lower case; of names that become equal the first one stays."""
+    names = F.transform(F.map_keys(headers), F.lower)
+    values = F.map_values(headers)
+    once = F.array_distinct(names)
+    first = F.transform(once, lambda k: F.get(values, (F.array_position(names, k) - 1).cast("int")))
+    return F.when(F.size(once) == F.size(names), F.map_from_arrays(names, values)).otherwise(
+        F.map_from_arrays(once, first)
+    )
+
+
 def resolve(records: DataFrame) -> DataFrame:
     """Every revisit of ``records`` (record_id, type, url, date, headers, digest) with url_key,
     status, refers_to, digest and headers (map) after merging."""
-    lower = F.transform_keys(
-        F.coalesce("headers", F.create_map().cast("map<string,string>")), lambda k, _: F.lower(k)
-    )
+    lower = _lower_names(F.coalesce("headers", F.create_map().cast("map<string,string>")))
     rows = records.select(
         "record_id",
         (F.col("type") == "response").alias("full"),

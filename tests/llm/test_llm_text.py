@@ -11,6 +11,7 @@ import tiktoken
 
 from chargeweave.llm import bpe, chat, counting, mixing, pii, quality, queries, warc
 from compare import connect, difference
+from pyspark.sql import functions as F
 
 SMALL = "/root/testdata/sf0.001"
 RANKS = tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -183,6 +184,11 @@ def test_revisits(spark):
     }
     merged = warc.resolve(records).where("record_id = 'r1'").first()["headers"]
     assert merged == {"etag": 'W/"1"', "vary": "A", "age": "3", "expires": "e"}
+    twice = records.where("record_id in ('a', 'r1')").withColumn(
+        "headers", F.create_map(*map(F.lit, ("ETag", '"1"', "etag", '"2"', "Date", "x")))
+    )
+    both = warc.resolve(twice).collect()
+    assert [(r["status"], r["headers"]) for r in both] == [("resolved", {"etag": '"1"', "date": "x"})]
 
 
 def test_empty(spark):
