@@ -69,7 +69,12 @@ def resolve(records: DataFrame) -> DataFrame:
     lost = rows.where(~usable & ~F.col("full")).withColumn("found", F.lit(None).cast(
         "struct<record_id:string,headers:map<string,string>,digest:string>"
     ))
-    rows = rows.where(usable).withColumn("chunk", F.floor(F.unix_timestamp("date") / CHUNK_SECONDS))
+    rows = (
+        rows.where(usable)
+        .withColumn("chunk", F.floor(F.unix_timestamp("date") / CHUNK_SECONDS))
+        .where("chunk is not null")
+        .repartition("url_key", "chunk")  # one exchange serves both uses of the rows
+    )
     response = F.when(
         F.col("full"),
         F.struct(F.col("record_id").cast("string").alias("record_id"), "headers", "digest"),
