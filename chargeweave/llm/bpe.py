@@ -135,13 +135,15 @@ class Vocabulary:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
+#: A worker serves encoding and decoding tasks in turn; each finds its vocabulary and cache again.
 _loaded: dict[tuple[int, str], Vocabulary] = {}
 
 
 def _vocabulary(shared, pattern: str) -> Vocabulary:
     key = (id(shared.value), pattern)
     if key not in _loaded:
-        _loaded.clear()
+        if len(_loaded) >= 2:
+            _loaded.clear()
         _loaded[key] = Vocabulary(shared.value, pattern)
     return _loaded[key]
 
