@@ -4,7 +4,8 @@ Of every byte prefix of a pre-token exactly one token can be the last of its enc
 way to see it is that a token may follow the last token of the shorter prefix only if the two,
 merged on their own, stay the same two tokens. So one token per prefix is stored, the encoding is
 read from the end, bytes can be appended without looking back, and an edit keeps the prefixes before
-it. Pre-tokens are cached per task up to ``CACHE`` entries.
+it. Pre-tokens that a worker has not met before are sorted, so that each starts from the prefixes it
+shares with the one before; up to ``CACHE`` are kept.
 
 Null texts count as empty; invalid UTF-8 is read with replacement characters. Other columns pass
 through, and columns named like the results are replaced.
@@ -14,7 +15,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+import os.path
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Pre-tokens a worker keeps, and the characters from which on it forgets one after use.
 CACHE = 400_000
+LONG = 256
+#: Characters whose new pre-tokens are encoded together.
+TOGETHER = 4_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -38,27 +45,28 @@ class Prefixes:
     def __init__(self, vocabulary: Vocabulary, data: bytes = b""):
         self.vocabulary = vocabulary
         self.data = b""
-        self.last: list[bytes] = []
+        self.last: list[int] = []
         self.append(data)
 
     def append(self, more: bytes) -> None:
         v = self.vocabulary
         self.data += more
-        data, last, ranks, longest = self.data, self.last, v.ranks, v.longest
+        data, last, rank, pairs, n = self.data, self.last, v.ranks.get, v.pairs.get, v.size
         for end in range(len(last) + 1, len(data) + 1):
-            for start in range(max(0, end - longest), end):
-                token = data[start:end]
-                if token not in ranks:
+            # One token fits, so the order is free; the short ones fit most often.
+            for start in range(end - 1, max(0, end - v.longest) - 1, -1):
+                b = rank(data[start:end])
+                if b is None:
                     continue
                 if start == 0:
-                    fits = v.whole(token)
+                    fits = v.whole(b)
                 else:
-                    pair = (last[start - 1], token)
-                    fits = v.pairs.get(pair)
+                    pair = last[start - 1] * n + b
+                    fits = pairs(pair)
                     if fits is None:
-                        fits = v.fits(*pair)
+                        fits = v.fits(pair)
                 if fits:
-                    last.append(token)
+                    last.append(b)
                     break
             else:
                 raise ValueError(f"no token ends at byte {end} of {data!r}")
@@ -66,31 +74,38 @@ class Prefixes:
     def replace(self, start: int, end: int, by: bytes) -> None:
         """Put ``by`` in place of [start, end); prefixes before ``start`` are kept."""
         rest = self.data[end:]
-        self.data, self.last = self.data[:start], self.last[:start]
+        self.data = self.data[:start]
+        del self.last[start:]
         self.append(by + rest)
 
-    def tokens(self) -> list[bytes]:
-        out, end = [], len(self.data)
+    def ids(self) -> list[int]:
+        out, end, sizes = [], len(self.data), self.vocabulary.sizes
         while end:
             out.append(self.last[end - 1])
-            end -= len(out[-1])
+            end -= sizes[out[-1]]
         return out[::-1]
 
+    def tokens(self) -> list[bytes]:
+        return [self.vocabulary.tokens[x] for x in self.ids()]
+
 
 class Vocabulary:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.tokens = {b: a for a, b in ranks.items()}
+        self.size = max(ranks.values()) + 1
+        self.sizes = {a: len(b) for b, a in ranks.items()}
         self.longest = max(map(len, ranks))
         self.split = regex.compile(pattern).findall
-        self.pairs: dict[tuple[bytes, bytes], bool] = {}
-        self.wholes: dict[bytes, bool] = {}
+        self.pairs: dict[int, bool] = {}  # by id * size + id
+        self.wholes: dict[int, bool] = {}
+        self.split_at: dict[int, tuple[int, int] | None] = {}
         self.pieces: dict[str, tuple[int, ...]] = {}
 
-    def merge(self, data: bytes) -> list[bytes]:
-        """The merges in order of rank; only for one or two tokens at a time."""
+    def merge(self, data: bytes, until: int = 1) -> list[bytes]:
+        """The merges in order of rank, down to ``until`` parts; only for one or two tokens."""
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
+        while len(parts) > until:
             best = min(
                 (self.ranks.get(parts[i] + parts[i + 1], len(self.ranks)), i)
                 for i in range(len(parts) - 1)
@@ -100,35 +115,93 @@ class Vocabulary:
             parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
         return parts
 
-    def whole(self, token: bytes) -> bool:
-        if token not in self.wholes:
-            self.wholes[token] = self.merge(token) == [token]
-        return self.wholes[token]
+    def whole(self, token: int) -> bool:
+        found = self.wholes.get(token)
+        if found is None:
+            data = self.tokens[token]
+            self.wholes[token] = found = self.merge(data) == [data]
+        return found
 
-    def fits(self, a: bytes, b: bytes) -> bool:
+    def halves(self, token: int) -> tuple[int, int] | None:
+        """The two ids whose merge is the last one of a token; a byte and itself for a byte. None if
+        some merge on the way has a lower rank than one before it, so that ranks tell no order."""
+        if token not in self.split_at:
+            data, found = self.tokens[token], (token, token)
+            if len(data) > 1:
+                a, b = (self.ranks[x] for x in self.merge(data, 2))
+                kept = max(a, b) < token and self.halves(a) and self.halves(b)
+                found = (a, b) if kept else None
+            self.split_at[token] = found
+        return self.split_at[token]
+
+    def fits(self, pair: int) -> bool:
+        """Whether two tokens side by side stay as they are. Their merges are undone, the latest
+        first; at no moment may the parts at the border merge before the next one of either side."""
         if len(self.pairs) >= 4 * CACHE:
             self.pairs.clear()
-        self.pairs[a, b] = found = self.whole(b) and self.merge(a + b) == [a, b]
+        left, right = divmod(pair, self.size)
+        if not self.whole(right):
+            found = False
+        elif self.halves(left) is None or self.halves(right) is None:
+            both = [self.tokens[left], self.tokens[right]]
+            found = self.merge(both[0] + both[1]) == both
+        else:
+            found = self._apart(left, right)
+        self.pairs[pair] = found
         return found
 
-    def piece(self, piece: str) -> tuple[int, ...]:
-        data = piece.encode()
-        if data in self.ranks:
-            found = (self.ranks[data],)
-        else:
-            found = tuple(map(self.ranks.__getitem__, Prefixes(self, data).tokens()))
-        if len(self.pieces) >= CACHE:
+    def _apart(self, left: int, right: int) -> bool:
+        tokens, sizes = self.tokens, self.sizes
+        limit = self.size
+        while True:
+            if self.ranks.get(tokens[left] + tokens[right], self.size) < limit:
+                return False
+            if sizes[left] == 1 and sizes[right] == 1:
+                return True
+            # Of two equal merges the left one comes first.
+            if sizes[right] == 1 or (sizes[left] > 1 and left > right):
+                limit, left = left, self.halves(left)[1]
+            else:
+                limit, right = right + 1, self.halves(right)[0]
+
+    def learn(self, pieces: set[str]) -> None:
+        """Encode the pre-tokens not met before in order of their bytes, each from the prefix it
+        shares with the one before."""
+        new = pieces - self.pieces.keys()
+        if len(self.pieces) + len(new) > CACHE:
             self.pieces.clear()
-        if len(data) <= 256:
-            self.pieces[piece] = found
-        return found
+            new = pieces
+        before = Prefixes(self)
+        for data in sorted(x.encode() for x in new):
+            if data in self.ranks:
+                found = (self.ranks[data],)
+            else:
+                same = len(os.path.commonprefix((before.data, data)))
+                before.replace(same, len(before.data), data[same:])
+                found = tuple(before.ids())
+            self.pieces[data.decode()] = found
+
+    def encode_all(self, texts: Iterable[str]) -> Iterator[list[int]]:
+        """The ids of each text; texts are taken together up to ``TOGETHER`` characters."""
+        split, size = [], 0
+        for text in texts:
+            split.append(self.split(text))
+            size += len(text)
+            if size >= TOGETHER:
+                yield from self._joined(split)
+                split, size = [], 0
+        yield from self._joined(split)
+
+    def _joined(self, split: list[list[str]]) -> Iterator[list[int]]:
+        distinct = set(chain.from_iterable(split))
+        self.learn(distinct)
+        for pieces in split:
+            yield list(chain.from_iterable(map(self.pieces.__getitem__, pieces)))
+        for long in (x for x in distinct if len(x) > LONG):
+            del self.pieces[long]
 
     def encode(self, text: str) -> list[int]:
-        ids: list[int] = []
-        known, extend = self.pieces, ids.extend
-        for piece in self.split(text):
-            found = known.get(piece)
-            extend(self.piece(piece) if found is None else found)
+        (ids,) = self.encode_all([text])
         return ids
 
     def decode(self, ids) -> bytes:
@@ -175,8 +248,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFr
     def work(column: pa.Array) -> list[pa.Array]:
         v = _vocabulary(shared, pattern)
         offsets, flat = [0], []
-        for data in column:
-            ids = v.encode((data.as_py() or b"").decode("utf-8", "replace"))
+        for ids in v.encode_all((x.as_py() or b"").decode("utf-8", "replace") for x in column):
             flat.append(np.array(ids, np.int32))
             offsets.append(offsets[-1] + len(ids))
         values = np.concatenate(flat) if flat else np.empty(0, np.int32)

@@ -130,6 +130,18 @@ def test_bpe(docs):
     assert b"".join(grown.tokens()) == b" interXYionalisations"
 
 
+def test_bpe_borders_are_those_of_the_merges():
+    v = bpe.Vocabulary(bpe.read_ranks(RANKS), tokenizers.PATTERN)
+    few = [v.ranks[x] for x in (b"a", b"aa", b" a", b"ab", b"in", b"ing", b" the", b"th", b"er")]
+    for a in few:
+        for b in few:
+            both = [v.tokens[a], v.tokens[b]]
+            assert v.fits(a * v.size + b) == (v.merge(b"".join(both)) == both)
+    texts = ["a" * 700, "", "the thing", " then there", "the thing " * 50]
+    assert list(v.encode_all(texts)) == [v.encode(x) for x in texts]
+    assert all(len(x) <= bpe.LONG for x in v.pieces)
+
+
 def test_trie_counts(docs):
     path = tokenizers.path("piece_bpe_32k.model")
     scores = counting.read_scores(path)
