@@ -303,6 +303,14 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return _with_both(pairs, sets, "set").mapInArrow(_linked, "u long, v long").distinct()
 
 
+def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """The components after more links: those of the stars found so far and the new links."""
+    if links.isEmpty():
+        return found
+    stars = found.select(F.col("node").alias("u"), F.col("component").alias("v"))
+    return components(stars.union(links))
+
+
 def cluster(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document."""
     rows = stage(sketch(docs), "sketches")
@@ -329,11 +337,9 @@ def cluster(docs: DataFrame) -> DataFrame:
         .select(F.col("doc_id").alias("u"), F.col("id").alias("v"))
     )
     first = pairs.groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
-    links = stage(_confirmed(first, sets).union(same), "links")
-    found = components(links)
+    found = components(stage(_confirmed(first, sets).union(same), "links"))
     rest = _apart(pairs.join(first, ["u", "v"], "left_anti"), found)
-    links = stage(links.union(_confirmed(rest, sets)), "links")
-    found = components(links)
+    found = _joined(found, stage(_confirmed(rest, sets), "links"))
     left = stage(open_members(shared, found), "open_buckets")
     ids = left.select("id", "n").distinct()
     total = ids.agg(F.sum("n")).first()[0]
@@ -348,9 +354,7 @@ def cluster(docs: DataFrame) -> DataFrame:
                 .withColumn("component", F.coalesce("component", "id"))
             )
             open_ = across(members, centers).join(pairs, ["u", "v"], "left_anti")
-            more = stage(_confirmed(open_, sets), "links")
-            links = stage(links.union(more), "links")
-            found = components(links)
+            found = _joined(found, stage(_confirmed(open_, sets), "links"))
     component = F.when(
         F.col("n_shingles") > 0, F.coalesce("component", "id", "doc_id")
     ).otherwise(F.col("doc_id"))
