@@ -4,8 +4,8 @@ A pre-token is a word with the word mark before it; its segmentation into pieces
 vocabulary is the one with the highest sum of piece scores, the shortest of these. The best score of
 every prefix is kept at its node of the trie, so words that share a prefix share the work, and the
 count of a finished word is kept at its end. A character in no piece costs more than any piece and
-counts as its UTF-8 bytes. A task drops its trie when it has ``MAX_NODES`` nodes; results do not
-depend on that.
+counts as its UTF-8 bytes. A worker drops its trie when it has ``MAX_NODES`` nodes and its finished
+words when there are ``MAX_WORDS``; results do not depend on that.
 
 Null and empty texts have no tokens; invalid UTF-8 is read with replacement characters. Rows are
 counted one by one. Other columns pass through, but for ones named like the results.
@@ -13,7 +13,6 @@ counted one by one. Other columns pass through, but for ones named like the resu
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,7 +22,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MARK = "▁"
-MAX_NODES = 400_000
+#: Nodes and finished words a worker keeps, and the bytes from which on it forgets a word after use.
+MAX_NODES = 1_000_000
+MAX_WORDS = 1_000_000
+LONG = 256
 #: Scores are whole numbers; a value is score * UNIT - tokens.
 UNIT = 1 << 24
 
@@ -43,19 +45,27 @@ class Trie:
         self.scores = {piece: score * UNIT - 1 for piece, score in scores.items()}
         self.longest = max(map(len, scores), default=1)
         self.unknown = (min(scores.values(), default=0) - 10) * UNIT
+        self.counts: dict[bytes, int] = {}  # at the ends of words
         self.clear()
 
     def clear(self) -> None:
         self.children: dict[tuple[int, str], int] = {}
         self.values = [0]  # of the best segmentation of the prefix that ends at the node
-        self.counts: dict[str, int] = {}  # at the ends of words
 
-    def count(self, word: str) -> int:
-        found = self.counts.get(word)
-        if found is None:
-            found = self.insert(MARK + word)
-            self.counts[word] = found
-        return found
+    def count(self, words: list[bytes]) -> int:
+        """The tokens of all words together."""
+        counts = self.counts
+        new = set(words).difference(counts)
+        if len(counts) + len(new) > MAX_WORDS:
+            counts.clear()
+            new = set(words)
+        for word in new:
+            counts[word] = self.insert(MARK + word.decode("utf-8", "replace"))
+        total = sum(map(counts.__getitem__, words))
+        for word in new:
+            if len(word) > LONG:
+                del counts[word]
+        return total
 
     def insert(self, word: str) -> int:
         if len(self.values) > MAX_NODES:
@@ -101,9 +111,9 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
             words, tokens = [], []
             for value in batch.column(text):
                 # On bytes, split() cuts at space and \\x09-\\x0D only.
-                found = Counter((value.as_py() or b"").split())
-                words.append(found.total())
-                tokens.append(sum(n * trie.count(w.decode("utf-8", "replace")) for w, n in found.items()))
+                found = (value.as_py() or b"").split()
+                words.append(len(found))
+                tokens.append(trie.count(found))
             arrays = [batch.column(f.name) for f in kept] + [pa.array(x, pa.int64()) for x in (words, tokens)]
             yield pa.RecordBatch.from_arrays(arrays, schema.names)
 
