@@ -59,7 +59,7 @@ MAY_HOLD_LOOSE = {
     "card": r"[0-9]{4}[._/][0-9]{4}",
     "phone": r"[0-9]{3}[\x20.-][0-9]{4}",
 }
-_BYTE = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 SHAPE = {
     "email": r"^[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}.*[.)\]]\x20?[A-Za-z]{2,24}$",
     "ip": r"^[0-9]{1,3}(?:\D+[0-9]{1,3}){3}$",

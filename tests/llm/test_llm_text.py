@@ -210,3 +210,16 @@ def test_empty(spark):
     assert pii.report(none).count() == 0
     assert bpe.digests(none, RANKS, tokenizers.PATTERN).count() == 0
     assert chat.rotate(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_addresses_with_zero_parts(spark):
+    texts = ["10.0.0.1", "at 0.0.0.0, 192.168.0.1", "000.1.2.3 0255.00.010.0", "0256.0.0.1 1.2.3.256 00.000.0.1000", "1.2.3.4 10.0.0.0.10.0.0.1"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.report(docs).collect()}
+    for i, text in enumerate(texts):
+        want = _spans(text)
+        assert got[i]["n_ip"] == sum(s.startswith("ip") for s in want)
+        assert got[i]["base_sha256"] == hashlib.sha256(",".join(want).encode()).hexdigest()
+        assert set(want) <= set(got[i]["spans"].split(",")) | {""}
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
+    assert clean[0] == "<IP>" and clean[1] == "at <IP>, <IP>"
