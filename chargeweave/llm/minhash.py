@@ -32,16 +32,17 @@ from chargeweave.llm.components import components
 from chargeweave.session import stage
 
 WORDS = 5
+#: The least similarity of a link where the caller names none.
 PERCENT = 85
-BANDS = 24
-ROWS = 5
+MINIMA = 120
+#: A pair at the least similarity shares no band with at most this probability.
+MISS = 1e-6
 CENTERS = 8
 #: Shingles counted in one task.
 SLICE = 4_000_000
-#: Signatures may agree this much less than the sets: six standard deviations.
+#: Signatures may agree this much less than the sets, or six standard deviations if that is more.
 SLACK = 0.2
 
-_K = BANDS * ROWS
 _CHUNK = 4096
 
 
@@ -59,8 +60,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 _PLACES = _constants(1, WORDS + 1)
-_FACTORS = _constants(2, _K)[:, None]
-_SHIFTS = _constants(3, _K)[:, None]
+_FACTORS = _constants(2, MINIMA)[:, None]
+_SHIFTS = _constants(3, MINIMA)[:, None]
 
 
 def shingles(text: bytes) -> np.ndarray:
@@ -78,8 +79,8 @@ def shingles(text: bytes) -> np.ndarray:
 
 
 def signature(of: np.ndarray) -> bytes:
-    """The minima of ``_K`` universal hashes, 32 bits each."""
-    least = np.full(_K, np.iinfo(np.uint64).max)
+    """The minima of ``MINIMA`` universal hashes, 32 bits each."""
+    least = np.full(MINIMA, np.iinfo(np.uint64).max)
     for at in range(0, len(of), _CHUNK):
         np.minimum(least, (of[None, at : at + _CHUNK] * _FACTORS + _SHIFTS).min(axis=1), out=least)
     return (least >> np.uint64(32)).astype("<u4").tobytes()
@@ -121,26 +122,35 @@ def _full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return raw.join(ids, raw.doc_id == ids.id, "left_semi").mapInArrow(_sets, "id long, set binary")
 
 
-def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        a, b = (
-            np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, _K)
-            for c in ("su", "sv")
-        )
-        good = (a == b).mean(axis=1) >= PERCENT / 100 - SLACK
-        yield batch.select(["u", "v"]).filter(pa.array(good))
+def _agree(percent: int):
+    p = percent / 100
+    least = p - max(SLACK, 6 * (p * (1 - p) / MINIMA) ** 0.5)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a, b = (
+                np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, MINIMA)
+                for c in ("su", "sv")
+            )
+            good = (a == b).mean(axis=1) >= least
+            yield batch.select(["u", "v"]).filter(pa.array(good))
+
+    return run
 
-def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        good = []
-        for a, b in zip(batch.column("su"), batch.column("sv"), strict=True):
-            x, y = np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            good.append(len(x) > 0 and 100 * both >= PERCENT * (len(x) + len(y) - both))
-        yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
+
+def _linked(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for a, b in zip(batch.column("su"), batch.column("sv"), strict=True):
+                x, y = np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(len(x) > 0 and 100 * both >= percent * (len(x) + len(y) - both))
+            yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
+
+    return run
 
 
 def _with_both(pairs: DataFrame, of: DataFrame, column: str) -> DataFrame:
@@ -149,9 +159,9 @@ def _with_both(pairs: DataFrame, of: DataFrame, column: str) -> DataFrame:
     return pairs.join(left, "u").join(right, "v").select("u", "v", "su", "sv")
 
 
-def _sizes_allow() -> Column:
+def _sizes_allow(percent: int) -> Column:
     low, high = F.least("a.n", "b.n"), F.greatest("a.n", "b.n")
-    return 100 * low >= PERCENT * high
+    return 100 * low >= percent * high
 
 
 def _ordered_pairs(joined: DataFrame) -> DataFrame:
@@ -160,22 +170,33 @@ def _ordered_pairs(joined: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def _keys() -> Column:
+def banding(percent: int) -> tuple[int, int]:
+    """Bands and minima in each: the widest bands that miss a pair at ``percent`` with less than
+    ``MISS``, as 24 bands of 5 at 85 and 30 bands of 4 at 80."""
+    for rows in range(MINIMA, 0, -1):
+        bands = MINIMA // rows
+        if MINIMA % rows == 0 and (1 - (percent / 100) ** rows) ** bands < MISS:
+            return bands, rows
+    return MINIMA, 1
+
+
+def _keys(percent: int) -> Column:
     """The band values of a signature; the number of the band is part of each."""
-    width = 4 * ROWS
+    bands, rows = banding(percent)
+    width = 4 * rows
     return F.array(
-        *(F.xxhash64(F.lit(b), F.substring("signature", b * width + 1, width)) for b in range(BANDS))
+        *(F.xxhash64(F.lit(b), F.substring("signature", b * width + 1, width)) for b in range(bands))
     )
 
 
-def buckets(heads: DataFrame) -> DataFrame:
+def buckets(heads: DataFrame, percent: int) -> DataFrame:
     """band, key, id, n, place for every band value that two or more representatives share."""
-    bands = heads.select("id", "n", F.posexplode(_keys()).alias("band", "key"))
+    bands = heads.select("id", "n", F.posexplode(_keys(percent)).alias("band", "key"))
     shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     return bands.join(shared, "key").withColumn("place", F.xxhash64("id"))
 
 
-def candidates(shared: DataFrame) -> DataFrame:
+def candidates(shared: DataFrame, percent: int) -> DataFrame:
     """Pairs of members with the first members of their buckets, sizes allowing."""
     first = Window.partitionBy("key").orderBy("place", "id")
     centers = shared.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= CENTERS)
@@ -183,7 +204,7 @@ def candidates(shared: DataFrame) -> DataFrame:
     later = (F.col("b.place") < F.col("a.place")) | (
         (F.col("b.place") == F.col("a.place")) & (F.col("b.id") < F.col("a.id"))
     )
-    return _ordered_pairs(a.join(b, (F.col("a.key") == F.col("b.key")) & later & _sizes_allow()))
+    return _ordered_pairs(a.join(b, (F.col("a.key") == F.col("b.key")) & later & _sizes_allow(percent)))
 
 
 def _dealt(slices: int):
@@ -259,7 +280,7 @@ def open_members(shared: DataFrame, found: DataFrame) -> DataFrame:
     return members.join(several, "key", "left_semi").select("key", "band", "id", "n", "component")
 
 
-def across(members: DataFrame, centers: int | None) -> DataFrame:
+def across(members: DataFrame, centers: int | None, percent: int) -> DataFrame:
     """Pairs of members of different components, as far as their common shingles allow a link, from
     the first band (of ``keys``) that they share; with ``centers``, only those with the members of a
     bucket that have the smallest share alone."""
@@ -272,7 +293,7 @@ def across(members: DataFrame, centers: int | None) -> DataFrame:
     if centers is None:
         differ = F.col("a.component") < F.col("b.component")
     common = F.least(F.col("a.n") - F.col("a.alone"), F.col("b.n") - F.col("b.alone"))
-    allowed = 100 * common >= PERCENT * (F.col("a.n") + F.col("b.n") - common)
+    allowed = 100 * common >= percent * (F.col("a.n") + F.col("b.n") - common)
     if centers is None:  # a bucket's centers need not be those of the buckets before
         earlier = F.arrays_overlap(*(F.slice(f"{x}.keys", F.lit(1), F.col("a.band")) for x in "ab"))
         allowed = allowed & ~earlier
@@ -295,12 +316,13 @@ def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
     )
 
 
-def _agreeing(pairs: DataFrame, heads: DataFrame) -> DataFrame:
-    return _with_both(pairs, heads, "signature").mapInArrow(_agree, "u long, v long").distinct()
+def _agreeing(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
+    both = _with_both(pairs, heads, "signature")
+    return both.mapInArrow(_agree(percent), "u long, v long").distinct()
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    return _with_both(pairs, sets, "set").mapInArrow(_linked, "u long, v long").distinct()
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    return _with_both(pairs, sets, "set").mapInArrow(_linked(percent), "u long, v long").distinct()
 
 
 def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
@@ -311,8 +333,9 @@ def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
     return components(stars.union(links))
 
 
-def cluster(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every document."""
+def cluster(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every document; links have ``percent`` or more of
+    their shingles in common."""
     rows = stage(sketch(docs), "sketches")
     named = rows.where("doc_id is not null and n_shingles > 0")
     classes = stage(named.groupBy("print").agg(F.min("doc_id").alias("id")), "classes")
@@ -323,8 +346,8 @@ def cluster(docs: DataFrame) -> DataFrame:
         .select("id", F.col("n_shingles").alias("n"), "signature"),
         "heads",
     )
-    shared = stage(buckets(heads), "buckets")
-    pairs = stage(_agreeing(candidates(shared), heads), "pairs")
+    shared = stage(buckets(heads, percent), "buckets")
+    pairs = stage(_agreeing(candidates(shared, percent), heads, percent), "pairs")
     wanted = _ids(pairs).union(_large(shared).select("id")).distinct()
     sets = stage(_full_sets(docs, wanted), "sets")
     # A document whose rows have different texts is in several classes.
@@ -337,15 +360,15 @@ def cluster(docs: DataFrame) -> DataFrame:
         .select(F.col("doc_id").alias("u"), F.col("id").alias("v"))
     )
     first = pairs.groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
-    found = components(stage(_confirmed(first, sets).union(same), "links"))
+    found = components(stage(_confirmed(first, sets, percent).union(same), "links"))
     rest = _apart(pairs.join(first, ["u", "v"], "left_anti"), found)
-    found = _joined(found, stage(_confirmed(rest, sets), "links"))
+    found = _joined(found, stage(_confirmed(rest, sets, percent), "links"))
     left = stage(open_members(shared, found), "open_buckets")
     ids = left.select("id", "n").distinct()
     total = ids.agg(F.sum("n")).first()[0]
     if total:
         alone = stage(alone_counts(sets.join(ids.select("id").distinct(), "id", "left_semi"), total), "alone")
-        keys = heads.select("id", _keys().alias("keys")).join(alone, "id").dropDuplicates(["id"])
+        keys = heads.select("id", _keys(percent).alias("keys")).join(alone, "id").dropDuplicates(["id"])
         known = stage(keys, "alone")
         for centers in (CENTERS, None):
             now = found.withColumnRenamed("node", "id")
@@ -353,8 +376,8 @@ def cluster(docs: DataFrame) -> DataFrame:
                 left.drop("component").join(known, "id").join(now, "id", "left")
                 .withColumn("component", F.coalesce("component", "id"))
             )
-            open_ = across(members, centers).join(pairs, ["u", "v"], "left_anti")
-            found = _joined(found, stage(_confirmed(open_, sets), "links"))
+            open_ = across(members, centers, percent).join(pairs, ["u", "v"], "left_anti")
+            found = _joined(found, stage(_confirmed(open_, sets, percent), "links"))
     component = F.when(
         F.col("n_shingles") > 0, F.coalesce("component", "id", "doc_id")
     ).otherwise(F.col("doc_id"))
@@ -367,8 +390,8 @@ def cluster(docs: DataFrame) -> DataFrame:
     )
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One document of each component, in full; rows without doc_id all stay."""
-    kept = cluster(docs).where("kept").select("doc_id").distinct()
+    kept = cluster(docs, percent).where("kept").select("doc_id").distinct()
     named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))

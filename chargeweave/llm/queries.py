@@ -34,7 +34,7 @@ def op4_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.cluster(_table(spark, sf_dir, "documents"))
+    return minhash.cluster(_table(spark, sf_dir, "documents"), percent=85)
 
 
 def op6_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from chargeweave.llm import bpe, minhash, mixing, pii, quality
 from chargeweave.session import ensure_folder, stage
 
+#: Near copies share this part of their five-word shingles, or more.
+NEAR_PERCENT = 80
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 ORACLE_SQL = None
@@ -24,7 +26,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    return minhash.keep_one(docs)
+    return minhash.keep_one(docs, NEAR_PERCENT)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
