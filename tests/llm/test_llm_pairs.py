@@ -166,3 +166,20 @@ def test_empty_tables(spark):
     assert suffixes.report(docs).count() == 0
     vectors = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert ann.search(vectors, F.col("vec_id") % 100 == 0).count() == 0
+
+
+def test_repeats_of_rows_without_an_own_id(spark):
+    """Rows without doc_id, or with another row's, are cut by their own repeats only."""
+    r = random.Random(17)
+    p, q = " ".join(_words(40, r)), " ".join(_words(40, r))
+    texts = {i: [" ".join(_words(60, r)) for _ in range(6)] for i in (None, 3)}
+    for i, found in texts.items():
+        found += [f"{p} {i} x", f"{p} {i} y", f"{texts[i][0]} {q}", f"{q} z{i}"]  # p at one start
+    rows = [(1, p)] + [(i, t) for i, found in texts.items() for t in found]
+    rows += [(None, q), (None, q)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    order = sorted(rows, key=lambda x: (x[0] is None, x[0] or 0, hashlib.sha256(x[1].encode()).digest()))
+    want = [(order[k][0], *w[1:]) for k, w in enumerate(_kept([(k, t) for k, (_, t) in enumerate(order)]))]
+    got = [tuple(x) for x in suffixes.report(table).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert all(n_removed <= n_bytes for _, n_bytes, n_removed, _, _ in got)
