@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chargeweave.operators.cleaning import clean
+from chargeweave.operators.cleaning import STATION_ROW_CAP, clean
 from chargeweave.operators.evaluation import compare_models
 from chargeweave.operators.quality import inspect
 from chargeweave.operators.splits import random_split
@@ -18,9 +18,12 @@ from chargeweave.session import stage
 from chargeweave.sources.telemetry import append_metrics, read_table, write_table
 
 
-def clean_to_table(raw: DataFrame, path: str) -> DataFrame:
-    """Run the cleaning steps and write the cleaned table, partitioned by collection window."""
-    write_table(clean(raw), path, partition_by=[PERIOD])
+def clean_to_table(raw: DataFrame, path: str, cap: int | None = STATION_ROW_CAP) -> DataFrame:
+    """Run the cleaning steps and write the cleaned table, partitioned by collection window.
+
+    ``cap`` readings of every station at most, the newest; None keeps all.
+    """
+    write_table(clean(raw, cap=cap), path, partition_by=[PERIOD])
     return read_table(raw.sparkSession, path)
 
 

@@ -26,9 +26,12 @@ LEGACY_TRIAL = Boosting(
 
 
 class Lake:
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(
+        self, spark: SparkSession, sf_dir: str, cap: int | None = cleaning.STATION_ROW_CAP
+    ):
         self.spark = spark
         self.sf_dir = sf_dir
+        self.cap = cap
         self._features: dict[str, DataFrame] = {}
         self._models: dict[str, FittedProduct] = {}
 
@@ -65,9 +68,16 @@ class Lake:
 
     @cached_property
     def cleaned(self) -> DataFrame:
-        capped = cleaning.cap_stations(cleaning.fix_types(self.in_session))
+        capped = cleaning.cap_stations(cleaning.fix_types(self.in_session), self.cap)
         return stage(capped, "cleaned")
 
+    @cached_property
+    def uncapped(self) -> Lake:
+        """The same tables from all typed readings, without the station cap."""
+        other = Lake(self.spark, self.sf_dir, cap=None)
+        other.valid = self.valid
+        return other
+
     @cached_property
     def legacy_kept(self) -> DataFrame:
         unique = cleaning.resolve_by_max_energy(self.unique)

@@ -57,8 +57,11 @@ def emit_sql(body: str, spec: str) -> str:
     return f"SELECT {', '.join(out)} FROM ({body}) AS q"
 
 
-def query(name: str, spec: str, sql: str | None = None):
-    """Register ``fn(lake) -> DataFrame`` under ``name``, with its SQL twin where there is one."""
+def query(name: str, spec: str, sql: str | None = None, uncapped: bool = False):
+    """Register ``fn(lake) -> DataFrame`` under ``name``, with its SQL twin where there is one.
+
+    With ``uncapped``, also as ``<name>_uncapped`` over the tables without the station cap.
+    """
 
     def register(fn: Callable[[Lake], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +72,10 @@ def query(name: str, spec: str, sql: str | None = None):
         QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = with_tables(emit_sql(sql, spec))
+        if uncapped:
+            QUERIES[f"{name}_uncapped"] = lambda spark, sf_dir: emit(fn(lake(spark, sf_dir).uncapped), spec)
+            if sql is not None:
+                ORACLES[f"{name}_uncapped"] = with_tables(emit_sql(sql, spec), capped=False)
         return fn
 
     return register

@@ -272,19 +272,23 @@ TABLES: dict[str, str] = {
 }
 
 
-def with_tables(sql: str) -> str:
-    """Prefix ``sql`` with the named tables it needs, each after the ones it reads."""
+def with_tables(sql: str, capped: bool = True) -> str:
+    """Prefix ``sql`` with the named tables it needs, each after the ones it reads.
+
+    Without ``capped``, ``cleaned`` holds all typed readings.
+    """
+    tables = TABLES if capped else TABLES | {"cleaned": "SELECT * FROM typed"}
     needed: list[str] = []
 
     def need(text: str) -> None:
-        for name in TABLES:
+        for name in tables:
             if name not in needed and re.search(rf"(?:FROM|JOIN|,)\s+{name}\b", text):
-                need(TABLES[name])
+                need(tables[name])
                 if name not in needed:
                     needed.append(name)
 
     need(sql)
     if not needed:
         return sql
-    ctes = ",\n".join(f"{name} AS ({TABLES[name]})" for name in needed)
+    ctes = ",\n".join(f"{name} AS ({tables[name]})" for name in needed)
     return f"WITH {ctes}\n{sql}"

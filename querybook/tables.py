@@ -44,17 +44,17 @@ LEFTOVER_TABLE = (
 )
 
 
-@query("energy_features", ENERGY_TABLE, "SELECT * FROM energy_features")
+@query("energy_features", ENERGY_TABLE, "SELECT * FROM energy_features", uncapped=True)
 def energy(lake: Lake) -> DataFrame:
     return features.energy_features(lake.charger_base)
 
 
-@query("soc_features", SOC_TABLE, "SELECT * FROM soc_features")
+@query("soc_features", SOC_TABLE, "SELECT * FROM soc_features", uncapped=True)
 def soc(lake: Lake) -> DataFrame:
     return features.soc_features(lake.cleaned)
 
 
-@query("congestion_features", CONGESTION_TABLE, "SELECT * FROM congestion_features")
+@query("congestion_features", CONGESTION_TABLE, "SELECT * FROM congestion_features", uncapped=True)
 def congestion(lake: Lake) -> DataFrame:
     return features.congestion_features(lake.cleaned)
 
@@ -64,12 +64,12 @@ def congestion_unbroken(lake: Lake) -> DataFrame:
     return features.congestion_features(lake.cleaned, unbroken_rolling=True)
 
 
-@query("demand_features", DEMAND_TABLE, "SELECT * FROM demand_features")
+@query("demand_features", DEMAND_TABLE, "SELECT * FROM demand_features", uncapped=True)
 def demand(lake: Lake) -> DataFrame:
     return features.demand_features(lake.cleaned)
 
 
-@query("leftover_features", LEFTOVER_TABLE, "SELECT * FROM leftover_features")
+@query("leftover_features", LEFTOVER_TABLE, "SELECT * FROM leftover_features", uncapped=True)
 def leftover(lake: Lake) -> DataFrame:
     return features.leftover_features(lake.cleaned)
 
@@ -80,6 +80,7 @@ def leftover(lake: Lake) -> DataFrame:
     "is_late_night:i estimated_capacity_wh:f leftover_energy_wh:f power_to_energy_ratio:f "
     "station_mean_energy_wh:f station_mean_power_kw:f",
     "SELECT * FROM charger_base",
+    uncapped=True,
 )
 def base(lake: Lake) -> DataFrame:
     return features.charger_base(lake.cleaned)
@@ -102,7 +103,7 @@ def legacy(lake: Lake) -> DataFrame:
 SNAPSHOT = "charging_station_id timestamp active_chargers:i total_chargers:i total_power_kw:f"
 
 
-@query("a1_station_snapshots", f"{SNAPSHOT} {TIME} collection_period:i", "SELECT * FROM snapshots")
+@query("a1_station_snapshots", f"{SNAPSHOT} {TIME} collection_period:i", "SELECT * FROM snapshots", uncapped=True)
 def a1(lake: Lake) -> DataFrame:
     return agg.station_snapshots(lake.cleaned)
 
@@ -113,6 +114,7 @@ def a1(lake: Lake) -> DataFrame:
     """SELECT charging_station_id, date_trunc('day', "timestamp") AS "timestamp",
       count(*) FILTER (WHERE avg_pwr_kw > 0) AS active_chargers, count(charger_id) AS total_chargers,
       sum(avg_pwr_kw) AS total_power_kw FROM cleaned GROUP BY 1, 2""",
+    uncapped=True,
 )
 def a1_daily(lake: Lake) -> DataFrame:
     return agg.station_snapshots(lake.cleaned, every="day")
@@ -123,6 +125,7 @@ def a1_daily(lake: Lake) -> DataFrame:
     "charging_station_id timestamp total_energy_wh:f total_chargers:i active_chargers:i "
     f"avg_energy_per_charger:f peak_power_kw:f {TIME} collection_period:i utilization_rate:f",
     "SELECT * FROM demand",
+    uncapped=True,
 )
 def a2(lake: Lake) -> DataFrame:
     return agg.demand_snapshots(lake.cleaned)
@@ -132,7 +135,7 @@ def _train(lake: Lake) -> DataFrame:
     return agg.train_rows(splits.period_time_split(lake.cleaned))
 
 
-@query("a3_station_stats", f"charging_station_id {STATION_STATS}", "SELECT * FROM station_stats")
+@query("a3_station_stats", f"charging_station_id {STATION_STATS}", "SELECT * FROM station_stats", uncapped=True)
 def a3(lake: Lake) -> DataFrame:
     return agg.station_stats(_train(lake))
 
@@ -143,18 +146,18 @@ def a3_narrowed(lake: Lake) -> DataFrame:
     return agg.station_stats(_train(lake))
 
 
-@query("a4_charger_stats", f"charger_id {CHARGER_STATS}", "SELECT * FROM charger_stats")
+@query("a4_charger_stats", f"charger_id {CHARGER_STATS}", "SELECT * FROM charger_stats", uncapped=True)
 def a4(lake: Lake) -> DataFrame:
     return agg.charger_stats(_train(lake))
 
 
-@query("a5_station_demand", "charging_station_id station_avg_hourly_demand:f station_peak_hourly_demand:f", "SELECT * FROM demand_stats")
+@query("a5_station_demand", "charging_station_id station_avg_hourly_demand:f station_peak_hourly_demand:f", "SELECT * FROM demand_stats", uncapped=True)
 def a5(lake: Lake) -> DataFrame:
     labelled = splits.period_time_split(agg.demand_snapshots(lake.cleaned), [STATION])
     return agg.station_demand_stats(agg.train_rows(labelled))
 
 
-@query("a6_charger_peaks", "charger_id charger_max_energy_wh:f charger_mean_energy_wh:f", "SELECT * FROM charger_peaks")
+@query("a6_charger_peaks", "charger_id charger_max_energy_wh:f charger_mean_energy_wh:f", "SELECT * FROM charger_peaks", uncapped=True)
 def a6(lake: Lake) -> DataFrame:
     return agg.charger_peak_stats(_train(lake))
 
@@ -231,7 +234,7 @@ def j4(lake: Lake) -> DataFrame:
 # -- windows and splits ------------------------------------------------------------------------
 
 
-@query("w1_lags", "charging_station_id timestamp lag_1_active:f lag_2_active:f lag_1_power_kw:f", "SELECT * FROM lagged")
+@query("w1_lags", "charging_station_id timestamp lag_1_active:f lag_2_active:f lag_1_power_kw:f", "SELECT * FROM lagged", uncapped=True)
 def w1(lake: Lake) -> DataFrame:
     return lags.lag_features(agg.station_snapshots(lake.cleaned))
 
@@ -250,33 +253,34 @@ def w1_chunks(lake: Lake) -> DataFrame:
       avg(active_chargers) OVER (w ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS roll_3_active,
       avg(active_chargers) OVER (w ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS roll_6_active
     FROM snapshots WINDOW w AS (PARTITION BY charging_station_id, collection_period ORDER BY "timestamp")""",
+    uncapped=True,
 )
 def w1_period(lake: Lake) -> DataFrame:
     return lags.lag_features(agg.station_snapshots(lake.cleaned), partition_by_period=True)
 
 
-@query("w2_rolling_means", "charging_station_id timestamp roll_3_active:f roll_6_active:f", "SELECT * FROM lagged")
+@query("w2_rolling_means", "charging_station_id timestamp roll_3_active:f roll_6_active:f", "SELECT * FROM lagged", uncapped=True)
 def w2(lake: Lake) -> DataFrame:
     return lags.lag_features(agg.station_snapshots(lake.cleaned))
 
 
-@query("w2_rolling_means_unbroken", "charging_station_id timestamp roll_6_active:f", "SELECT * FROM lagged_unbroken")
+@query("w2_rolling_means_unbroken", "charging_station_id timestamp roll_6_active:f", "SELECT * FROM lagged_unbroken", uncapped=True)
 def w2_unbroken(lake: Lake) -> DataFrame:
     return lags.lag_features_unbroken(agg.station_snapshots(lake.cleaned))
 
 
-@query("w4_period_time_split", f"{KEY} collection_period:i split", "SELECT * FROM labelled")
+@query("w4_period_time_split", f"{KEY} collection_period:i split", "SELECT * FROM labelled", uncapped=True)
 def w4(lake: Lake) -> DataFrame:
     return splits.period_time_split(lake.cleaned)
 
 
-@query("w5_station_split", "charging_station_id timestamp collection_period:i split", "SELECT * FROM congestion_features")
+@query("w5_station_split", "charging_station_id timestamp collection_period:i split", "SELECT * FROM congestion_features", uncapped=True)
 def w5(lake: Lake) -> DataFrame:
     rows = stage(lags.drop_incomplete(lags.lag_features(agg.station_snapshots(lake.cleaned))), "complete")
     return splits.period_time_split(rows, [STATION], other_periods="train")
 
 
-@query("w6_time_split", f"{KEY} split", "SELECT * FROM soc_features")
+@query("w6_time_split", f"{KEY} split", "SELECT * FROM soc_features", uncapped=True)
 def w6(lake: Lake) -> DataFrame:
     return splits.time_split(lake.cleaned.na.drop(subset=["soc_pct"]))
 
