@@ -22,7 +22,7 @@ SMOOTHING = 10.0
 LABEL = "_label"
 FOLD = "_fold"
 FOLDS = 5
-ROWS_PER_SHUFFLE_GROUP = 100_000
+SHUFFLE_GROUPS = 256
 
 
 @dataclass
@@ -227,26 +227,35 @@ def feature_importance(fitted: FittedProduct, top: int = 20) -> DataFrame:
     return frame.orderBy(F.desc("importance"), "feature").limit(top)
 
 
-def permutation_importance(fitted: FittedProduct, features: DataFrame, keys: list[str], seed: int = 42) -> DataFrame:
+def permutation_importance(
+    fitted: FittedProduct, features: DataFrame, keys: list[str], seed: int = 42, groups: int = SHUFFLE_GROUPS
+) -> DataFrame:
     """Rise of the test RMSE when one feature's values are exchanged between rows.
 
-    Rows are put into evenly filled hash groups and every feature takes the value of the next row of
-    its group in hash order. All features are scored in one pass over the exploded variants.
+    Every feature takes the value of the next row in hash order, the last row that of the first.
+    ``groups`` hash ranges are worked apart, the last row of each taking the first one of the next, so
+    their number does not change the figures. All features are scored in one pass over the exploded variants.
     """
     product = fitted.product
     test = only(labelled_rows(features, product), "test").drop(LABEL)
     names = product.feature_columns()
     h = F.xxhash64(F.lit(seed), *[F.col(k) for k in keys])
-    groups = max(1, test.count() // ROWS_PER_SHUFFLE_GROUP)
-    order = Window.partitionBy(F.pmod(h, F.lit(groups))).orderBy(h, *keys)
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    group = F.shiftright((F.shiftright(h, 32) + F.lit(2**31)) * F.lit(groups), 32)
+    test = test.withColumn("_group", group)
+    order = Window.partitionBy("_group").orderBy(h, *keys)
+    firsts = test.groupBy("_group").agg(F.min_by(F.struct(*names), F.struct(h, *keys)).alias("_first"))
+    along = Window.orderBy("_group")  # at most ``groups`` rows
+    whole = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    nexts = firsts.select(
+        "_group", F.coalesce(F.lead("_first").over(along), F.first("_first").over(whole)).alias("_next")
+    )
     wrapped = {
-        f"_other_{c}": F.when(F.lead(F.lit(1)).over(order).isNull(), F.first(c).over(whole)).otherwise(
+        f"_other_{c}": F.when(F.lead(F.lit(1)).over(order).isNull(), F.col("_next")[c]).otherwise(
             F.lead(c).over(order)
         )
         for c in names
     }
-    exchanged = test.withColumns(wrapped)
+    exchanged = test.join(F.broadcast(nexts), "_group").withColumns(wrapped)
     variants = exchanged.withColumn("_variant", F.explode(F.array(*[F.lit(c) for c in ["", *names]])))
     swapped = {c: F.when(F.col("_variant") == c, F.col(f"_other_{c}")).otherwise(F.col(c)) for c in names}
     rows = variants.withColumns(swapped).select(

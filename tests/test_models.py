@@ -88,3 +88,14 @@ def test_legacy_metrics_without_positive_actuals(spark):
     df = spark.createDataFrame([(0.0, 1.0), (0.0, 2.0)], "y double, p double")
     row = regression_metrics(df, "y", "p", "m").first()
     assert row.mape is None and row.mae == 1.5
+
+
+def test_permutation_does_not_depend_on_the_groups(spark):
+    product = Product("p", "y", ["id", "x", "k", "split", "y"], ["id"], exclude=["split", "k"], boosting=QUICK)
+    rows = [(i, "a", float(i % 10), s, float(i % 10) * 3) for i in range(90) for s in ("train", "val", "test")]
+    df = spark.createDataFrame(rows, "k int, id string, x double, split string, y double")
+    fit = models.fit(df, product)
+    one, many = (
+        {r.feature: r.rmse_rise for r in models.permutation_importance(fit, df, ["k"], groups=n).collect()} for n in (1, 256)
+    )
+    assert one == pytest.approx(many) and one["x"] > 1
