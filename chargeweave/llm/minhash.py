@@ -391,7 +391,27 @@ def cluster(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """One document of each component, in full; rows without doc_id all stay."""
-    kept = cluster(docs, percent).where("kept").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """One row of each component, in full: the least by doc_id, then by the digests of its text and
+    of its values. Rows that share a doc_id are compared by their texts like any others; rows without
+    doc_id all stay."""
+    names = docs.columns
+    rows = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    named = rows.where("doc_id is not null")
+    linked = cluster(named.select(F.col("_row").alias("doc_id"), "text"), percent).select(
+        F.col("doc_id").alias("_row"), "component_id"
+    )
+    order = F.struct(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("digest"),
+        F.xxhash64(*names).alias("values"),
+        "_row",
+    )
+    first = (
+        named.select("_row", order.alias("order"))
+        .join(linked, "_row")
+        .groupBy("component_id")
+        .agg(F.min("order").alias("first"))
+        .select(F.col("first._row").alias("_row"))
+    )
+    kept = named.join(first, "_row", "left_semi")
+    return kept.select(*names).unionByName(rows.where("doc_id is null").select(*names))

@@ -86,3 +86,12 @@ def test_stages_and_run(spark):
     want = bpe.encode(mixed, corpus_pipeline.RANKS, corpus_pipeline.public_tokenizers.PATTERN)
     got = corpus_pipeline.run(spark, SMALL)
     assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_rows_that_share_a_doc_id_go_by_their_texts(spark):
+    r = random.Random(9)
+    texts = [" ".join(_words(60, r)) for _ in range(4)]
+    rows = [(1, texts[0], "a"), (1, texts[1], "b"), (1, texts[0], "c"), (2, texts[1], "d"), (3, texts[2], "e"), (3, texts[3], "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = [sorted((x["doc_id"], texts.index(x["text"]), x["source"]) for x in minhash.keep_one(docs.repartition(n)).collect()) for n in (1, 4)]
+    assert [x[:2] for x in kept[0]] == [(1, 0), (1, 1), (3, 2), (3, 3)] and kept[0] == kept[1]
