@@ -7,7 +7,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from chargeweave.llm import ann, bpe, chat, counting, minhash, mixing, pii, quality, suffixes, warc
+from chargeweave.llm import (
+    ann,
+    bpe,
+    chat,
+    counting,
+    minhash,
+    mixing,
+    pii,
+    quality,
+    suffixes,
+    warc,
+    winnowing,
+)
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -57,6 +69,10 @@ def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.report(_table(spark, sf_dir, "pages"))
 
 
+def op13_winnow_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -70,6 +86,7 @@ QUERIES = {
         op8_prefix_bpe,
         op9_suffix_dedup,
         op10_warc_revisits,
+        op13_winnow_benchmark,
     )
 }
 QUERIES["pipeline"] = corpus_pipeline.run
@@ -192,7 +209,40 @@ SELECT record_id, url_key, seconds, status, 'full-' || f_page AS refers_to,
     CASE k WHEN 'weak' THEN 'vary: Accept' END], lambda x: x IS NOT NULL)), chr(10)) END AS headers
 FROM judged"""
 
+_CONTAMINATED = r"""
+WITH sought AS (
+  SELECT *, least(len(w), 10) AS span FROM (
+    SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all(translate(coalesce(text, ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM benchmark)
+  WHERE len(w) > 0
+), item_windows AS (
+  SELECT DISTINCT item, span, array_to_string(w[i:i + span - 1], ' ') AS g
+  FROM (SELECT *, unnest(range(1, len(w) - span + 2)) AS i FROM sought)
+), read_ AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), doc_windows AS (
+  SELECT rid, span, i, array_to_string(w[i:i + span - 1], ' ') AS g
+  FROM (SELECT rid, span, w, unnest(range(1, len(w) - span + 2)) AS i
+        FROM read_, (SELECT DISTINCT span FROM sought))
+), met AS (
+  SELECT rid, span, i, item FROM doc_windows JOIN item_windows USING (span, g)
+), hit AS (
+  SELECT rid, count(DISTINCT p) AS n
+  FROM (SELECT rid, unnest(range(i, i + span)) AS p FROM (SELECT DISTINCT rid, span, i FROM met)) GROUP BY rid
+), items AS (
+  SELECT rid, count(*) AS n, string_agg(item, ',' ORDER BY item) AS ids
+  FROM (SELECT DISTINCT rid, item FROM met) GROUP BY rid
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(hit.n, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(items.n, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  hit.n IS NOT NULL AS contaminated
+FROM read_ LEFT JOIN hit USING (rid) LEFT JOIN items USING (rid)"""
+
 ORACLES = {
+    "op13_winnow_benchmark": _CONTAMINATED,
     "op2_rotate_speakers": _ROTATED,
     "op10_warc_revisits": _REVISITS,
     "op6_host_quality": f"""WITH {_MEASURED}, {_VERDICTS}
