@@ -15,6 +15,7 @@ from chargeweave.llm import (
     minhash,
     mixing,
     pii,
+    prefixes,
     quality,
     suffixes,
     warc,
@@ -69,6 +70,10 @@ def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.report(_table(spark, sf_dir, "pages"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.report(_table(spark, sf_dir, "conversations"))
+
+
 def op13_winnow_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -86,6 +91,7 @@ QUERIES = {
         op8_prefix_bpe,
         op9_suffix_dedup,
         op10_warc_revisits,
+        op12_prefix_trie,
         op13_winnow_benchmark,
     )
 }
@@ -209,6 +215,52 @@ SELECT record_id, url_key, seconds, status, 'full-' || f_page AS refers_to,
     CASE k WHEN 'weak' THEN 'vary: Accept' END], lambda x: x IS NOT NULL)), chr(10)) END AS headers
 FROM judged"""
 
+_TRIE = r"""
+WITH crc AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)),
+    lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS steps
+), own AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (
+    PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS at
+  FROM conversations WHERE conv_id IS NOT NULL
+), plan AS (
+  SELECT conv_id, n, conv_id - conv_id % 5 AS opener, xor(4294967295, list_reduce(list_concat([4294967295],
+      list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))),
+      lambda c, b: xor(c >> 8, steps[CAST((xor(c, b) & 255) + 1 AS BIGINT)]))) % 9 AS h
+  FROM (SELECT conv_id, count(*) AS n FROM own GROUP BY conv_id), crc
+), shared AS (
+  SELECT p.conv_id, p.opener, p.h, least(p.h, coalesce(o.n, 0)) AS given
+  FROM plan p LEFT JOIN plan o ON o.conv_id = p.opener
+), rebuilt AS (
+  SELECT s.conv_id, at, role, text FROM shared s JOIN own o ON o.conv_id = s.opener AND at <= h
+  UNION ALL
+  SELECT s.conv_id, at - h + given, role, text FROM shared s JOIN own o ON o.conv_id = s.conv_id AND at > h
+), listed AS (
+  SELECT s.conv_id, coalesce(list(md5(length(role) || ':' || role || text) ORDER BY at)
+      FILTER (at IS NOT NULL), []) AS m,
+    list(strlen(text) ORDER BY at) FILTER (at IS NOT NULL) AS b
+  FROM shared s LEFT JOIN rebuilt r USING (conv_id) GROUP BY s.conv_id
+), steps_ AS (
+  SELECT conv_id, depth, array_to_string(m[1:depth], '') AS key,
+    CASE WHEN depth > 0 THEN array_to_string(m[1:depth - 1], '') END AS parent,
+    CASE WHEN depth > 0 THEN b[depth] ELSE 0 END AS bytes, depth = len(m) AS ends
+  FROM (SELECT *, unnest(range(0, len(m) + 1)) AS depth FROM listed)
+), nodes AS (
+  SELECT depth, key, parent, min(conv_id) AS conv_id, count(*) AS n_convs, max(bytes) AS bytes,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM steps_ GROUP BY depth, key, parent
+), children AS (
+  SELECT parent AS key, count(*) AS n_children FROM nodes WHERE parent IS NOT NULL GROUP BY parent
+), below AS (
+  SELECT s.key, sum((n.n_convs - 1) * n.bytes) AS saved, count(*) FILTER (n_children IS NULL) AS n_leaves
+  FROM nodes n LEFT JOIN children c ON c.key = n.key
+  JOIN steps_ s ON s.conv_id = n.conv_id AND s.depth <= n.depth GROUP BY s.key
+)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs,
+  CAST(coalesce(n_children, 0) AS BIGINT) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+  CAST(saved AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN below USING (key) LEFT JOIN children c ON c.key = n.key LEFT JOIN nodes p ON p.key = n.parent"""
+
 _CONTAMINATED = r"""
 WITH sought AS (
   SELECT *, least(len(w), 10) AS span FROM (
@@ -242,6 +294,7 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(hit.n, 0) AS BIG
 FROM read_ LEFT JOIN hit USING (rid) LEFT JOIN items USING (rid)"""
 
 ORACLES = {
+    "op12_prefix_trie": _TRIE,
     "op13_winnow_benchmark": _CONTAMINATED,
     "op2_rotate_speakers": _ROTATED,
     "op10_warc_revisits": _REVISITS,
