@@ -17,6 +17,7 @@ from chargeweave.llm import (
     pii,
     prefixes,
     quality,
+    spelling,
     suffixes,
     warc,
     winnowing,
@@ -70,6 +71,10 @@ def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.report(_table(spark, sf_dir, "pages"))
 
 
+def op11_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.report(_table(spark, sf_dir, "documents"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixes.report(_table(spark, sf_dir, "conversations"))
 
@@ -91,6 +96,7 @@ QUERIES = {
         op8_prefix_bpe,
         op9_suffix_dedup,
         op10_warc_revisits,
+        op11_spelling_groups,
         op12_prefix_trie,
         op13_winnow_benchmark,
     )
@@ -221,7 +227,7 @@ WITH crc AS (
     lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS steps
 ), own AS (
   SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (
-    PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS at
+    PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS nth
   FROM conversations WHERE conv_id IS NOT NULL
 ), plan AS (
   SELECT conv_id, n, conv_id - conv_id % 5 AS opener, xor(4294967295, list_reduce(list_concat([4294967295],
@@ -232,13 +238,13 @@ WITH crc AS (
   SELECT p.conv_id, p.opener, p.h, least(p.h, coalesce(o.n, 0)) AS given
   FROM plan p LEFT JOIN plan o ON o.conv_id = p.opener
 ), rebuilt AS (
-  SELECT s.conv_id, at, role, text FROM shared s JOIN own o ON o.conv_id = s.opener AND at <= h
+  SELECT s.conv_id, nth, role, text FROM shared s JOIN own o ON o.conv_id = s.opener AND nth <= h
   UNION ALL
-  SELECT s.conv_id, at - h + given, role, text FROM shared s JOIN own o ON o.conv_id = s.conv_id AND at > h
+  SELECT s.conv_id, nth - h + given, role, text FROM shared s JOIN own o ON o.conv_id = s.conv_id AND nth > h
 ), listed AS (
-  SELECT s.conv_id, coalesce(list(md5(length(role) || ':' || role || text) ORDER BY at)
-      FILTER (at IS NOT NULL), []) AS m,
-    list(strlen(text) ORDER BY at) FILTER (at IS NOT NULL) AS b
+  SELECT s.conv_id, coalesce(list(md5(length(role) || ':' || role || text) ORDER BY nth)
+      FILTER (nth IS NOT NULL), []) AS m,
+    list(strlen(text) ORDER BY nth) FILTER (nth IS NOT NULL) AS b
   FROM shared s LEFT JOIN rebuilt r USING (conv_id) GROUP BY s.conv_id
 ), steps_ AS (
   SELECT conv_id, depth, array_to_string(m[1:depth], '') AS key,
