@@ -1,13 +1,14 @@
-"""Distributed boosted trees for the five products: encode, fit, stop early, evaluate, explain."""
+"""Distributed boosted trees for the five products: encode, fit, evaluate, explain."""
 
 from __future__ import annotations
 
 import json
 from dataclasses import asdict, dataclass, replace
+from itertools import zip_longest
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
+from pyspark.ml.regression import GBTRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,11 +16,11 @@ from pyspark.sql import types as T
 from chargeweave.functions import measures
 from chargeweave.operators.evaluation import regression_metrics
 from chargeweave.operators.splits import only
+from chargeweave.plans.boosting import FEATURES, LABEL, best_iteration, boost  # noqa: F401
 from chargeweave.schemas import LEGACY_PRODUCT, PRODUCTS, SPLIT, Boosting, Product
 from chargeweave.session import shared_folder, stage
 
 SMOOTHING = 10.0
-LABEL = "_label"
 FOLD = "_fold"
 FOLDS = 5
 SHUFFLE_GROUPS = 256
@@ -106,6 +107,8 @@ def fit_id_encodings(train: DataFrame, ids: list[str]) -> tuple[dict[str, DataFr
     """Label sums and row counts per id, in total and per fold. One small table per id column,
     staged since fitting, validation and scoring all join it."""
     prior = train.agg(F.avg(LABEL)).first()[0]
+    if prior is None:
+        raise ValueError("no train rows with a label: ids cannot be encoded")
     in_fold = [F.when(F.col(FOLD) == k, F.col(LABEL)) for k in range(FOLDS)]
     tables = {}
     for c in ids:
@@ -145,74 +148,36 @@ def labelled_rows(features: DataFrame, product: Product) -> DataFrame:
     return features.withColumn(LABEL, measures.log_target(target) if product.log_target else target)
 
 
-def best_iteration(losses: list[float], patience: int) -> int:
-    """1-based iteration with the lowest loss before ``patience`` rounds pass without a new low."""
-    best = 0
-    for i, loss in enumerate(losses):
-        if loss < losses[best]:
-            best = i
-        elif i - best >= patience:
-            break
-    return best + 1
-
-
-def _regressor(boosting: Boosting, iterations: int) -> GBTRegressor:
-    return GBTRegressor(
-        featuresCol="_features",
-        labelCol=LABEL,
-        lossType="squared",
-        maxIter=iterations,
-        stepSize=boosting.learning_rate,
-        maxDepth=boosting.depth,
-        seed=boosting.seed,
-        subsamplingRate=boosting.row_fraction,
-        featureSubsetStrategy=boosting.feature_fraction,
-        minInstancesPerNode=boosting.min_rows_per_leaf,
-        maxBins=64,
-    )
-
-
 def fit(
     features: DataFrame,
     product: Product,
     boosting: Boosting | None = None,
     exclude_leaky: bool = False,
-    refit: bool = True,
 ) -> FittedProduct:
-    """Fit on the train rows and choose the number of trees on the validation rows.
-
-    With ``refit`` the model is fitted again with the chosen number of trees and the same seed.
-    """
+    """Fit on the train rows, stopping on the validation rows; the product's settings unless told."""
     shared_folder(features.sparkSession)
     if boosting is not None:
         product = replace(product, boosting=boosting)
-    boosting = product.boosting
-    rows = with_folds(labelled_rows(features, product))
+    rows = with_folds(labelled_rows(features, product).where(F.col(LABEL).isNotNull()))
     tables, prior = fit_id_encodings(only(rows, "train"), product.categoricals)
     plain = [c for c in product.feature_columns(exclude_leaky) if c not in product.categoricals]
     inputs = [*[encoding_name(c) for c in product.categoricals], *plain]
 
     own = F.when(F.col(SPLIT) == "train", F.col(FOLD))
     encoded = fill_missing(encode_ids(only(rows, "train", "val"), tables, prior, own), inputs)
-    assembler = VectorAssembler(inputCols=inputs, outputCol="_features")
+    assembler = VectorAssembler(inputCols=inputs, outputCol=FEATURES)
     matrix = stage(encoded.select(*inputs, LABEL, SPLIT), f"matrix_{product.name}")
-    train, val = (assembler.transform(only(matrix, s)).select("_features", LABEL) for s in ("train", "val"))
-
-    trees = _regressor(boosting, boosting.iterations).fit(train)
-    losses = [float(x) for x in trees.evaluateEachIteration(val, "squared")]
-    best = best_iteration(losses, boosting.patience)
-    if refit and best < len(losses):
-        trees = _regressor(boosting, best).fit(train)
+    found = boost(assembler.transform(matrix), product.boosting)
     return FittedProduct(
-        product, PipelineModel([assembler, trees]), tables, prior, inputs, losses, best
+        product, PipelineModel([assembler, found.model]), tables, prior, inputs, found.losses, found.best
     )
 
 
 def evaluate(fitted: FittedProduct, features: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Predictions of the test rows and their one-row metrics."""
+    """Predictions of the test rows, scored and written once, and their one-row metrics."""
     product = fitted.product
     test = only(labelled_rows(features, product), "test").drop(LABEL)
-    predicted = fitted.predict(test)
+    predicted = stage(fitted.predict(test), f"predicted_{product.name}")
     metrics = regression_metrics(predicted, product.target, "prediction", product.name)
     if not product.mape:
         metrics = metrics.withColumn("mape", F.lit(None).cast("double"))
@@ -221,8 +186,8 @@ def evaluate(fitted: FittedProduct, features: DataFrame) -> tuple[DataFrame, Dat
 
 def feature_importance(fitted: FittedProduct, top: int = 20) -> DataFrame:
     """The ``top`` most important inputs; the model itself holds the values."""
-    values = fitted.trees.featureImportances.toArray()
-    rows = [(name, float(v)) for name, v in zip(fitted.inputs, values)]
+    values = fitted.trees.featureImportances.toArray()  # ends with the last input any tree uses
+    rows = [(name, float(v)) for name, v in zip_longest(fitted.inputs, values, fillvalue=0.0)]
     frame = SparkSession.active().createDataFrame(rows, "feature string, importance double")
     return frame.orderBy(F.desc("importance"), "feature").limit(top)
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chargeweave.operators.evaluation import regression_metrics
-from chargeweave.plans import models
+from chargeweave.plans import boosting, models
 from chargeweave.schemas import PRODUCTS, Boosting, Product
 from chargeweave.session import new_folder
 
@@ -26,7 +26,7 @@ def test_beats_the_train_mean(lake, fitted):
     assert row.rmse < naive.rmse and row.mape is not None
 
 
-def test_refit_is_repeatable(lake, fitted):
+def test_fit_is_repeatable(lake, fitted):
     again = models.fit(lake.features("demand"), PRODUCTS["demand"], QUICK)
     assert again.validation_losses == pytest.approx(fitted.validation_losses)
     assert again.best_iteration == fitted.best_iteration
@@ -61,6 +61,64 @@ def test_best_iteration_respects_patience():
     assert models.best_iteration([3.0], patience=1) == 1
 
 
+def _noisy(spark):
+    """x decides the train labels; validation labels follow it only roughly, so more trees overfit."""
+    rows = [(i, "a", float(i % 10), float(i * 7919 % 101), s, float(i % 10) * 3 + (i * 31 % 17)) for i in range(300) for s in ("train", "val", "test")]
+    rows = [(k, a, x, n, s, y if s == "train" else float(k % 10) * 3 + (k * 57 % 23)) for k, a, x, n, s, y in rows]
+    return spark.createDataFrame(rows, "k int, id string, x double, noise double, split string, y double")
+
+
+NOISY = Product("p", "y", ["id", "x", "noise", "k", "split", "y"], ["id"], exclude=["split", "k"])
+
+
+@pytest.fixture(scope="module")
+def stopped(spark):
+    settings = Boosting(iterations=60, depth=4, learning_rate=0.4, patience=3)
+    return models.fit(_noisy(spark), NOISY, settings)
+
+
+def test_boosting_stops_patience_rounds_after_the_best(stopped):
+    losses, best = stopped.validation_losses, stopped.best_iteration
+    assert len(losses) == best + 3 < 60
+    assert losses[best - 1] == min(losses) and losses[best - 1] < losses[0] or best == 1
+    assert stopped.trees.getNumTrees == best + 1  # and the mean
+
+
+def test_the_model_is_the_best_prefix_of_the_rounds(spark, stopped):
+    """Nothing is fitted twice: as many rounds without a stop give the same model."""
+    plain = Boosting(iterations=stopped.best_iteration, depth=4, learning_rate=0.4, patience=100)
+    again = models.fit(_noisy(spark), NOISY, plain)
+    assert again.validation_losses == pytest.approx(stopped.validation_losses[: stopped.best_iteration])
+    rows = _noisy(spark)
+    same = again.predict(rows).select("k", "split", F.col("prediction").alias("p")).join(stopped.predict(rows), ["k", "split"])
+    assert same.where("abs(p - prediction) > 1e-9").count() == 0
+
+
+def test_losses_are_those_of_the_model(spark, stopped):
+    val = _noisy(spark).where("split = 'val'")
+    error = stopped.predict(val).agg(F.avg((F.col("y") - F.col("prediction")) ** 2)).first()[0]
+    assert error == pytest.approx(stopped.validation_losses[stopped.best_iteration - 1])
+
+
+@pytest.mark.parametrize("missing", ["train", "val"])
+def test_empty_splits_are_named(spark, missing):
+    with pytest.raises(ValueError, match=missing):
+        models.fit(_noisy(spark).where(F.col("split") != missing), NOISY, QUICK)
+
+
+def test_rows_and_features_can_be_drawn(spark):
+    drawn = Boosting(iterations=3, depth=3, learning_rate=0.3, row_fraction=0.5, feature_fraction="0.5", min_rows_per_leaf=5)
+    fit = models.fit(_noisy(spark), NOISY, drawn)
+    assert len(fit.validation_losses) == 3
+    assert {r.feature for r in models.feature_importance(fit).collect()} == {"id_encoded", "x", "noise"}
+
+
+def test_stop_rule():
+    assert not boosting.is_over([], 1) and not boosting.is_over([2.0], 1)
+    assert boosting.is_over([2.0, 2.0], 1) and not boosting.is_over([2.0, 1.0], 1)
+    assert boosting.is_over([5.0, 4.0, 4.5, 4.6], 2) and not boosting.is_over([5.0, 4.0, 4.5], 2)
+
+
 def test_log_target_and_null_targets_stay_aligned(spark):
     product = Product("p", "y", ["id", "x", "split", "y"], ["id"], log_target=True, drop_null_target=True, boosting=QUICK)
     rows = [("a" if i % 2 else "b", float(i % 10), s, None if i % 7 == 0 else float(i % 10) ** 2) for i in range(200) for s in ("train", "val", "test")]
