@@ -4,12 +4,14 @@
 rows per value of a coarse key, keep the value that holds the rank, count the next finer key inside
 it, and so on. Each count is a partially aggregated ``groupBy``; the running sum that follows sees
 one row per distinct key value, never one per input row. So neither a hot key nor a hot timestamp
-ends up in one task, and the driver only receives the rows it asked for.
+ends up in one task, and the driver only receives the rows it asked for. ``order_statistics`` does the
+same for values of several columns at once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from datetime import date, datetime
 from functools import reduce
 from math import isfinite
@@ -106,13 +108,107 @@ def log_bucket(value: Column, steps: int) -> Column:
     return F.when(value == 0, F.lit(0)).when(value > 0, size).otherwise(-size).cast("bigint")
 
 
-def value_levels(value: Column) -> list[Level]:
-    coarse, fine = LOG_STEPS
-    return [
-        ("_b0", log_bucket(value, coarse)),
-        ("_b1", log_bucket(value, fine)),
-        ("_v", value),
+#: Equal cells a range is cut into at each further narrowing.
+CELLS = 1 << 16
+
+
+@dataclass(frozen=True)
+class _Range:
+    """Values of a column between two of them, both included; None for all."""
+
+    column: str
+    low: float | None = None
+    high: float | None = None
+
+    def holds(self, value: Column) -> Column:
+        if self.low is None:
+            return value.isNotNull()
+        return (value >= F.lit(self.low)) & (value <= F.lit(self.high))
+
+    def cell(self, value: Column) -> Column:
+        if self.low is None:
+            return log_bucket(value, LOG_STEPS[0])
+        return F.floor((value - F.lit(self.low)) / F.lit(self.high - self.low) * CELLS)
+
+
+def _narrow(
+    df: DataFrame, ranges: list[_Range], slots: list[tuple[int, Callable[[Column], Column]]]
+) -> dict[int, dict[str, Any]]:
+    """One scan: the cell that holds each slot's rank within its range.
+
+    All columns and ranges go through one aggregation, which sends at most one row per range and cell
+    to the shuffle. A slot is the number of its range and its rank, given the range's count.
+    """
+    values = [F.col(r.column).cast("double") for r in ranges]
+    inside = df.where(reduce(lambda a, b: a | b, [r.holds(v) for r, v in zip(ranges, values)]))
+    each = [
+        F.when(r.holds(v), F.struct(F.lit(t).alias("t"), r.cell(v).alias("cell"), v.alias("v")))
+        for t, (r, v) in enumerate(zip(ranges, values))
     ]
+    cells = (
+        inside.select(F.explode(F.array_compact(F.array(*each))).alias("x"))
+        .groupBy("x.t", "x.cell")
+        .agg(F.count(F.lit(1)).alias("rows"), F.min("x.v").alias("low"), F.max("x.v").alias("high"))
+    )
+    in_range = Window.partitionBy("t")
+    placed = cells.withColumns(
+        {
+            "before": F.sum("rows").over(in_range.orderBy("cell")) - F.col("rows"),
+            "n": F.sum("rows").over(in_range),
+        }
+    )
+    asked = [
+        F.when(F.col("t") == t, F.struct(F.lit(i).alias("slot"), rank(F.col("n")).cast("bigint").alias("rank")))
+        for i, (t, rank) in enumerate(slots)
+    ]
+    hits = placed.select("*", F.explode(F.array_compact(F.array(*asked))).alias("ask"))
+    found = hits.where("before <= ask.rank AND ask.rank < before + rows").select(
+        "ask.slot", "low", "high", "n", (F.col("ask.rank") - F.col("before")).alias("rest")
+    )
+    return {r["slot"]: r.asDict() for r in found.collect()}
+
+
+def order_statistics(
+    df: DataFrame, wanted: dict[str, list[float]]
+) -> dict[tuple[str, float], float | None]:
+    """Exact linearly interpolated quantiles of several columns, all of them in the same scans.
+
+    The first scan counts every column's values per logarithmic bucket and keeps each bucket's least and
+    greatest value. The buckets that hold the two neighbours of a quantile become ranges of values, which
+    the next scan pushes down to the files and cuts into equal cells, until a cell holds one value:
+    two scans unless values lie closer than the bucket's width / CELLS.
+    """
+    columns = list(wanted)
+    asks = [(c, q, end) for c in columns for q in wanted[c] for end in (F.floor, F.ceil)]
+    ranges = [_Range(c) for c in columns]
+    slots: dict[int, tuple[int, Callable[[Column], Column]]] = {
+        i: (columns.index(c), lambda n, q=q, end=end: end((n - 1) * F.lit(q)))
+        for i, (c, q, end) in enumerate(asks)
+    }
+    counts: dict[str, int] = {}
+    values: dict[int, float] = {}
+    while slots:
+        numbers = list(slots)
+        found = _narrow(df, ranges, [slots[i] for i in numbers])
+        following: list[_Range] = []
+        slots = {}
+        for place, hit in found.items():
+            i = numbers[place]
+            counts.setdefault(asks[i][0], hit["n"])
+            if hit["low"] == hit["high"]:
+                values[i] = hit["low"]
+                continue
+            narrowed = _Range(asks[i][0], hit["low"], hit["high"])
+            if narrowed not in following:
+                following.append(narrowed)
+            slots[i] = (following.index(narrowed), lambda n, rest=hit["rest"]: F.lit(rest))
+        ranges = following
+    result: dict[tuple[str, float], float | None] = {}
+    for i in range(0, len(asks), 2):
+        c, q, _ = asks[i]
+        position = (counts.get(c, 0) - 1) * q
+        result[c, q] = _between(values[i], values[i + 1], position - int(position)) if i in values else None
+    return result
 
 
 def _between(low: float, high: float, fraction: float) -> float:
@@ -123,25 +219,9 @@ def _between(low: float, high: float, fraction: float) -> float:
 
 
 def quantiles(df: DataFrame, columns: list[str], q: float) -> dict[str, float | None]:
-    """Exact linearly interpolated quantile of each column over the whole table.
-
-    The two neighbouring order statistics are located by narrowing, whatever the size of the table.
-    """
-    result: dict[str, float | None] = {}
-    for c in columns:
-        known = df.where(F.col(c).isNotNull())
-        rows = rows_at_ranks(
-            known,
-            value_levels(F.col(c)),
-            lambda n: [F.floor((n - 1) * F.lit(q)), F.ceil((n - 1) * F.lit(q))],
-        )
-        if rows[0] is None:
-            result[c] = None
-            continue
-        low, high = rows[0]["_v"], rows[-1]["_v"]
-        position = (rows[0]["_n"] - 1) * q
-        result[c] = _between(low, high, position - int(position))
-    return result
+    """The same quantile of several columns over the whole table."""
+    found = order_statistics(df, {c: [q] for c in columns})
+    return {c: found[c, q] for c in columns}
 
 
 def grouped_quantile(

@@ -26,12 +26,56 @@ def test_quantile_of_nothing(spark):
     assert order_stats.quantiles(df, ["v"], 0.5) == {"v": None}
 
 
-def test_value_levels_never_decrease(spark):
+def test_log_buckets_never_decrease(spark):
     values = [-1e300, -2.5, -1.0, -1e-300, 0.0, 1e-300, 0.1, 0.1000001, 1.0, 1.0000001, 7.0, 1e300]
     df = spark.createDataFrame([(v,) for v in values], "v double")
-    levels = order_stats.value_levels(F.col("v"))
-    got = df.select(*[e.alias(n) for n, e in levels]).collect()
-    assert [tuple(r) for r in got] == sorted(tuple(r) for r in got)
+    for steps in order_stats.LOG_STEPS:
+        got = [r[0] for r in df.select(order_stats.log_bucket(F.col("v"), steps)).collect()]
+        assert got == sorted(got)
+
+
+@pytest.fixture
+def scans(monkeypatch):
+    """How often a table is scanned for order statistics, and the plans of these scans."""
+    plans, narrow = [], order_stats._narrow
+
+    def counted(df, ranges, slots):
+        test = [r.holds(F.col(r.column)) for r in ranges]
+        plans.append(df.where(test[0])._jdf.queryExecution().toString())
+        return narrow(df, ranges, slots)
+
+    monkeypatch.setattr(order_stats, "_narrow", counted)
+    return plans
+
+
+def test_several_quantiles_of_several_columns_in_two_scans(spark, tmp_path, scans):
+    rng = np.random.default_rng(3)
+    a, b = rng.lognormal(3, 4, 4000), rng.normal(0, 1e-3, 4000)
+    rows = [(float(x), None if i % 9 == 0 else float(y), None) for i, (x, y) in enumerate(zip(a, b))]
+    spark.createDataFrame(rows, "a double, b double, none double").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    qs = [0.0, 0.25, 0.5, 0.99, 0.995, 1.0]
+    got = order_stats.order_statistics(df, {"a": qs, "b": qs, "none": [0.5]})
+    known = b[np.arange(4000) % 9 != 0]
+    for q in qs:
+        assert got["a", q] == pytest.approx(float(np.quantile(a, q)), rel=1e-12)
+        assert got["b", q] == pytest.approx(float(np.quantile(known, q)), rel=1e-12)
+    assert got["none", 0.5] is None
+    assert len(scans) == 2
+    assert "PushedFilters: [IsNotNull(a), GreaterThanOrEqual(a" in scans[1]
+
+
+def test_values_closer_than_a_cell_take_another_scan(spark, scans):
+    near = [1.0 + k * 2.0**-52 for k in range(200)] + [1.005]
+    df = spark.createDataFrame([(v,) for v in near], "v double")
+    for q in (0.5, 0.99):
+        assert order_stats.quantiles(df, ["v"], q)["v"] == float(np.quantile(near, q))
+    assert len(scans) > 4
+
+
+def test_equal_values_take_one_scan(spark, scans):
+    df = spark.createDataFrame([(7.5,)] * 50, "v double")
+    assert order_stats.quantiles(df, ["v"], 0.37) == {"v": 7.5} and len(scans) == 1
 
 
 def test_grouped_quantile_with_a_hot_group(spark):
