@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from chargeweave.operators.cleaning import STATION_ROW_CAP, clean
 from chargeweave.operators.evaluation import compare_models
 from chargeweave.operators.quality import inspect
+from chargeweave.operators.quarantine import VERDICT, CleanRun, clean_with_quarantine
 from chargeweave.operators.splits import random_split
 from chargeweave.plans.features import BUILDERS, charger_base
 from chargeweave.plans.models import FittedProduct, evaluate, fit
@@ -27,6 +28,19 @@ def clean_to_table(raw: DataFrame, path: str, cap: int | None = STATION_ROW_CAP)
     return read_table(raw.sparkSession, path)
 
 
+def clean_to_tables(raw: DataFrame, folder: str, cap: int | None = STATION_ROW_CAP) -> CleanRun:
+    """As ``clean_to_table``, with the rejected rows (by verdict) and the audit as tables beside it.
+
+    The tables are ``cleaned``, ``rejected`` and ``audit`` below ``folder``.
+    """
+    run = clean_with_quarantine(raw, cap=cap)
+    write_table(run.kept, f"{folder}/cleaned", partition_by=[PERIOD])
+    write_table(run.rejected, f"{folder}/rejected", partition_by=[VERDICT])
+    write_table(run.audit, f"{folder}/audit")
+    tables = {"cleaned": run.kept, "rejected": run.rejected, "audit": run.audit}
+    return CleanRun(*(read_table(raw.sparkSession, f"{folder}/{n}", schema=t.schema) for n, t in tables.items()))
+
+
 def build_feature_tables(cleaned: DataFrame, folder: str) -> dict[str, DataFrame]:
     """Write the feature table of every product below ``folder``."""
     spark = cleaned.sparkSession

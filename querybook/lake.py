@@ -9,8 +9,10 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from chargeweave.operators import cleaning
+from chargeweave.operators.quarantine import CleanRun, clean_with_quarantine
 from chargeweave.plans import features
 from chargeweave.plans.models import FittedProduct, fit
 from chargeweave.schemas import LEGACY_PRODUCT, PRODUCTS
@@ -39,6 +41,22 @@ class Lake:
     def raw(self) -> DataFrame:
         return fixture.readings(self.spark, self.sf_dir)
 
+    @cached_property
+    def faulty(self) -> DataFrame:
+        """The readings, some without a session count, some without a station."""
+        return self.raw.withColumns(
+            {
+                "active_session_count": F.expr("CASE WHEN avg_pwr_kw <> 13 THEN active_session_count END"),
+                "charging_station_id": F.expr(
+                    "CASE WHEN NOT (avg_pwr_kw = 17 AND active_session_count = 3) THEN charging_station_id END"
+                ),
+            }
+        )
+
+    @cached_property
+    def clean_run(self) -> CleanRun:
+        return clean_with_quarantine(self.faulty)
+
     @cached_property
     def requests(self) -> DataFrame:
         return fixture.requests(self.spark, self.sf_dir)

@@ -77,6 +77,30 @@ TABLES: dict[str, str] = {
     SELECT * EXCLUDE (_nth) FROM (SELECT *, row_number() OVER (
       PARTITION BY charging_station_id ORDER BY "timestamp" DESC, charger_id DESC) AS _nth FROM typed)
     WHERE _nth <= 300""",
+    # cleaning with quarantine
+    "faulty": """SELECT * REPLACE (CASE WHEN avg_pwr_kw <> 13 THEN active_session_count END AS active_session_count,
+      CASE WHEN NOT (avg_pwr_kw = 17 AND active_session_count = 3) THEN charging_station_id END AS charging_station_id)
+    FROM raw""",
+    "faulty_uniq": "SELECT DISTINCT * FROM faulty",
+    "faulty_resolved": f"""
+    SELECT {_READING}, avg(avg_pwr_kw) AS avg_pwr_kw, avg(max_energy_wh) AS max_energy_wh,
+      avg(active_session_count) AS active_session_count, avg(soc_pct) AS soc_pct
+    FROM faulty_uniq WHERE charging_station_id IS NOT NULL GROUP BY {_READING}
+    UNION ALL SELECT * FROM faulty_uniq WHERE charging_station_id IS NULL""",
+    "faulty_limits": """SELECT quantile_cont(max_energy_wh, 0.99) AS e99, quantile_cont(avg_pwr_kw, 0.99) AS p99
+    FROM faulty_resolved WHERE charging_station_id IS NOT NULL AND avg_pwr_kw >= 0 AND max_energy_wh >= 0""",
+    "faulty_judged": """
+    SELECT r.*, CASE WHEN charging_station_id IS NULL THEN 'incomplete key'
+      WHEN avg_pwr_kw < 0 OR max_energy_wh < 0 THEN 'invalid'
+      WHEN max_energy_wh > e99 OR avg_pwr_kw > p99 THEN 'outlier'
+      WHEN avg_pwr_kw = 0 AND max_energy_wh = 0 THEN 'dead'
+      WHEN active_session_count = 0 THEN 'no session'
+      WHEN active_session_count IS NULL THEN 'unknown count' END AS so_far
+    FROM faulty_resolved AS r, faulty_limits""",
+    "faulty_verdicts": """
+    SELECT * EXCLUDE (so_far), coalesce(so_far, CASE WHEN row_number() OVER (
+      PARTITION BY charging_station_id, so_far IS NULL ORDER BY "timestamp" DESC, charger_id DESC) > 300
+      THEN 'over the cap' END) AS verdict FROM faulty_judged""",
     # legacy cleaning
     "legacy_unique": f"""
     SELECT * EXCLUDE (_nth) FROM (SELECT *, row_number() OVER (PARTITION BY {_READING}

@@ -9,6 +9,7 @@ from chargeweave.operators import cleaning, quality
 from chargeweave.operators.lags import drop_incomplete, lag_features
 from chargeweave.operators.aggregates import station_snapshots
 from chargeweave.operators.order_stats import order_statistics
+from chargeweave.operators.quarantine import VERDICTS
 from chargeweave.schemas import PERIOD
 from querybook.ingest import CLEANED, READING
 from querybook.lake import Lake
@@ -198,3 +199,45 @@ def c2(lake: Lake) -> DataFrame:
 def c3(lake: Lake) -> DataFrame:
     typed = cleaning.fix_types(lake.in_session)
     return typed.groupBy("month", PERIOD).agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query("c2_quarantine", f"{MEANS} verdict", "SELECT * FROM faulty_verdicts WHERE verdict IS NOT NULL")
+def c2_quarantine(lake: Lake) -> DataFrame:
+    """Every reading that cleaning rejects, with the step that does."""
+    return lake.clean_run.rejected
+
+
+@query(
+    "c2_kept",
+    "charging_station_id charger_id timestamp avg_pwr_kw:f max_energy_wh:f active_session_count:i soc_pct:f",
+    """SELECT * REPLACE (trunc(active_session_count) AS active_session_count)
+    FROM faulty_verdicts WHERE verdict IS NULL""",
+)
+def c2_kept(lake: Lake) -> DataFrame:
+    return lake.clean_run.kept
+
+
+_REJECTED = {name: f"(SELECT count(*) FROM faulty_verdicts WHERE verdict = '{name}')" for name in VERDICTS}
+_OBSERVED_SQL = " UNION ALL ".join(
+    f"SELECT {i} AS step, '{name}' AS name, {removed} AS removed"
+    for i, (name, removed) in enumerate(
+        [
+            ("exact duplicates", "(SELECT count(*) FROM faulty) - (SELECT count(*) FROM faulty_uniq)"),
+            ("near duplicates", "(SELECT count(*) FROM faulty_uniq) - (SELECT count(*) FROM faulty_resolved)"),
+            *((VERDICTS[v], n) for v, n in _REJECTED.items()),
+        ],
+        start=1,
+    )
+)
+
+
+@query(
+    "a13_observed_audit",
+    "step:i name rows_in:i removed:i rows_left:i removed_pct:r6",
+    f"""SELECT *, rows_left + removed AS rows_in, removed * CAST(100 AS DOUBLE) / (rows_left + removed) AS removed_pct
+    FROM (SELECT *, (SELECT count(*) FROM faulty) - sum(removed) OVER (ORDER BY step) AS rows_left
+      FROM ({_OBSERVED_SQL}))""",
+)
+def a13_observed(lake: Lake) -> DataFrame:
+    """The audit the writing jobs counted."""
+    return lake.clean_run.audit
