@@ -173,6 +173,29 @@ def fit(
     )
 
 
+@dataclass(frozen=True)
+class Line:
+    """Least squares of a product's target on one input: what a model has to beat."""
+
+    product: Product
+    column: str
+    slope: float
+    intercept: float
+
+    @staticmethod
+    def fit(features: DataFrame, product: Product, column: str) -> Line:
+        x, y = F.col(column).cast("double"), F.col(product.target).cast("double")
+        slope = F.regr_slope(y, x)
+        found = only(features, "train").agg(slope.alias("slope"), F.regr_intercept(y, x).alias("intercept")).first()
+        if found["slope"] is None:
+            raise ValueError(f"no line: {column} or {product.target} does not vary over the train rows")
+        return Line(product, column, found["slope"], found["intercept"])
+
+    def predict(self, rows: DataFrame) -> DataFrame:
+        value = F.col(self.column) * F.lit(self.slope) + F.lit(self.intercept)
+        return rows.withColumn("prediction", measures.clamp(value, *self.product.clip))
+
+
 def evaluate(fitted: FittedProduct, features: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Predictions of the test rows, scored and written once, and their one-row metrics."""
     product = fitted.product

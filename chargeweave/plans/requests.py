@@ -6,6 +6,7 @@ history side of every lookup has one row per station or charger.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -27,6 +28,7 @@ from chargeweave.schemas import (
     STATION_AGGREGATES,
     TS,
 )
+from chargeweave.session import stage
 
 UNKNOWN_STATION = "unknown"
 MISSING = measures.MISSING_SENTINEL
@@ -334,3 +336,43 @@ def responses(scored: DataFrame, product: str, prediction: str = "prediction") -
             "session_band": measures.session_band(used_pct),
         }
     )
+
+
+# -- from requests to responses ----------------------------------------------------------------
+
+_LOOKUPS = {
+    "energy": (energy_history, with_energy_history),
+    "congestion": (lambda features: (station_sizes(features),), lambda r, h: with_station_size(r, *h)),
+    "demand": (lambda features: (demand_history(features),), lambda r, h: with_demand_history(r, *h)),
+    "leftover": (lambda features: (charger_history(features),), lambda r, h: with_charger_history(r, *h)),
+}
+
+
+@dataclass(frozen=True)
+class Scorer:
+    """Requests of one product to responses: the same plan for a table and for a stream.
+
+    ``predict`` adds ``prediction`` to model inputs, as ``FittedProduct.predict`` does. ``history``
+    holds the staged tables requests are looked up in; none if all inputs come with the request.
+    """
+
+    product: str
+    predict: Callable[[DataFrame], DataFrame]
+    history: tuple[DataFrame, ...] | None = None
+
+    @staticmethod
+    def over(product: str, predict: Callable[[DataFrame], DataFrame], features: DataFrame) -> Scorer:
+        """History from the product's feature table, aggregated once, not once per micro-batch."""
+        if product not in _LOOKUPS:
+            return Scorer(product, predict)
+        tables = _LOOKUPS[product][0](features)
+        return Scorer(product, predict, tuple(stage(t, f"history_{product}") for t in tables))
+
+    def __call__(self, requests: DataFrame) -> DataFrame:
+        known = valid_requests(requests, self.product)
+        if self.history is not None:
+            known = _LOOKUPS[self.product][1](known, self.history)
+        rows = feature_rows(known, self.product)
+        inputs = PRODUCTS[self.product].feature_columns()
+        kept = [c for c in rows.columns if c not in inputs]
+        return responses(self.predict(model_inputs(rows, self.product, kept)), self.product)

@@ -1,7 +1,10 @@
 """The batch scoring functions on a stream of requests.
 
 Scoring is stateless per row and the history tables are static, so neither watermarks nor state are
-involved; a checkpoint folder makes restarts exactly-once for file sinks.
+involved. Request files are logged in the checkpoint before a micro-batch runs and the sink lists the
+files of finished micro-batches only, so a run that is stopped or fails anywhere can be started
+again with the same folders: every request is answered once. The model is a part of the stream's plan
+(``plans.requests.Scorer``), the same one that scores tables.
 """
 
 from __future__ import annotations

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chargeweave.plans import models
 from chargeweave.plans import requests as rq
 from chargeweave.schemas import LAG_COLUMNS, PRODUCTS
 from chargeweave.session import new_folder, stage
@@ -327,18 +330,44 @@ _register_scores()
 @query("r8_stream_scoring", f"request_id:i charging_station_id charger_id {TIME} avg_pwr_kw:f {STATION_STATS}", "SELECT *, station_id AS charging_station_id FROM energy_looked_up")
 def r8(lake: Lake) -> DataFrame:
     """The energy inputs of r2, but the requests arrive as a stream of files."""
-    arrived = new_folder(lake.spark, "requests")
-    lake.requests.repartition(4, "request_id").write.parquet(arrived)
     # staged, or every micro-batch would aggregate the history again
     history = tuple(stage(t, "history") for t in rq.energy_history(lake.features("energy")))
 
     def score(requests: DataFrame) -> DataFrame:
-        known = rq.valid_requests(requests.withColumnsRenamed(FIELDS["energy"]), "energy")
+        known = rq.valid_requests(requests, "energy")
         rows = rq.feature_rows(rq.with_energy_history(known, history), "energy")
         return rq.model_inputs(rows, "energy", ["request_id"])
 
+    return _streamed(lake, score)
+
+
+def _streamed(lake: Lake, score: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a stream writes for all energy requests, which arrive in four files, two a micro-batch."""
+    arrived = new_folder(lake.spark, "requests")
+    asked(lake, "energy").repartition(4, "request_id").write.parquet(arrived)
     path, checkpoint = new_folder(lake.spark, "scored"), new_folder(lake.spark, "stream_checkpoint")
-    stream = read_request_stream(lake.spark, arrived, lake.requests.schema, files_per_batch=2)
-    running = write_predictions(stream, score, path, checkpoint)
-    running.awaitTermination()
+    schema = asked(lake, "energy").schema
+    stream = read_request_stream(lake.spark, arrived, schema, files_per_batch=2)
+    write_predictions(stream, score, path, checkpoint).awaitTermination()
     return lake.spark.read.parquet(path)
+
+
+@query(
+    "r8_stream_line",
+    "request_id:i predicted_energy_wh:f predicted_energy_kwh:f",
+    """SELECT request_id, greatest(slope * avg_pwr_kw + base, 0) AS predicted_energy_wh,
+      greatest(slope * avg_pwr_kw + base, 0) / 1000 AS predicted_energy_kwh
+    FROM energy_requests, (SELECT regr_slope(max_energy_wh, avg_pwr_kw) AS slope,
+      regr_intercept(max_energy_wh, avg_pwr_kw) AS base FROM energy_features WHERE split = 'train')""",
+)
+def r8_line(lake: Lake) -> DataFrame:
+    """Predictions on a stream, of the least-squares line of energy on power."""
+    line = models.Line.fit(lake.features("energy"), PRODUCTS["energy"], "avg_pwr_kw")
+    return _streamed(lake, rq.Scorer.over("energy", line.predict, lake.features("energy")))
+
+
+@query("r8_stream_predictions", "request_id:i predicted_energy_wh:f predicted_energy_kwh:f")
+def r8_predictions(lake: Lake) -> DataFrame:
+    """Predictions on a stream, of the boosted trees."""
+    fitted = lake.model("energy")
+    return _streamed(lake, rq.Scorer.over("energy", fitted.predict, lake.features("energy")))
