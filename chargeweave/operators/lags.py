@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from chargeweave.functions.timefeat import minute_number
 from chargeweave.schemas import PERIOD, STATION, TS
+from chargeweave.session import stage
 
 HALO = 6
 SHORT, LONG = 3, 6
@@ -77,13 +78,41 @@ def lag_features(
     return lagged.drop("_own_sum", "_own_count", "_own_rows")
 
 
-def lag_features_unbroken(snapshots: DataFrame) -> DataFrame:
+def _carried(tails: DataFrame, parts: int | None) -> DataFrame:
+    """charging_station_id, _previous: the last values before each station, over all stations before it.
+
+    Stations are dealt to ranges of ids. Inside a range a window looks back; what comes from the
+    ranges before is the last ``LONG - 1`` values of each range, which the driver chains: one short
+    list per range, however many stations there are.
+    """
+    reach = LONG - 1
+    ranged = tails.repartitionByRange(STATION) if parts is None else tails.repartitionByRange(parts, STATION)
+    placed = stage(ranged.withColumn("_part", F.spark_partition_id()), "tails")
+    by_station = Window.partitionBy("_part").orderBy(STATION)
+    upto = F.flatten(F.collect_list("_tail").over(by_station.rowsBetween(-reach, 0)))
+    last = placed.select(STATION, "_part", upto.alias("_upto")).groupBy("_part")
+    chained, lists = [], []
+    for row in last.agg(F.max_by("_upto", STATION).alias("_upto")).orderBy("_part").collect():
+        lists.append((row["_part"], chained))
+        chained = [*chained, *row["_upto"]][-reach:]
+    spark = tails.sparkSession
+    carry = spark.createDataFrame(lists, "_part int, _carry array<bigint>")
+    before = F.flatten(F.collect_list("_tail").over(by_station.rowsBetween(-reach, -1)))
+    return (
+        placed.withColumn("_before", before)
+        .join(carry, "_part")
+        .select(STATION, F.concat("_carry", "_before").alias("_previous"))
+    )
+
+
+def lag_features_unbroken(snapshots: DataFrame, parts: int | None = None) -> DataFrame:
     """Variant whose six-row mean runs on over the previous stations, in order of their ids.
 
     Only the first rows of a station reach back, so the lagged series' last five values of every
-    station, one small row each, are enough to complete them.
+    station, one small row each, are enough to complete them. ``parts`` ranges of stations are
+    worked apart; the figures do not depend on it.
     """
-    lagged = _lagged(snapshots, [STATION])
+    lagged = stage(_lagged(snapshots, [STATION]), "lagged")
     newest = Window.partitionBy(STATION).orderBy(F.desc(TS))
     reach = LONG - 1
     tails = (
@@ -92,16 +121,9 @@ def lag_features_unbroken(snapshots: DataFrame) -> DataFrame:
         .where(F.col("_nth") <= reach)
         .groupBy(STATION)
         .agg(F.array_sort(F.collect_list(F.struct(TS, "lag_1_active"))).alias("_tail"))
+        .select(STATION, F.col("_tail.lag_1_active").cast("array<bigint>").alias("_tail"))
     )
-    # one row per station: the only order across stations, and as small as the station list
-    previous = tails.select(
-        STATION,
-        F.flatten(
-            F.collect_list(F.col("_tail.lag_1_active")).over(
-                Window.orderBy(STATION).rowsBetween(-reach, -1)
-            )
-        ).alias("_previous"),
-    )
+    previous = _carried(tails, parts)
     missing = F.lit(LONG) - F.col("_own_rows")
     size = F.size("_previous")
     reached = F.when(

@@ -20,6 +20,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chargeweave.session import stage
+
 Level = tuple[str, Column]
 
 LOG_STEPS = (64, 2**20)
@@ -239,8 +241,9 @@ def grouped_quantile(
         .agg(F.count(F.lit(1)).alias("_rows"))
     )
     coarse, fine = LOG_STEPS
-    counted = counted.withColumns(
-        {"_b0": log_bucket(F.col("_v"), coarse), "_b1": log_bucket(F.col("_v"), fine)}
+    counted = stage(  # read three times below
+        counted.withColumns({"_b0": log_bucket(F.col("_v"), coarse), "_b1": log_bucket(F.col("_v"), fine)}),
+        "counted",
     )
     first = F.floor((F.col("_n") - 1) * F.lit(q))
     second = F.ceil((F.col("_n") - 1) * F.lit(q))

@@ -31,6 +31,23 @@ def test_chunked_window_equals_plain_window(snapshots, build, monkeypatch):
     assert plain.exceptAll(chunked).count() == 0 and chunked.exceptAll(plain).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 2, 5, 40])
+def test_unbroken_rolling_does_not_depend_on_the_ranges(spark, snapshots, parts):
+    """Ranges of one station, empty ranges, and stations with one snapshot in a row."""
+    rows = [(f"E{i:02d}", at(1 + k), i % 7, 1.0, 3) for i in range(30) for k in range(1 + i % 3)]
+    more = snapshots.unionByName(spark.createDataFrame(rows, snapshots.schema))
+    pdf = more.toPandas().sort_values(["charging_station_id", "timestamp"])
+    shifted = pdf.groupby("charging_station_id")["active_chargers"].shift(1)
+    want = shifted.rolling(6, min_periods=1).mean()
+    got = lags.lag_features_unbroken(more, parts).toPandas().sort_values(["charging_station_id", "timestamp"])
+    assert got["roll_6_active"].fillna(-1).tolist() == pytest.approx(want.fillna(-1).tolist())
+
+
+def test_no_window_spans_all_stations(snapshots):
+    plan = lags.lag_features_unbroken(snapshots)._jdf.queryExecution().toString()
+    assert "SinglePartition" not in plan
+
+
 def test_unbroken_rolling_matches_pandas(snapshots):
     pdf = snapshots.toPandas().sort_values(["charging_station_id", "timestamp"])
     shifted = pdf.groupby("charging_station_id")["active_chargers"].shift(1)
