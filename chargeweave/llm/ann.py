@@ -4,7 +4,10 @@ Lists are the nearest of ``LISTS`` centroids, fitted to ``SAMPLE`` vectors (thos
 hashes of vec_id); every vector is indexed. Vectors are rotated at random and scanned in blocks of
 columns. After each block a hypothesis test drops the candidates whose partial distance shows that
 the full one exceeds the distance of the k-th best so far; survivors are measured exactly, in double
-precision, on the original vectors. The first bound of a query comes from the sample.
+precision, on the original vectors. The first bound of a query comes from the sample. A query that
+then has fewer than k rows, because others lie in lists it did not probe, reads all lists, without the
+test: every query gets k rows, or all candidates if there are fewer. Without usable rows the result
+is empty.
 
 Equal vectors: of each group only the k + 1 smallest ids can be among the nearest k, so only these
 are indexed, and equal queries are searched once. Lists and the queries that probe them are dealt in
@@ -15,7 +18,7 @@ candidates of their own. Other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -99,8 +102,14 @@ def _first_of_equal(vectors: DataFrame, n: int) -> DataFrame:
     return vectors
 
 
-def scan(x: np.ndarray, ids: np.ndarray, queries: np.ndarray, bounds: np.ndarray, rotation: np.ndarray, k: int):
-    """For each query the k nearest rows (order by distance and id): yields query, ids, distances."""
+def scan(
+    x: np.ndarray, ids: np.ndarray, queries: np.ndarray, bounds: np.ndarray, rotation: np.ndarray, k: int,
+    test: bool = True,
+):
+    """For each query the k nearest rows (order by distance and id): yields query, ids, distances.
+
+    Without ``test`` a row is left only when its partial distance already exceeds the bound.
+    """
     dim = x.shape[1]
     turned, turned_q = x @ rotation, queries @ rotation
     blocks = [slice(a, min(a + COLUMNS, dim)) for a in range(0, dim, COLUMNS)]
@@ -113,7 +122,9 @@ def scan(x: np.ndarray, ids: np.ndarray, queries: np.ndarray, bounds: np.ndarray
             for b, block in zip(blocks, columns, strict=True):
                 partial += ((block[alive] - turned_q[q, b]) ** 2).sum(axis=1)
                 if b.stop < dim:
-                    limit = bound**2 * b.stop / dim * (1 + EPSILON / np.sqrt(b.stop)) ** 2
+                    limit = bound**2 * (1 + 1e-9) + 1e-12
+                    if test:
+                        limit = bound**2 * b.stop / dim * (1 + EPSILON / np.sqrt(b.stop)) ** 2
                     near = partial <= limit
                     alive, partial = alive[near], partial[near]
             near = partial <= bound**2 * (1 + 1e-9) + 1e-12
@@ -148,20 +159,26 @@ def search(vectors: DataFrame, queries: Column, k: int = K) -> DataFrame:
                 ["vec_id", "vec", "list"],
             )
 
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = _matrix(batch.column("vec"), dim)
-            lists = index.value.nearest(x, PROBES)
-            n = lists.shape[1]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.repeat(batch.column("query").to_numpy(), n)),
-                    _rows(np.repeat(x, n, axis=0)),
-                    pa.array(np.repeat(index.value.bound(x, k + 1), n)),
-                    pa.array(lists.ravel().astype(np.int32)),
-                ],
-                ["query", "vec", "bound", "list"],
-            )
+    def probe(most: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x = _matrix(batch.column("vec"), dim)
+                lists = index.value.nearest(x, most or len(index.value.centroids))
+                yield asks(batch, x, lists)
+
+        return run
+
+    def asks(batch: pa.RecordBatch, x: np.ndarray, lists: np.ndarray) -> pa.RecordBatch:
+        n = lists.shape[1]
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.repeat(batch.column("query").to_numpy(), n)),
+                _rows(np.repeat(x, n, axis=0)),
+                pa.array(np.repeat(index.value.bound(x, k + 1), n)),
+                pa.array(lists.ravel().astype(np.int32)),
+            ],
+            ["query", "vec", "bound", "list"],
+        )
 
     indexed = stage(
         _first_of_equal(rows, k + 1).select("vec_id", "vec").mapInArrow(assign, "vec_id long, vec binary, list int"),
@@ -169,44 +186,59 @@ def search(vectors: DataFrame, queries: Column, k: int = K) -> DataFrame:
     )
     asked = rows.where(queries)
     distinct = stage(_first_of_equal(asked, 1).select(F.col("vec_id").alias("query"), "vec"), "queries")
-    probes = stage(distinct.mapInArrow(probe, "query long, vec binary, bound double, list int"), "probes")
-    # Chunks per list: at most LISTS rows.
-    sizes = indexed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / CHUNK_ROWS).cast("int").alias("chunks"))
-    asks = probes.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / CHUNK_QUERIES).cast("int").alias("parts"))
-    grid = F.broadcast(stage(sizes.join(asks, "list"), "grid"))
-    right = (
-        indexed.join(grid, "list")
-        .withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.col("chunks")).cast("int"))
-        .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("list", "chunk", "part", "vec_id", "vec")
-    )
-    left = (
-        probes.join(grid, "list")
-        .withColumn("part", F.pmod(F.xxhash64("query"), F.col("parts")).cast("int"))
-        .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .select("list", "chunk", "part", "query", "vec", "bound")
-    )
-
-    def scan_chunk(ask: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        out = {"query": [], "vec_id": [], "score": []}
-        if len(ask) and len(rows):
-            q = np.frombuffer(b"".join(ask["vec"])).reshape(-1, dim)
-            x = np.frombuffer(b"".join(rows["vec"])).reshape(-1, dim)
-            ids, names = rows["vec_id"].to_numpy(), ask["query"].to_numpy()
-            for i, found, scores in scan(x, ids, q, ask["bound"].to_numpy(), index.value.rotation, k + 1):
-                out["query"] += [names[i]] * len(found)
-                out["vec_id"] += found.tolist()
-                out["score"] += scores.tolist()
-        return pd.DataFrame(out).astype({"query": "int64", "vec_id": "int64", "score": "float64"})
-
-    keys = ["list", "chunk", "part"]
-    found = (
-        left.groupBy(*keys)
-        .cogroup(right.groupBy(*keys))
-        .applyInPandas(scan_chunk, "query long, vec_id long, score double")
-    )
     best = Window.partitionBy("query").orderBy("score", "vec_id")
-    found = stage(found.withColumn("at", F.row_number().over(best)).where(F.col("at") <= k + 1).drop("at"), "found")
+
+    def scanned(asking: DataFrame, most: int | None, test: bool) -> DataFrame:
+        probes = stage(
+            asking.mapInArrow(probe(most), "query long, vec binary, bound double, list int"), "probes"
+        )
+        # Chunks per list: at most LISTS rows.
+        sizes = indexed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / CHUNK_ROWS).cast("int").alias("chunks"))
+        asked_of = probes.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / CHUNK_QUERIES).cast("int").alias("parts"))
+        grid = F.broadcast(stage(sizes.join(asked_of, "list"), "grid"))
+        right = (
+            indexed.join(grid, "list")
+            .withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.col("chunks")).cast("int"))
+            .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+            .select("list", "chunk", "part", "vec_id", "vec")
+        )
+        left = (
+            probes.join(grid, "list")
+            .withColumn("part", F.pmod(F.xxhash64("query"), F.col("parts")).cast("int"))
+            .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+            .select("list", "chunk", "part", "query", "vec", "bound")
+        )
+
+        def scan_chunk(ask: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+            out = {"query": [], "vec_id": [], "score": []}
+            if len(ask) and len(rows):
+                q = np.frombuffer(b"".join(ask["vec"])).reshape(-1, dim)
+                x = np.frombuffer(b"".join(rows["vec"])).reshape(-1, dim)
+                ids, names = rows["vec_id"].to_numpy(), ask["query"].to_numpy()
+                bounds = ask["bound"].to_numpy()
+                for i, found, scores in scan(x, ids, q, bounds, index.value.rotation, k + 1, test):
+                    out["query"] += [names[i]] * len(found)
+                    out["vec_id"] += found.tolist()
+                    out["score"] += scores.tolist()
+            return pd.DataFrame(out).astype({"query": "int64", "vec_id": "int64", "score": "float64"})
+
+        keys = ["list", "chunk", "part"]
+        met = (
+            left.groupBy(*keys)
+            .cogroup(right.groupBy(*keys))
+            .applyInPandas(scan_chunk, "query long, vec_id long, score double")
+        )
+        return stage(met.withColumn("at", F.row_number().over(best)).where(F.col("at") <= k + 1).drop("at"), "found")
+
+    found = scanned(distinct, PROBES, True)
+    # The first bound may come from vectors in lists that were not probed; a query left with fewer rows
+    # than it asked for reads all lists, and none of its rows is abandoned by the test.
+    n_found = found.groupBy("query").agg(F.count(F.lit(1)).alias("n"))
+    short = distinct.join(n_found, "query", "left").where(F.coalesce("n", F.lit(0)) < k + 1)
+    short = stage(short.select("query", "vec"), "short")
+    if not short.isEmpty():
+        rest = found.join(short.select("query"), "query", "left_anti")
+        found = rest.unionAll(scanned(short, None, False).select(rest.columns))
     names = asked.select(F.col("vec_id").alias("query_id"), "vec").distinct().join(distinct, "vec")
     rank = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return (

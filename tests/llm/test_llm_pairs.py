@@ -160,6 +160,34 @@ def test_neighbours(spark):
     assert hits >= 0.9 * 90
 
 
+@pytest.mark.parametrize("kind", ["table", "wide", "clusters", "few"])
+def test_every_query_gets_all_its_rows(spark, kind):
+    r = np.random.default_rng(7)
+    if kind == "table":
+        table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    else:
+        n, dim = {"wide": (3000, 128), "clusters": (2500, 24), "few": (7, 5)}[kind]
+        x = r.standard_normal((n, dim))
+        if kind == "clusters":
+            x = r.standard_normal((40, dim))[r.integers(0, 40, n)] + 0.05 * x
+        table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    rows = ann.valid(table).orderBy("vec_id").collect()
+    ids, x = np.array([v["vec_id"] for v in rows]), np.array([v["vec"] for v in rows])
+    found = {}
+    for q in ann.search(table, F.col("vec_id") % 100 == 0).collect():
+        found.setdefault(q["query_id"], []).append((q["rank"], q["vec_id"]))
+    asked = [i for i in ids if i % 100 == 0]
+    most = min(10, len(ids) - 1)
+    assert sorted(found) == asked
+    assert all([k for k, _ in sorted(got)] == list(range(1, most + 1)) for got in found.values())
+    hits = 0
+    for q in asked:
+        d = np.sqrt(((x - x[ids == q]) ** 2).sum(1))
+        order = [i for i in ids[np.lexsort((ids, d))] if i != q][:10]
+        hits += len({i for _, i in found[q]} & set(order))
+    assert hits >= 0.9 * most * len(asked)
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert minhash.cluster(docs).count() == 0
