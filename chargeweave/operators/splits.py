@@ -27,10 +27,16 @@ def time_levels(keys: list[str]) -> list[Level]:
     return levels + [(k, F.col(k)) for k in keys]
 
 
+def hash_order(keys: list[str], seed: int) -> Column:
+    """MD5 of the seed and the row's key: a pseudo-random order any engine can repeat."""
+    parts = [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *parts))
+
+
 def hash_levels(keys: list[str], seed: int) -> list[Level]:
     """Seeded pseudo-random order, reproducible because it only depends on the row's key."""
-    h = F.xxhash64(F.lit(seed), *[F.col(k) for k in keys])
-    coarse = [("_hash_top", F.shiftright(h, 48)), ("_hash_upper", F.shiftright(h, 32))]
+    h = hash_order(keys, seed)
+    coarse = [("_hash_top", F.substring(h, 1, 4)), ("_hash_upper", F.substring(h, 1, 8))]
     levels = [*coarse, ("_hash", h)]
     return levels + [(k, F.col(k)) for k in keys]
 
@@ -124,7 +130,7 @@ def random_split(df: DataFrame, keys: list[str], seed: int = 42) -> DataFrame:
 
 def seeded_sample(df: DataFrame, keys: list[str], n: int = 500, seed: int = 42) -> DataFrame:
     """``min(n, rows)`` rows in a seeded pseudo-random order (a distributed top-n)."""
-    order = [F.xxhash64(F.lit(seed), *[F.col(k) for k in keys]), *keys]
+    order = [hash_order(keys, seed), *keys]
     return df.orderBy(*order).limit(n)
 
 

@@ -8,16 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chargeweave.operators import evaluation, quality
+from chargeweave.schemas import CLEANED, ENERGY_FEATURES, PRODUCTS
 from querybook.ingest import METRICS, METRICS_SQL
 from querybook.lake import Lake
 from querybook.registry import query
 
-_ENERGY_COLUMNS = (
-    "charging_station_id charger_id timestamp split collection_period hour day_of_week month is_weekend "
-    "is_late_night hour_sin hour_cos avg_pwr_kw active_session_count is_idle_charger "
-    "station_mean_energy_wh station_median_energy_wh station_mean_power_kw station_max_power_kw "
-    "station_charger_count charger_mean_energy_wh charger_median_energy_wh max_energy_wh"
-).split()
+_ENERGY_COLUMNS = ENERGY_FEATURES
 _TEXT = {"charging_station_id", "charger_id", "timestamp", "split"}
 
 
@@ -29,10 +25,7 @@ def _null_sql(table: str, columns: list[str]) -> str:
     )
 
 
-_CLEANED_COLUMNS = (
-    "charging_station_id charger_id timestamp avg_pwr_kw max_energy_wh active_session_count soc_pct "
-    "hour day_of_week month is_weekend hour_sin hour_cos collection_period"
-).split()
+_CLEANED_COLUMNS = CLEANED
 
 
 @query("a10_null_report", "column nulls:i null_pct:r6", _null_sql("cleaned", _CLEANED_COLUMNS))
@@ -214,7 +207,7 @@ def _inspect_sql(name: str, table: str, columns: list[str]) -> str:
 _INSPECTED = {
     "raw": ("raw", _CLEANED_COLUMNS[:7]),
     "cleaned": ("cleaned", _CLEANED_COLUMNS),
-    "energy": ("energy_features", _ENERGY_COLUMNS),
+    **{name: (f"{name}_features", product.contract) for name, product in PRODUCTS.items()},
 }
 
 
@@ -224,5 +217,6 @@ _INSPECTED = {
     " UNION ALL ".join(_inspect_sql(n, t, c) for n, (t, c) in _INSPECTED.items()),
 )
 def m11_inspect(lake: Lake) -> DataFrame:
-    tables = {"raw": lake.raw, "cleaned": lake.cleaned, "energy": lake.features("energy")}
+    """All seven tables of the verification run."""
+    tables = {"raw": lake.raw, "cleaned": lake.cleaned, **{name: lake.features(name) for name in PRODUCTS}}
     return reduce(DataFrame.unionByName, [quality.inspect(t, n) for n, t in tables.items()])

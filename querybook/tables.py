@@ -311,6 +311,22 @@ def w8(lake: Lake) -> DataFrame:
     return splits.split_sizes(splits.random_split(lake.features("energy"), [STATION, CHARGER, TS]))
 
 
+_HASHED = """md5(concat_ws('|', '42', charging_station_id, charger_id, CAST("timestamp" AS VARCHAR)))"""
+
+
+@query(
+    "w8_random_split_labels",
+    f"{KEY} split",
+    f"""SELECT charging_station_id, charger_id, "timestamp",
+      CASE WHEN nth <= a THEN 'train' WHEN nth <= a + b THEN 'val' ELSE 'test' END AS split
+    FROM (SELECT *, row_number() OVER (ORDER BY {_HASHED}, charging_station_id, charger_id, "timestamp") AS nth,
+      floor(count(*) OVER () * CAST(0.8 AS DOUBLE)) AS a, floor(count(*) OVER () * CAST(0.1 AS DOUBLE)) AS b
+      FROM energy_features)""",
+)
+def w8_labels(lake: Lake) -> DataFrame:
+    return splits.random_split(lake.features("energy"), [STATION, CHARGER, TS])
+
+
 @query(
     "w9_first_per_key",
     "charger_id first_station first_timestamp",
@@ -325,6 +341,11 @@ def w9(lake: Lake) -> DataFrame:
     )
 
 
-@query("w10_seeded_sample", f"{KEY} max_energy_wh:f")
+@query(
+    "w10_seeded_sample",
+    f"{KEY} max_energy_wh:f",
+    f"""SELECT * FROM energy_features
+    ORDER BY {_HASHED}, charging_station_id, charger_id, "timestamp" LIMIT 500""",
+)
 def w10(lake: Lake) -> DataFrame:
     return splits.seeded_sample(lake.features("energy"), [STATION, CHARGER, TS], n=500)
