@@ -42,6 +42,19 @@ def _matches(levels: list[Level], values: dict[str, Any]) -> Column:
     return reduce(lambda a, b: a & b, tests)
 
 
+def _inside(
+    df: DataFrame, outer: list[Level], found: list[dict[str, Any]], inner: Column, ends: list[tuple[Any, Any]]
+) -> DataFrame:
+    """Rows under the found prefixes of keys. The ends of the next key's values under each prefix are tested
+    first: unlike a test of a coarse expression, a range of a column reaches the files."""
+    within = [
+        (inner >= literal(low)) & (inner <= literal(high)) if low is not None else F.lit(True)
+        for low, high in ends
+    ]
+    exact = [_matches(outer, values) for values in found]
+    return df.where(reduce(lambda a, b: a | b, within)).where(reduce(lambda a, b: a | b, exact))
+
+
 def rows_at_ranks(
     df: DataFrame, levels: list[Level], ranks: Callable[[Column], list[Column]]
 ) -> list[dict[str, Any] | None]:
@@ -52,11 +65,16 @@ def rows_at_ranks(
     gives None. The row count is returned as ``_n``.
     """
     name, expr = levels[0]
-    counts = df.groupBy(expr.alias(name)).agg(F.count(F.lit(1)).alias("_rows"))
+    inner = levels[1][1] if len(levels) > 1 else F.lit(None)
+    counts = df.groupBy(expr.alias(name)).agg(
+        F.count(F.lit(1)).alias("_rows"), F.min(inner).alias("_low"), F.max(inner).alias("_high")
+    )
     running = F.sum("_rows").over(Window.orderBy(name))
     placed = counts.select(
         name,
         "_rows",
+        "_low",
+        "_high",
         (running - F.col("_rows")).alias("_before"),
         F.sum("_rows").over(Window.partitionBy()).alias("_n"),
     )
@@ -64,12 +82,14 @@ def rows_at_ranks(
     hits = (
         placed.select("*", wanted.alias("_slot", "_rank"))
         .where("_before <= _rank AND _rank < _before + _rows")
-        .select("_slot", name, "_n", (F.col("_rank") - F.col("_before")).alias("_rest"))
+        .select("_slot", name, "_n", "_low", "_high", (F.col("_rank") - F.col("_before")).alias("_rest"))
         .collect()
     )
     found: dict[int, tuple[dict[str, Any], int]] = {
         h["_slot"]: ({name: h[name], "_n": h["_n"]}, h["_rest"]) for h in hits
     }
+    ends = {h[name]: (h["_low"], h["_high"]) for h in hits}
+    coarse = name
     slots = len(ranks(F.lit(0)))
 
     for depth in range(1, len(levels)):
@@ -78,7 +98,7 @@ def rows_at_ranks(
         name, expr = levels[depth]
         outer = levels[:depth]
         prefixes = list({tuple(v.items()): v for v, _ in found.values()}.values())
-        inside = df.where(reduce(lambda a, b: a | b, [_matches(outer, p) for p in prefixes]))
+        inside = _inside(df, outer, prefixes, inner, [ends[p[coarse]] for p in prefixes])
         keys = [e.alias(n) for n, e in outer]
         counts = inside.groupBy(*keys, expr.alias(name)).agg(F.count(F.lit(1)).alias("_rows"))
         outer_names = [n for n, _ in outer]

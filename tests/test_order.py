@@ -114,6 +114,24 @@ def test_time_split_equals_global_rank(timed):
     assert {r.split: r.rows for r in splits.split_sizes(got).collect()} == {"train": 98, "val": 12, "test": 13}
 
 
+def test_cuts_are_read_by_ranges_of_time(spark, timed, tmp_path, monkeypatch):
+    """After the histogram every scan for a cut names a range of timestamps the files can skip by."""
+    timed.write.parquet(str(tmp_path / "t"))
+    table, plans, inside = spark.read.parquet(str(tmp_path / "t")), [], order_stats._inside
+
+    def seen(*args):
+        plans.append(inside(*args)._jdf.queryExecution().toString())
+        return inside(*args)
+
+    monkeypatch.setattr(order_stats, "_inside", seen)
+    labelled = splits.time_split(table)
+    assert len(plans) == 3
+    pushed = [p[p.rindex("PushedFilters: ") :] for p in plans]
+    assert all("GreaterThanOrEqual(timestamp" in p and "LessThanOrEqual(timestamp" in p for p in pushed)
+    want = expected_split(table, 0.8, 0.9).select("charger_id", "want")
+    assert labelled.join(want, "charger_id").where("split <> want").count() == 0
+
+
 def test_period_split_drops_or_trains_other_periods(timed):
     df = timed.withColumn("collection_period", (F.substring("charger_id", 2, 9).cast("int") % 4 + 1))
     dropped = splits.period_time_split(df)
