@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chargeweave.llm.components import components
+from chargeweave.llm.words import free_name
 from chargeweave.session import stage
 
 WORDS = 5
@@ -393,25 +394,26 @@ def cluster(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row of each component, in full: the least by doc_id, then by the digests of its text and
     of its values. Rows that share a doc_id are compared by their texts like any others; rows without
-    doc_id all stay."""
+    doc_id all stay. Without rows the result is empty."""
     names = docs.columns
-    rows = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    row = free_name(names, "_row")
+    rows = stage(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
     named = rows.where("doc_id is not null")
-    linked = cluster(named.select(F.col("_row").alias("doc_id"), "text"), percent).select(
-        F.col("doc_id").alias("_row"), "component_id"
+    linked = cluster(named.select(F.col(row).alias("doc_id"), "text"), percent).select(
+        F.col("doc_id").alias("row"), "component_id"
     )
     order = F.struct(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.sha2(F.col("text").cast("binary"), 256).alias("digest"),
         F.xxhash64(*names).alias("values"),
-        "_row",
+        F.col(row).alias("row"),
     )
     first = (
-        named.select("_row", order.alias("order"))
-        .join(linked, "_row")
+        named.select(F.col(row).alias("row"), order.alias("order"))
+        .join(linked, "row")
         .groupBy("component_id")
         .agg(F.min("order").alias("first"))
-        .select(F.col("first._row").alias("_row"))
+        .select(F.col("first.row").alias(row))
     )
-    kept = named.join(first, "_row", "left_semi")
+    kept = named.join(first, row, "left_semi")
     return kept.select(*names).unionByName(rows.where("doc_id is null").select(*names))

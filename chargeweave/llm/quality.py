@@ -186,5 +186,6 @@ def verdicts(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that pass, with their own columns."""
     names = docs.columns
-    measured = stage(docs.select(F.struct(*names).alias("doc")).select("doc", "doc.*").transform(measure).select("doc", "source", *MEASURES), "measured")
+    packed = docs.select(F.struct(*names).alias("doc"), "text", "source")
+    measured = stage(measure(packed).drop("text"), "measured")
     return judge(measured).where("kept").select(*(F.col("doc")[c].alias(c) for c in names))

@@ -33,3 +33,11 @@ def word_count(text: Column) -> Column:
 def source_key(source: Column) -> Column:
     """Joins equal sources, null being a source of its own."""
     return F.coalesce(F.concat(F.lit("="), source), F.lit(""))
+
+
+def free_name(taken: list[str], wanted: str) -> str:
+    """``wanted``, lengthened until no column has it."""
+    names = {c.lower() for c in taken}
+    while wanted.lower() in names:
+        wanted += "_"
+    return wanted

@@ -95,3 +95,17 @@ def test_rows_that_share_a_doc_id_go_by_their_texts(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     kept = [sorted((x["doc_id"], texts.index(x["text"]), x["source"]) for x in minhash.keep_one(docs.repartition(n)).collect()) for n in (1, 4)]
     assert [x[:2] for x in kept[0]] == [(1, 0), (1, 1), (3, 2), (3, 3)] and kept[0] == kept[1]
+
+
+def test_clashing_columns_and_empty_tables(spark):
+    r = random.Random(4)
+    texts = [" ".join(_words(80, r)) for _ in range(3)]
+    rows = [(i, texts[i % 3], "s", i * 7, f"d{i}", i + 0.5, True) for i in range(6)] + [(None, texts[0], None, 1, "n", 0.0, False)]
+    schema = "doc_id long, text string, source string, _row long, doc string, _row_ double, kept boolean"
+    docs = spark.createDataFrame(rows, schema)
+    for apply in (quality.keep_good, minhash.keep_one):
+        got = apply(docs)
+        assert got.columns == docs.columns and set(map(tuple, got.collect())) <= set(rows)
+        assert apply(docs.limit(0)).count() == 0
+    assert sorted(map(tuple, quality.keep_good(docs).collect()), key=str) == sorted(rows, key=str)
+    assert sorted(map(tuple, minhash.keep_one(docs).collect()), key=str) == sorted(rows[:3] + rows[6:], key=str)
