@@ -160,12 +160,16 @@ def host_rates(measured: DataFrame, source: str = "source") -> DataFrame:
 
 
 def judge(measured: DataFrame, source: str = "source") -> DataFrame:
-    """``measured`` with ``base_failed``, ``host_failed`` and ``kept``; read it from a written table."""
-    failed = (
+    """``measured`` with ``base_failed``, ``host_failed`` and ``kept``; read it from a written table.
+
+    The verdicts on hosts are written too, so that their size decides whether the documents, of which
+    one host may hold a third, are shuffled to them at all."""
+    hosts = (
         host_rates(measured, source)
         .groupBy("host")
         .agg((F.max("rate") > MAX_HOST_RATE).alias("host_failed"))
     )
+    failed = stage(hosts, "hosts")
     return (
         measured.withColumn("host", source_key(F.col(source)))
         .join(failed, "host")
