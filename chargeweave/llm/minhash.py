@@ -6,12 +6,15 @@ only these representatives are compared. A document is a candidate for another o
 its signature is equal, the sizes allow the similarity and the signatures agree well enough; links
 are confirmed on the full sets.
 
-In a bucket each member meets the first ``CENTERS`` members only (all, in buckets up to that size).
-A member first tries one partner, then the others that are not yet in its component. For the members
-of large buckets that then still hold several components, the shingles that no other such member
-has are counted: they bound every similarity from above, and the members with the fewest are the
-next ones to meet the others. What the bound leaves across components is compared pair by pair. No
-link that would change a component is left out, and groups of copies stay linear.
+Each member of a bucket first tries one partner, the earliest of the first members of its buckets.
+In buckets that then still hold several components, the members outside the largest one meet
+``CENTERS`` members inside and outside it, which are all pairs that matter in buckets up to
+``CENTERS`` + 1. For the members of larger buckets that still hold several components, the shingles
+that no other such member has are counted: they bound every similarity from above, and the members
+with the fewest are the next ones to meet those outside. What the bound leaves across components is
+compared pair by pair. A link that would change a component is missed only where a pair shares no
+band or its signatures err by more than the slack allows, see ``MISS`` and ``SLACK``; groups of
+copies stay linear.
 
 Null and empty texts, and rows without doc_id, are linked with nothing. Rows that share a doc_id are
 one document, linked through any of their texts. Other columns are ignored.
@@ -197,15 +200,44 @@ def buckets(heads: DataFrame, percent: int) -> DataFrame:
     return bands.join(shared, "key").withColumn("place", F.xxhash64("id"))
 
 
-def candidates(shared: DataFrame, percent: int) -> DataFrame:
-    """Pairs of members with the first members of their buckets, sizes allowing."""
-    first = Window.partitionBy("key").orderBy("place", "id")
-    centers = shared.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= CENTERS)
-    a, b = shared.alias("a"), centers.alias("b")
-    later = (F.col("b.place") < F.col("a.place")) | (
-        (F.col("b.place") == F.col("a.place")) & (F.col("b.id") < F.col("a.id"))
+def first_candidates(shared: DataFrame, percent: int) -> DataFrame:
+    """One pair for each member: with the earliest one of the first members of its buckets, sizes
+    allowing. Places are one order for all buckets, so the copies of a text agree on few partners."""
+    first = shared.groupBy("key").agg(F.min(F.struct("place", "id", "n")).alias("f")).select("key", "f.*")
+    a, b = shared.alias("a"), first.alias("b")
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") != F.col("b.id")) & _sizes_allow(percent))
+    return (
+        met.groupBy(F.col("a.id").alias("id"))
+        .agg(F.min(F.struct("b.place", "b.id")).alias("f"))
+        .select(F.least("id", "f.id").alias("u"), F.greatest("id", "f.id").alias("v"))
+        .distinct()
+    )
+
+
+def _outside(members: DataFrame) -> DataFrame:
+    """``members`` with ``outside``: whether a member is out of its bucket's largest component."""
+    sizes = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
+    largest = sizes.groupBy("key").agg(F.max(F.struct("size", "component")).alias("most"))
+    return members.join(largest.select("key", F.col("most.component").alias("largest")), "key").withColumn(
+        "outside", F.col("component") != F.col("largest")
     )
-    return _ordered_pairs(a.join(b, (F.col("a.key") == F.col("b.key")) & later & _sizes_allow(percent)))
+
+
+def _met(members: DataFrame, order: Column, allowed: Column) -> DataFrame:
+    """Pairs of different components: each member outside its bucket's largest component with the
+    first ``CENTERS`` inside and the first ``CENTERS`` outside. In buckets of up to ``CENTERS`` + 1
+    members these are all such pairs."""
+    marked = _outside(members)
+    rank = F.row_number().over(Window.partitionBy("key", "outside").orderBy(order, "id"))
+    centers = marked.withColumn("rank", rank).where(F.col("rank") <= CENTERS)
+    a, b = marked.where("outside").alias("a"), centers.alias("b")
+    apart = F.col("a.component") != F.col("b.component")
+    return _ordered_pairs(a.join(b, (F.col("a.key") == F.col("b.key")) & apart & allowed))
+
+
+def candidates(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs of members of open buckets with the first members of other components, sizes allowing."""
+    return _met(members, F.col("place"), _sizes_allow(percent))
 
 
 def _dealt(slices: int):
@@ -265,12 +297,9 @@ def _large(shared: DataFrame) -> DataFrame:
 
 
 def open_members(shared: DataFrame, found: DataFrame) -> DataFrame:
-    """Members of buckets that ``candidates`` has not compared in full and that hold several
-    components: key, band, id, n, component."""
-    members = (
-        _large(shared)
-        .join(found.withColumnRenamed("node", "id"), "id", "left")
-        .withColumn("component", F.coalesce("component", "id"))
+    """The members of buckets that hold several components, with their components."""
+    members = shared.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn(
+        "component", F.coalesce("component", "id")
     )
     several = (
         members.groupBy("key")
@@ -278,43 +307,30 @@ def open_members(shared: DataFrame, found: DataFrame) -> DataFrame:
         .where("x < y")
         .select("key")
     )
-    return members.join(several, "key", "left_semi").select("key", "band", "id", "n", "component")
-
-
-def across(members: DataFrame, centers: int | None, percent: int) -> DataFrame:
-    """Pairs of members of different components, as far as their common shingles allow a link, from
-    the first band (of ``keys``) that they share; with ``centers``, only those with the members of a
-    bucket that have the smallest share alone."""
-    some = members
-    if centers is not None:
-        order = Window.partitionBy("key").orderBy(F.col("alone") / F.col("n"), "id")
-        some = members.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= centers)
-    a, b = members.alias("a"), some.alias("b")
-    differ = F.col("a.component") != F.col("b.component")
-    if centers is None:
-        differ = F.col("a.component") < F.col("b.component")
+    return members.join(several, "key", "left_semi").select(
+        "key", "band", "id", "n", "place", "members", "component"
+    )
+
+
+def _common_allows(percent: int) -> Column:
     common = F.least(F.col("a.n") - F.col("a.alone"), F.col("b.n") - F.col("b.alone"))
-    allowed = 100 * common >= percent * (F.col("a.n") + F.col("b.n") - common)
-    if centers is None:  # a bucket's centers need not be those of the buckets before
-        earlier = F.arrays_overlap(*(F.slice(f"{x}.keys", F.lit(1), F.col("a.band")) for x in "ab"))
-        allowed = allowed & ~earlier
-    return _ordered_pairs(a.join(b, (F.col("a.key") == F.col("b.key")) & differ & allowed))
+    return 100 * common >= percent * (F.col("a.n") + F.col("b.n") - common)
 
 
-def _ids(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).distinct()
+def nearest_across(members: DataFrame, percent: int) -> DataFrame:
+    """As ``candidates``, but with the members that have the smallest share alone, as far as the
+    common shingles allow a link."""
+    return _met(members, F.col("alone") / F.col("n"), _common_allows(percent))
 
 
-def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """The pairs whose ends are in different components."""
-    cu = found.select(F.col("node").alias("u"), F.col("component").alias("cu"))
-    cv = found.select(F.col("node").alias("v"), F.col("component").alias("cv"))
-    return (
-        pairs.join(cu, "u", "left")
-        .join(cv, "v", "left")
-        .where(F.coalesce("cu", "u") != F.coalesce("cv", "v"))
-        .select("u", "v")
-    )
+def all_across(members: DataFrame, percent: int) -> DataFrame:
+    """All pairs of members of different components, as far as their common shingles allow a link,
+    from the first band (of ``keys``) that they share."""
+    a, b = members.alias("a"), members.alias("b")
+    apart = F.col("a.component") < F.col("b.component")
+    earlier = F.arrays_overlap(*(F.slice(f"{x}.keys", F.lit(1), F.col("a.band")) for x in "ab"))
+    allowed = _common_allows(percent) & ~earlier
+    return _ordered_pairs(a.join(b, (F.col("a.key") == F.col("b.key")) & apart & allowed))
 
 
 def _agreeing(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
@@ -348,8 +364,8 @@ def cluster(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         "heads",
     )
     shared = stage(buckets(heads, percent), "buckets")
-    pairs = stage(_agreeing(candidates(shared, percent), heads, percent), "pairs")
-    wanted = _ids(pairs).union(_large(shared).select("id")).distinct()
+    # Written, so that its size is known when the texts are joined with it.
+    wanted = stage(shared.select("id").distinct(), "wanted")
     sets = stage(_full_sets(docs, wanted), "sets")
     # A document whose rows have different texts is in several classes.
     several = (
@@ -360,24 +376,27 @@ def cluster(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         .join(classes, "print")
         .select(F.col("doc_id").alias("u"), F.col("id").alias("v"))
     )
-    first = pairs.groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
+    first = stage(_agreeing(first_candidates(shared, percent), heads, percent), "pairs")
     found = components(stage(_confirmed(first, sets, percent).union(same), "links"))
-    rest = _apart(pairs.join(first, ["u", "v"], "left_anti"), found)
-    found = _joined(found, stage(_confirmed(rest, sets, percent), "links"))
     left = stage(open_members(shared, found), "open_buckets")
+    more = candidates(left, percent).join(first, ["u", "v"], "left_anti")
+    more = stage(_agreeing(more, heads, percent), "pairs")
+    found = _joined(found, stage(_confirmed(more, sets, percent), "links"))
+    left = stage(open_members(_large(shared), found), "open_buckets")
     ids = left.select("id", "n").distinct()
     total = ids.agg(F.sum("n")).first()[0]
     if total:
         alone = stage(alone_counts(sets.join(ids.select("id").distinct(), "id", "left_semi"), total), "alone")
         keys = heads.select("id", _keys(percent).alias("keys")).join(alone, "id").dropDuplicates(["id"])
         known = stage(keys, "alone")
-        for centers in (CENTERS, None):
+        done = first.union(more)
+        for meet in (nearest_across, all_across):
             now = found.withColumnRenamed("node", "id")
             members = (
                 left.drop("component").join(known, "id").join(now, "id", "left")
                 .withColumn("component", F.coalesce("component", "id"))
             )
-            open_ = across(members, centers, percent).join(pairs, ["u", "v"], "left_anti")
+            open_ = meet(members, percent).join(done, ["u", "v"], "left_anti")
             found = _joined(found, stage(_confirmed(open_, sets, percent), "links"))
     component = F.when(
         F.col("n_shingles") > 0, F.coalesce("component", "id", "doc_id")
@@ -415,5 +434,6 @@ def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         .agg(F.min("order").alias("first"))
         .select(F.col("first.row").alias(row))
     )
-    kept = named.join(first, row, "left_semi")
+    # Written, so that its size is known when the texts are joined with it.
+    kept = named.join(stage(first, "first"), row, "left_semi")
     return kept.select(*names).unionByName(rows.where("doc_id is null").select(*names))
