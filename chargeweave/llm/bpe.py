@@ -5,7 +5,8 @@ way to see it is that a token may follow the last token of the shorter prefix on
 merged on their own, stay the same two tokens. So one token per prefix is stored, the encoding is
 read from the end, bytes can be appended without looking back, and an edit keeps the prefixes before
 it. Pre-tokens that a worker has not met before are sorted, so that each starts from the prefixes it
-shares with the one before; up to ``CACHE`` are kept.
+shares with the one before. A worker keeps those met lately, in two generations of about ``CACHE``,
+and works through its batches in pieces of about ``TOGETHER`` bytes, which bounds its memory.
 
 Null texts count as empty; invalid UTF-8 is read with replacement characters. Other columns pass
 through, and columns named like the results are replaced.
@@ -21,16 +22,20 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Pre-tokens a worker keeps, and the characters from which on it forgets one after use.
-CACHE = 400_000
+#: Pre-tokens in a generation of a worker's cache, and the characters from which on it forgets one
+#: after use.
+CACHE = 200_000
 LONG = 256
-#: Characters whose new pre-tokens are encoded together.
-TOGETHER = 4_000_000
+#: Pairs of tokens whose verdict a worker keeps.
+PAIRS = 250_000
+#: Characters (bytes of a batch) whose new pre-tokens are encoded together.
+TOGETHER = 500_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -101,6 +106,7 @@ class Vocabulary:
         self.wholes: dict[int, bool] = {}
         self.split_at: dict[int, tuple[int, int] | None] = {}
         self.pieces: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}  # the generation before
 
     def merge(self, data: bytes, until: int = 1) -> list[bytes]:
         """The merges in order of rank, down to ``until`` parts; only for one or two tokens."""
@@ -137,7 +143,7 @@ class Vocabulary:
     def fits(self, pair: int) -> bool:
         """Whether two tokens side by side stay as they are. Their merges are undone, the latest
         first; at no moment may the parts at the border merge before the next one of either side."""
-        if len(self.pairs) >= 4 * CACHE:
+        if len(self.pairs) >= PAIRS:
             self.pairs.clear()
         left, right = divmod(pair, self.size)
         if not self.whole(right):
@@ -167,10 +173,13 @@ class Vocabulary:
     def learn(self, pieces: set[str]) -> None:
         """Encode the pre-tokens not met before in order of their bytes, each from the prefix it
         shares with the one before."""
+        if len(self.pieces) >= CACHE:
+            self.older, self.pieces = self.pieces, {}
         new = pieces - self.pieces.keys()
-        if len(self.pieces) + len(new) > CACHE:
-            self.pieces.clear()
-            new = pieces
+        known = new & self.older.keys()
+        for piece in known:
+            self.pieces[piece] = self.older.pop(piece)
+        new -= known
         before = Prefixes(self)
         for data in sorted(x.encode() for x in new):
             if data in self.ranks:
@@ -227,20 +236,32 @@ def _with_fields(df: DataFrame, drop: str, **fields: T.DataType) -> T.StructType
 
 
 def _map(df: DataFrame, column: str, fields: dict[str, T.DataType], work) -> DataFrame:
-    """Arrow batches through ``work(list of column values) -> arrays in order of fields``."""
+    """Arrow batches, cut to ``TOGETHER`` bytes of the column (or one row), through
+    ``work(list of column values) -> arrays in order of fields``."""
     schema = _with_fields(df, column, **fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = dict(zip(fields, work(batch.column(column)), strict=True))
-            yield pa.RecordBatch.from_arrays(
-                [made[f.name] if f.name in made else batch.column(f.name) for f in schema],
-                schema.names,
-            )
+            for part in _parts(batch, column):
+                made = dict(zip(fields, work(part.column(column)), strict=True))
+                yield pa.RecordBatch.from_arrays(
+                    [made[f.name] if f.name in made else part.column(f.name) for f in schema],
+                    schema.names,
+                )
 
     return df.mapInArrow(run, schema)
 
 
+def _parts(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    values = batch.column(column)
+    binary = pa.types.is_binary(values.type) or pa.types.is_large_binary(values.type)
+    length, width = (pc.binary_length, 1) if binary else (pc.list_value_length, 4)
+    upto = np.cumsum(width * length(values).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    cuts = np.flatnonzero(np.diff(upto // TOGETHER)) + 1
+    for first, last in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+        yield batch.slice(int(first), int(last - first))
+
+
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
     """``df`` with ``ids`` (array<int>) and ``n_tokens`` instead of the text."""
     shared = df.sparkSession.sparkContext.broadcast(read_ranks(path))  # as large as the vocabulary
