@@ -194,15 +194,19 @@ def _keys(percent: int) -> Column:
 
 
 def buckets(heads: DataFrame, percent: int) -> DataFrame:
-    """band, key, id, n, place for every band value that two or more representatives share."""
+    """band, key, id, n, members, place for every band value that two or more representatives share.
+
+    Places are one order for all buckets: those who share the most band values come first, as a text
+    does that many others are edits of."""
     bands = heads.select("id", "n", F.posexplode(_keys(percent)).alias("band", "key"))
     shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    return bands.join(shared, "key").withColumn("place", F.xxhash64("id"))
+    total = F.sum("members").over(Window.partitionBy("id"))  # one row a band at most
+    return bands.join(shared, "key").withColumn("place", -total)
 
 
 def first_candidates(shared: DataFrame, percent: int) -> DataFrame:
     """One pair for each member: with the earliest one of the first members of its buckets, sizes
-    allowing. Places are one order for all buckets, so the copies of a text agree on few partners."""
+    allowing, so that the edits of a text agree on few partners."""
     first = shared.groupBy("key").agg(F.min(F.struct("place", "id", "n")).alias("f")).select("key", "f.*")
     a, b = shared.alias("a"), first.alias("b")
     met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") != F.col("b.id")) & _sizes_allow(percent))
