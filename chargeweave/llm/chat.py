@@ -8,19 +8,28 @@ running sums over chunks of ``CHUNK`` turn numbers, and inside these.
 
 Turns are ordered by turn (null first), role and text; repeated rows are repeated turns. A null role
 is the speaker ``unknown``, a null text is empty, rows without conv_id are one dialogue. A dialogue
-with system turns only has no participant and no row. Markers inside texts are broken up. Other
-columns are ignored.
+with system turns only has no participant and no row, as an empty table has none. Markers inside texts
+are broken up; names are percent-encoded. Other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK = 64
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 
 
+def speaker_name(role: Column) -> Column:
+    """The role with every byte but those of letters, digits and ``_.-`` written as %XX, so that
+    different speakers have different names."""
+    name = F.url_encode(role)
+    for was, by in (("+", "%20"), ("*", "%2A")):
+        name = F.replace(name, F.lit(was), F.lit(by))
+    return name
+
+
 def rotate(turns: DataFrame) -> DataFrame:
     """conv_id, speaker, position, turn, role, rendered, start, end, mask_start, mask_end."""
     said = turns.select(
@@ -35,7 +44,7 @@ def rotate(turns: DataFrame) -> DataFrame:
         said.where("role <> 'system'").select("key", F.col("role").alias("speaker")).distinct()
     )
     own = F.col("role") == F.col("speaker")
-    name = F.regexp_replace("role", "[^A-Za-z0-9_.-]", "_")
+    name = speaker_name(F.col("role"))
     header = (
         F.when(own, F.lit("assistant"))
         .when(F.col("role") == "system", F.lit("system"))

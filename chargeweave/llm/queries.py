@@ -170,7 +170,7 @@ WITH said AS (
 ), views AS (
   SELECT s.*, p.speaker, '<|im_start|>' || CASE WHEN s.role = p.speaker THEN 'assistant'
       WHEN s.role = 'system' THEN 'system'
-      ELSE 'user name=' || regexp_replace(s.role, '[^A-Za-z0-9_.-]', '_', 'g') END || chr(10) AS head
+      ELSE 'user name=' || replace(url_encode(s.role), '~', '%7E') END || chr(10) AS head
   FROM said s JOIN speakers p ON s.conv_id IS NOT DISTINCT FROM p.conv_id
 ), sized AS (
   SELECT *, length(head) + length(text) + 11 AS size FROM views

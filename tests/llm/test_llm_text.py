@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import public_tokenizers as tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -223,3 +224,32 @@ def test_addresses_with_zero_parts(spark):
         assert set(want) <= set(got[i]["spans"].split(",")) | {""}
     clean = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
     assert clean[0] == "<IP>" and clean[1] == "at <IP>, <IP>"
+
+
+def test_speaker_names_differ(spark):
+    roles = ["李", "王", "bo b", "bo_b", "bo+b", "bo%20b", "bo*b", "bo~b", "a.b-c", "é", "", "<|x|>"]
+    rows = spark.createDataFrame([(x,) for x in roles], "role string")
+    got = {r["role"]: r["name"] for r in rows.withColumn("name", chat.speaker_name(F.col("role"))).collect()}
+    assert len(set(got.values())) == len(roles)
+    assert got["bo b"] == "bo%20b" and got["a.b-c"] == "a.b-c"
+    by_sql = connect(SMALL).execute("select replace(url_encode(x), '~', '%7E') from unnest(?) as t(x)", [roles])
+    assert [r[0] for r in by_sql.fetchall()] == [got[x] for x in roles]
+
+
+def test_bpe_batches_are_cut_whole():
+    texts = [b"a" * (bpe.TOGETHER + 5), None, b"", *[b"b" * 70_000] * 20]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), pa.array(range(23))], ["text", "n"])
+    parts = list(bpe._parts(batch, "text"))
+    assert pa.Table.from_batches(parts).column("text").to_pylist() == texts
+    assert len(parts) > 2
+    assert sum(p.num_rows for p in bpe._parts(batch.slice(0, 0), "text")) == 0
+
+
+def test_bpe_generations(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE", 3)
+    monkeypatch.setattr(bpe, "TOGETHER", 8)
+    ranks = bpe.read_ranks(RANKS)
+    texts = ["one two three four", "", "two five six", "one seven two " * 3, "x" * 400]
+    small = list(bpe.Vocabulary(ranks, tokenizers.PATTERN).encode_all(texts))
+    known = tiktoken.Encoding("t", pat_str=tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    assert small == [known.encode_ordinary(x) for x in texts]
