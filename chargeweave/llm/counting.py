@@ -42,6 +42,7 @@ def read_scores(path: str) -> dict[str, int]:
 
 class Trie:
     def __init__(self, scores: dict[str, int]):
+        self.read = scores  # held, so that no other vocabulary takes its place in memory
         self.scores = {piece: score * UNIT - 1 for piece, score in scores.items()}
         self.longest = max(map(len, scores), default=1)
         self.unknown = (min(scores.values(), default=0) - 10) * UNIT
