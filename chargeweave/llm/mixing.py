@@ -6,11 +6,14 @@ that are an exponential tilt of the document's size, with one coefficient per so
 coefficients solve a convex dual; Newton steps, kept inside a bracket, run as Spark jobs over the
 counts by source and size, which are all the dual depends on. The rates are then rounded to copies
 per (source, size) so that errors cancel along the sizes, and within such a cell the documents with
-the smallest hashes get the odd copies.
-
-Null and empty texts have size 0 and keep their rate of 1. Null sources form one source, the last.
-Repeated rows count one by one, rows with equal doc_id, source and size are treated alike. Other
-columns pass through ``apply_copies``; sums are decimals, so reruns agree.
+the smallest hashes of doc_id and text get the odd copies.
+
+Null and empty texts have size 0 and rate 1, or ``CEILING`` where their source is cut at its size; a
+text counts as its number of words however long it is. Null sources form one source, the last.
+Repeated rows, and rows without doc_id, count one by one: among equal ones the first by row number
+get the odd copies, so that the copies of a cell are exact. Other columns, whatever their names, pass
+through ``apply_copies``; without rows there are none in the result. Sums are decimals, so reruns
+agree.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chargeweave.llm.words import source_key, whole_text, word_count
+from chargeweave.llm.words import free_name, source_key, whole_text, word_count
 from chargeweave.session import stage
 
 WEIGHTS = (5, 2, 1)
@@ -181,90 +184,97 @@ def copies_by_cell(cells: DataFrame, tilts: DataFrame) -> DataFrame:
     return cells
 
 
-def _hash() -> Column:
-    return F.xxhash64(F.col("doc_id"))
-
-
 def _odd_copies(sized: DataFrame, cells: DataFrame) -> DataFrame:
-    """key, size, each, last: copies for each document, one more up to the hash ``last``.
+    """key, size, plan: copies for each document, one more for the first ones by hash and then row
+    number, up to ``last_h`` and ``last_row``.
 
-    The hash at the wanted rank is found through counts per 1/4096 of the hash range, and ranks
-    inside the one range that holds it, so a cell with a large part of all rows is no single task.
+    The wanted rank is found through counts per 1/4096 of the hash range, per hash inside the one
+    range that holds it, then per writing task and row among the rows of one hash: a cell or a group
+    of equal rows with a large part of all rows is no single task.
     """
-    bucket = F.shiftright(F.col("h"), 52)
     plan = cells.select(
         "key",
         "size",
         F.floor(F.col("copies") / F.col("n")).cast("int").alias("each"),
         (F.col("copies") % F.col("n")).alias("odd"),
     )
-    rows = (
-        sized.select("key", "size", _hash().alias("h"))
-        .join(plan.where("odd > 0"), ["key", "size"])
-        .withColumn("bucket", bucket)
+    rows = sized.select(
+        "key", "size", F.shiftright("h", 52).alias("bucket"), "h", F.shiftright("row", 33).alias("task"), "row"
     )
-    along = Window.partitionBy("key", "size").orderBy("bucket")
-    ranges = (
-        rows.groupBy("key", "size", "bucket")
-        .agg(F.count(F.lit(1)).alias("c"), F.first("odd").alias("odd"))
-        .withColumn("upto", F.sum("c").over(along))
-        .where("upto >= odd and upto - c < odd")
-        .select("key", "size", "bucket", (F.col("odd") - F.col("upto") + F.col("c")).alias("rank"))
-    )
-    inside = Window.partitionBy("key", "size", "bucket").orderBy("h")
-    last = (
-        rows.join(ranges, ["key", "size", "bucket"])
-        .withColumn("at", F.row_number().over(inside))
-        .where("at = rank")
-        .select("key", "size", F.col("h").alias("last"))
+    at = ["key", "size"]
+    left = plan.where("odd > 0").drop("each")
+    for part in ("bucket", "h", "task", "row"):
+        along = Window.partitionBy(*at).orderBy(part)
+        left = stage(
+            rows.join(left, at)
+            .groupBy(*at, part)
+            .agg(F.count(F.lit(1)).alias("c"), F.first("odd").alias("odd"))
+            .withColumn("upto", F.sum("c").over(along))
+            .where("upto >= odd and upto - c < odd")
+            .select(*at, part, (F.col("odd") - F.col("upto") + F.col("c")).alias("odd")),
+            "ranks",
+        )
+        at.append(part)
+    last = left.select("key", "size", F.col("h").alias("last_h"), F.col("row").alias("last_row"))
+    return plan.join(last, ["key", "size"], "left").select(
+        "key", "size", F.struct("each", "last_h", "last_row").alias("plan")
     )
-    return plan.join(last, ["key", "size"], "left").select("key", "size", "each", "last")
 
 
-def _sized(docs: DataFrame, text: str, source: str) -> DataFrame:
-    return docs.select(
-        "doc_id",
-        F.col(source).alias("source"),
-        source_key(F.col(source)).alias("key"),
-        word_count(whole_text(text)).alias("size"),
-    )
+def _sized(docs: DataFrame, text: str, source: str) -> dict[str, Column]:
+    return {
+        "key": source_key(F.col(source)),
+        "size": word_count(whole_text(text)),
+        "h": F.xxhash64(F.col("doc_id"), F.col(text)),
+        "row": F.monotonically_increasing_id(),
+    }
 
 
-def plan_copies(docs: DataFrame, text: str = "text", source: str = "source") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The sized documents, the sources (size, target, tilt), and the copies per source and size."""
-    sized = stage(_sized(docs, text, source), "sized")
+def plan_copies(sized: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The sources (size, target, tilt), and the copies per source and size, of the written table
+    ``sized`` (source, key, size, h, row)."""
     cells = stage(
         sized.groupBy("key", "size").agg(F.first("source").alias("source"), F.count(F.lit(1)).alias("n")),
         "cells",
     )
     tilts = solve(cells, targets(cells))
-    return sized, tilts, stage(_odd_copies(sized, copies_by_cell(cells, tilts)), "odd_copies")
+    return tilts, stage(_odd_copies(sized, copies_by_cell(cells, tilts)), "odd_copies")
 
 
-def _copies() -> Column:
-    return F.col("each") + F.coalesce((_hash() <= F.col("last")).cast("int"), F.lit(0))
+def _copies(plan: str, h: str, row: str) -> Column:
+    """Copies of a row under the plan of its cell, a struct."""
+    p = F.col(plan)
+    first = (F.col(h) < p["last_h"]) | ((F.col(h) == p["last_h"]) & (F.col(row) <= p["last_row"]))
+    return p["each"] + F.coalesce(first.cast("int"), F.lit(0))
 
 
-def mix(docs: DataFrame) -> DataFrame:
+def mix(docs: DataFrame, text: str = "text", source: str = "source") -> DataFrame:
     """doc_id, size, source_size, target, copies and taken words of every document."""
-    sized, tilts, cells = plan_copies(docs)
+    made = _sized(docs, text, source)
+    sized = docs.select("doc_id", F.col(source).alias("source"), *(c.alias(k) for k, c in made.items()))
+    sized = stage(sized, "sized")
+    tilts, cells = plan_copies(sized)
     return (
         sized.join(cells, ["key", "size"])
         .join(tilts.select("key", "source_size", "target"), "key")
-        .withColumn("copies", _copies())
+        .withColumn("copies", _copies("plan", "h", "row"))
         .select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
     )
 
 
-def apply_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it."""
+def apply_copies(docs: DataFrame, text: str = "text", source: str = "source") -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it; they are written once with their size
+    and number."""
     names = docs.columns
-    _, _, cells = plan_copies(docs)
-    packed = docs.select("doc_id", F.struct(*names).alias("doc"), source_key(F.col("source")).alias("key"), word_count(whole_text()).alias("size"))
+    own = {c: free_name(names, f"_mix_{c}") for c in ("key", "size", "h", "row")}
+    rows = stage(docs.select("*", *(c.alias(own[k]) for k, c in _sized(docs, text, source).items())), "rows")
+    _, cells = plan_copies(rows.select(F.col(source).alias("source"), *(F.col(v).alias(k) for k, v in own.items())))
+    times = free_name(names, "_mix_copies")
+    cells = cells.select(F.col("key").alias(own["key"]), F.col("size").alias(own["size"]), F.col("plan").alias(times))
     return (
-        packed.join(cells, ["key", "size"])
-        .withColumn("copies", _copies())
-        .where("copies > 0")
-        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-        .select(*(F.col("doc")[c].alias(c) for c in names))
+        rows.join(cells, [own["key"], own["size"]])
+        .withColumn(times, _copies(times, own["h"], own["row"]))
+        .where(F.col(times) > 0)
+        .withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times))))
+        .select(*names)
     )

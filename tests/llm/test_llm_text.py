@@ -113,6 +113,50 @@ def test_mix(docs):
         assert abs(taken[s] - target[s]) <= max(r["size"] for r in rows if of[r["doc_id"]] == s) / 2 + 1
 
 
+def _tilted(sizes, target):
+    """The rates 2 / (1 + exp(-t x)) that reach ``target``, by bisection."""
+    lo, hi = -50.0, 50.0
+    for _ in range(200):
+        t = (lo + hi) / 2
+        rates = 2 / (1 + np.exp(-np.clip(t * sizes / sizes.mean(), -700, 700)))
+        lo, hi = (t, hi) if (rates * sizes).sum() < target else (lo, t)
+    return rates
+
+
+def test_mix_follows_the_tilted_rates(spark):
+    r = np.random.default_rng(3)
+    rows = [(i, " ".join(["w"] * int(r.integers(1, 12))), "abc"[i % 3]) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got = {x["doc_id"]: x for x in mixing.mix(docs).collect()}
+    cut = 0
+    for s in "abc":
+        own = [got[i] for i, _, of in rows if of == s]
+        sizes = np.array([x["size"] for x in own], float)
+        cut += own[0]["target"] >= 2 * sizes.sum()
+        rates = _tilted(sizes, own[0]["target"])
+        for size in set(sizes):
+            here = sizes == size
+            copies = sum(x["copies"] for x, h in zip(own, here, strict=True) if h)
+            assert abs(copies - rates[here].sum()) <= 2
+    assert cut < 3
+
+
+def test_mix_of_rows_without_and_with_equal_ids(spark):
+    """Odd copies are exact among rows that are equal or have no doc_id."""
+    rows = [(None, " ".join(["w"] * 10), "a", 1)] * 150 + [(None, f"{i} " + "w " * 9, "a", 2) for i in range(150)]
+    rows += [(7, "v " * 10, "b", i) for i in range(300)] + [(i, "u " * 10, "c", 0) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _mix_row int").repartition(5)
+    assert sum(x["taken"] for x in mixing.mix(docs).collect()) == 13_500
+    out = mixing.apply_copies(docs)
+    assert out.columns == docs.columns
+    kept = out.collect()
+    # a is cut at 2 * 3,000 words; b and c share the other 7,500 by 2 to 1
+    assert [10 * sum(x["source"] == s for x in kept) for s in "abc"] == [6000, 5000, 2500]
+    of_b = [x["_mix_row"] for x in kept if x["source"] == "b"]
+    assert max(map(of_b.count, of_b)) <= 2
+    assert mixing.apply_copies(docs.limit(0)).count() == 0
+
+
 def test_bpe(docs):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
     known = tiktoken.Encoding("own", pat_str=tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
