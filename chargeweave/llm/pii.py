@@ -6,20 +6,25 @@ base spans. Six labelers vote yes, no or not at all on every candidate: the stri
 checksum or range, the usual shape, a gazetteer, helpful context and contrary context. A model with
 one hidden label per candidate is fitted by expectation-maximisation to the counts of vote patterns
 per kind (at most 4 * 3^6 rows, counted over all documents), which gives each labeler's reliability.
-A logistic regression on votes and kind is trained on the resulting soft labels; candidates it gives
-``ACCEPT`` or more become spans. Positions are code points, ends exclusive.
-
-Null and empty texts have no spans; without any candidate nothing is trained. Rows are handled one
-by one, so repeated rows repeat; other columns pass through ``redact``.
+A logistic regression is trained on the resulting soft labels. It sees the votes and the span itself,
+each as a hashed feature per kind: length, character classes, separators, first and last characters
+and the words around it. Candidates it gives ``ACCEPT`` or more become spans. It is fitted to a sample
+of ``SAMPLE`` different candidates at most, by hash, with their counts; all other counts cover all
+documents. Positions are code points, ends exclusive.
+
+Null and empty texts have no spans; without any candidate, as in an empty table, nothing is trained.
+Time is linear in the length of a text and, but for short copies inside blocks of ``BLOCK``, in its
+spans, so very long texts are read whole. Rows are handled one by one, so repeated rows repeat; other
+columns pass through ``redact``.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +37,12 @@ ACCEPT = 0.9
 EM_STEPS = 12
 NEAR = 32
 YES, NO, NONE = 1, 2, 0
+#: Hashed features of the classifier, and the different candidates it is fitted to at most (expected).
+DIMENSIONS = 1024
+SAMPLE = 100_000
+#: Places summed up in one short array, and code points in one piece of a text that is cut up.
+BLOCK = 256
+PIECE = 1024
 
 # The strict patterns. Possessive quantifiers and the look-behind (unless a match ends
 # there) find the same matches without trying every start inside a long run.
@@ -81,34 +92,78 @@ CONTEXT = {
 }
 CONTRARY = r"(?i)\b(?:version|build|release|section|isbn|order|serial|invoice|page|sha|id)\b"
 
-_SPAN = "struct<start:int,end:int,value:string>"
+_SPAN = "struct<start:int,end:int,value:string,near:string>"
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """Leftmost non-overlapping matches with their places: what lies between them gives the starts."""
+def _so_far(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    return F.aggregate(
+        values, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(op(F.element_at(a, -1), x)))
+    )
 
-    def place(z: Column) -> Column:
-        first = F.struct(
-            F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("spans")
-        )
 
-        def step(a: Column, x: Column) -> Column:
-            start = a["at"] + F.length(x["g"])
-            end = start + F.length(x["m"])
-            span = F.struct(start.alias("start"), end.alias("end"), x["m"].alias("value"))
-            return F.struct(end.alias("at"), F.concat(a["spans"], F.array(span)).alias("spans"))
+def before(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """What ``op``, a sum or a greatest value, gives for all that comes before each place of an array
+    of whole numbers from 0, and, as one element more, for all of it. Arrays grow within blocks only."""
+    last = F.floor(F.greatest(F.size(values) - 1, F.lit(0)) / BLOCK).cast("int")
+    blocks = F.transform(
+        F.sequence(F.lit(0), last), lambda b: _so_far(F.slice(values, b * BLOCK + 1, BLOCK), op)
+    )
 
-        return F.aggregate(z, first, step, lambda a: a["spans"])
+    def joined(s: Column) -> Column:
+        inner = F.zip_with(
+            s["blocks"],
+            F.slice(s["firsts"], F.lit(1), F.size(s["blocks"])),
+            lambda b, f: F.transform(F.slice(b, F.lit(1), F.size(b) - 1), lambda x: op(f, x)),
+        )
+        return F.concat(F.flatten(inner), F.array(F.element_at(s["firsts"], -1)))
 
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     return let(
-        F.struct(found.alias("m"), F.split(text, pattern, -1).alias("g")),
-        lambda s: place(
-            F.arrays_zip(s["m"].alias("m"), F.slice(s["g"], F.lit(1), F.size(s["m"])).alias("g"))
+        let(
+            blocks,
+            lambda b: F.struct(
+                b.alias("blocks"), _so_far(F.transform(b, lambda x: F.element_at(x, -1)), op).alias("firsts")
+            ),
         ),
+        joined,
     )
 
 
+def _sum(a: Column, b: Column) -> Column:
+    return a + b
+
+
+def _cut(text: Column, pattern: str) -> Column:
+    """m: the leftmost non-overlapping matches; g: what lies before, between and after them."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.struct(found.alias("m"), F.split(text, pattern, -1).alias("g"))
+
+
+def matches(text: Column, pattern: str) -> Column:
+    """Leftmost non-overlapping matches with their places and the ``NEAR`` characters between them
+    and the matches next to them."""
+
+    def placed(s: Column) -> Column:
+        lengths = F.zip_with(
+            F.slice(s["g"], F.lit(1), F.size(s["m"])), s["m"], lambda g, m: F.length(g) + F.length(m)
+        )
+
+        def span(at: Column, m: Column, i: Column) -> Column:
+            gap, after = F.get(s["g"], i), F.get(s["g"], i + 1)
+            return let(
+                F.get(at, i) + F.length(gap),
+                lambda start: F.struct(
+                    start.alias("start"),
+                    (start + F.length(m)).alias("end"),
+                    m.alias("value"),
+                    F.concat(F.right(gap, F.lit(NEAR)), F.lit(" "), F.left(after, F.lit(NEAR))).alias("near"),
+                ),
+            )
+
+        return let(before(lengths, _sum), lambda at: F.transform(s["m"], lambda m, i: span(at, m, i)))
+
+    return let(_cut(text, pattern), placed)
+
+
 def _spans_or_none(text: Column, test: Column, pattern: str) -> Column:
     return F.when(test, matches(text, pattern)).otherwise(F.array().cast(f"array<{_SPAN}>"))
 
@@ -141,93 +196,96 @@ def passes(kind: str, value: Column) -> Column:
     return n.between(16, 19) & _luhn(value) if kind == "card" else n.between(8, 15)
 
 
-def _masked(text: Column, spans: Column) -> Column:
-    """The text with NUL characters in place of the spans."""
-
-    def build(parts: Column) -> Column:
-        return F.concat(parts["out"], F.substr(text, parts["at"] + 1))
-
-    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    return F.when(F.size(spans) == 0, text).otherwise(
-        F.aggregate(
-            F.sort_array(spans),
-            first,
-            lambda a, s: F.when(s["end"] <= a["at"], a).otherwise(
-                let(
-                    F.greatest(s["start"], a["at"]),
-                    lambda start: F.struct(
-                        s["end"].alias("at"),
-                        F.concat(
-                            a["out"],
-                            F.substr(text, a["at"] + 1, start - a["at"]),
-                            F.repeat(F.lit("\0"), s["end"] - start),
-                        ).alias("out"),
-                    ),
-                )
-            ),
-            build,
+def _masked(text: Column, pattern: str) -> Column:
+    """The text with NUL characters in place of the matches."""
+
+    def blank(s: Column) -> Column:
+        parts = F.zip_with(
+            F.slice(s["g"], F.lit(1), F.size(s["m"])),
+            s["m"],
+            lambda g, m: F.concat(g, F.repeat(F.lit("\0"), F.length(m))),
         )
-    )
+        return F.concat(F.array_join(parts, ""), F.element_at(s["g"], -1))
+
+    return let(_cut(text, pattern), blank)
 
 
 def _vote(yes: Column, otherwise: int) -> Column:
     return F.when(yes, F.lit(YES)).otherwise(F.lit(otherwise))
 
 
-def _candidates(kind: str, text: Column, spans: Column, strict: bool) -> Column:
-    """Spans with kind, base flag and the votes of the labelers, in their order."""
+def _features(kind: str, value: Column, near: Column, votes: Column) -> Column:
+    """The places of a candidate's features among ``DIMENSIONS``."""
+    classes = value
+    for pattern, mark in (("[0-9]", "0"), ("[a-z]", "a"), ("[A-Z]", "A")):
+        classes = F.regexp_replace(classes, pattern, mark)
+    separators = F.array_sort(F.array_distinct(F.split(F.regexp_replace(value, "[A-Za-z0-9]", ""), "")))
+    words = F.array_remove(F.split(F.lower(near), r"[^\p{L}]+", -1), "")
+    names = F.concat(
+        F.array(
+            F.lit("kind"),
+            F.concat(F.lit("length "), F.least(F.length(value), F.lit(40)).cast("string")),
+            F.concat(F.lit("classes "), F.regexp_replace(classes, r"(.)\1+", "$1+")),
+            F.concat(F.lit("separators "), F.array_join(separators, "")),
+            F.concat(F.lit("first "), F.left(value, F.lit(2))),
+            F.concat(F.lit("last "), F.right(value, F.lit(4))),
+        ),
+        F.transform(votes, lambda v, i: F.concat_ws(" ", F.lit("vote"), i.cast("string"), v.cast("string"))),
+        F.transform(words, lambda w: F.concat(F.lit("near "), w)),
+    )
+    places = F.transform(names, lambda x: F.pmod(F.xxhash64(F.lit(kind), x), F.lit(DIMENSIONS)).cast("int"))
+    return F.array_sort(F.array_distinct(places))
+
+
+def _candidates(kind: str, spans: Column, strict: bool) -> Column:
+    """Spans with kind, base flag, the votes of the labelers, in their order, and the features."""
 
     def judged(s: Column) -> Column:
-        value = s["value"]
-        around = F.concat(
-            F.substr(text, F.greatest(s["start"] - NEAR, F.lit(0)) + 1, F.least(s["start"], F.lit(NEAR))),
-            F.lit(" "),
-            F.substr(text, s["end"] + 1, F.lit(NEAR)),
-        )
+        value, near = s["value"], s["near"]
         good = passes(kind, value) if strict else F.lit(False)
         plain = F.regexp_replace(value, r"\[\.\]|[\[(]dot[\])]", ".")
-        votes = let(
-            around,
-            lambda near: F.array(
-                _vote(good, NO),
-                _vote(passes(kind, plain), NO),
-                _vote(value.rlike(SHAPE[kind]), NO),
-                _vote(value.rlike(GAZETTEER[kind]), NO),
-                _vote(near.rlike(CONTEXT[kind]), NONE),
-                F.when(near.rlike(CONTRARY), F.lit(NO)).otherwise(F.lit(NONE)),
-            ),
+        votes = F.array(
+            _vote(good, NO),
+            _vote(passes(kind, plain), NO),
+            _vote(value.rlike(SHAPE[kind]), NO),
+            _vote(value.rlike(GAZETTEER[kind]), NO),
+            _vote(near.rlike(CONTEXT[kind]), NONE),
+            F.when(near.rlike(CONTRARY), F.lit(NO)).otherwise(F.lit(NONE)),
         )
-        return F.struct(
-            F.lit(KINDS.index(kind)).alias("kind"),
-            s["start"].alias("start"),
-            s["end"].alias("end"),
-            good.alias("base"),
-            votes.alias("votes"),
+        return let(
+            votes,
+            lambda v: F.struct(
+                F.lit(KINDS.index(kind)).alias("kind"),
+                s["start"].alias("start"),
+                s["end"].alias("end"),
+                (v[0] == YES).alias("base"),
+                v.alias("votes"),
+                _features(kind, value, near, v).alias("features"),
+            ),
         )
 
     return F.transform(spans, judged)
 
 
 def find_candidates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``spans``: array of kind, start, end, base, votes."""
+    """``docs`` with ``spans``: array of kind, start, end, base, votes, features."""
     t = F.col("_text")
     df = docs.withColumn("_text", whole_text(text))
     for kind in KINDS:
         df = df.withColumn(f"_{kind}", _spans_or_none(t, MAY_HOLD[kind](t), STRICT[kind]))
-    every = F.concat(*(F.col(f"_{kind}") for kind in KINDS))
-    loose = {kind: F.col("_text").rlike(MAY_HOLD_LOOSE[kind]) for kind in KINDS}
-    df = df.withColumn(
-        "_rest", F.when(loose["email"] | loose["ip"] | loose["card"] | loose["phone"], _masked(t, every))
-    )
+    loose = {kind: t.rlike(MAY_HOLD_LOOSE[kind]) for kind in KINDS}
+    df = df.withColumn("_rest", F.when(loose["email"] | loose["ip"] | loose["card"] | loose["phone"], t))
     rest = F.col("_rest")
+    for kind in KINDS:  # one after another, each on what the others left
+        df = df.withColumn("_rest", F.when(F.size(f"_{kind}") > 0, _masked(rest, STRICT[kind])).otherwise(rest))
     for kind in KINDS:
         df = df.withColumn(
             f"_loose_{kind}",
             _spans_or_none(rest, F.coalesce(rest.rlike(MAY_HOLD_LOOSE[kind]), F.lit(False)), LOOSE[kind]),
         )
     made = F.concat(
-        *(_candidates(kind, t, F.col(f"_{kind}"), True) for kind in KINDS),
-        *(_candidates(kind, t, F.col(f"_loose_{kind}"), False) for kind in KINDS),
+        *(_candidates(kind, F.col(f"_{kind}"), True) for kind in KINDS),
+        *(_candidates(kind, F.col(f"_loose_{kind}"), False) for kind in KINDS),
     )
     return df.select(*docs.columns, made.alias("spans"))
 
@@ -285,26 +343,20 @@ def reliabilities(patterns: DataFrame) -> tuple[DataFrame, DataFrame]:
     return labels, worth
 
 
-def accepted(found: DataFrame) -> list[tuple[int, list[int]]]:
-    """The vote patterns per kind that the trained classifier accepts; at most 4 * 3^6 pairs."""
-    patterns = stage(
-        found.select(F.explode("spans").alias("s"))
-        .groupBy(F.col("s.kind").alias("kind"), F.col("s.votes").alias("votes"))
-        .agg(F.count(F.lit(1)).alias("n")),
-        "patterns",
-    )
+Model = tuple[float, list[float]]
+
+
+def trained(found: DataFrame) -> Model | None:
+    """Intercept and ``DIMENSIONS`` weights of the classifier; none without candidates to decide on."""
+    spans = found.select(F.explode("spans").alias("s")).select("s.kind", "s.votes", "s.features")
+    patterns = stage(spans.groupBy("kind", "votes").agg(F.count(F.lit(1)).alias("n")), "patterns")
     if patterns.where("votes[0] <> 1").isEmpty():
-        return []
+        return None
     labels, _ = reliabilities(patterns)
-    names = [f"{x}_{v}" for x in LABELERS for v in (YES, NO)] + list(KINDS)
-    features = {
-        f"{x}_{v}": (F.col("votes")[i] == v).cast("double")
-        for i, x in enumerate(LABELERS)
-        for v in (YES, NO)
-    } | {k: (F.col("kind") == i).cast("double") for i, k in enumerate(KINDS)}
-    table = VectorAssembler(inputCols=names, outputCol="features").transform(
-        patterns.join(labels, ["kind", "votes"]).withColumns(features)
-    )
+    total = patterns.agg(F.sum("n")).first()[0]
+    part = min(1.0, SAMPLE / total)
+    drawn = F.pmod(F.xxhash64("kind", "votes", "features"), F.lit(1 << 30)) < part * (1 << 30)
+    sample = spans.where(drawn).groupBy("kind", "votes", "features").agg(F.count(F.lit(1)).alias("n"))
     soft = F.explode(
         F.array(
             F.struct(F.lit(1.0).alias("label"), (F.col("n") * F.col("q")).alias("weight")),
@@ -312,28 +364,32 @@ def accepted(found: DataFrame) -> list[tuple[int, list[int]]]:
         )
     ).alias("x")
     rows = (
-        table.select("kind", "votes", "features", soft)
-        .select("kind", "votes", "features", "x.*")
-        .coalesce(1)
-        .sort("kind", "votes", "label")
+        sample.join(labels, ["kind", "votes"])
+        .select("kind", "votes", F.col("features").cast("array<string>").alias("terms"), soft)
+        .select("kind", "votes", "terms", "x.*")
+        .coalesce(1)  # bounded by SAMPLE; one order of sums, so that reruns agree
+        .sort("kind", "votes", "terms", "label")
+    )
+    counted = CountVectorizerModel.from_vocabulary(
+        [str(i) for i in range(DIMENSIONS)], inputCol="terms", outputCol="features", binary=True
     )
     model = LogisticRegression(
         weightCol="weight", regParam=1e-3, maxIter=50, standardization=False
-    ).fit(rows)
-    scored = model.transform(table).select("kind", "votes", vector_to_array("probability")[1].alias("p"))
-    good = scored.where((F.col("p") >= ACCEPT) & (F.col("votes")[0] != YES)).orderBy("kind", "votes")
-    return [(r["kind"], list(r["votes"])) for r in good.collect()]
+    ).fit(counted.transform(stage(rows, "sample").coalesce(1)))
+    return model.intercept, [float(x) for x in model.coefficients]
+
 
+def log_odds(features: Column, model: Model) -> Column:
+    weights = F.array(*map(F.lit, model[1]))
+    return F.aggregate(features, F.lit(model[0]), lambda a, f: a + F.get(weights, f))
 
-def final_spans(patterns: list[tuple[int, list[int]]]) -> Column:
-    """Of ``spans``: base ones and those with an accepted pattern, by kind and start."""
-    known = F.array(*(F.lit("".join(map(str, [k, *v]))) for k, v in patterns)) if patterns else None
+
+def final_spans(model: Model | None) -> Column:
+    """Of ``spans``: base ones and those the classifier accepts, by kind and start."""
+    least = math.log(ACCEPT / (1 - ACCEPT))
 
     def stays(s: Column) -> Column:
-        if known is None:
-            return s["base"]
-        mark = F.concat(s["kind"].cast("string"), F.array_join(s["votes"].cast("array<string>"), ""))
-        return s["base"] | F.array_contains(known, mark)
+        return s["base"] if model is None else s["base"] | (log_odds(s["features"], model) >= least)
 
     return F.sort_array(F.filter("spans", stays))
 
@@ -359,7 +415,7 @@ def report(docs: DataFrame) -> DataFrame:
         "doc_id",
         *(c.alias(k) for k, c in counts.items()),
         F.sha2(_listed(base), 256).alias("base_sha256"),
-        _listed(final_spans(accepted(found))).alias("spans"),
+        _listed(final_spans(trained(found))).alias("spans"),
     )
 
 
@@ -369,21 +425,45 @@ def _redacted(text: Column, spans: Column) -> Column:
     by_start = F.sort_array(
         F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
     )
-    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    return F.aggregate(
-        by_start,
-        first,
-        lambda a, s: F.when(
-            (s["start"] < a["at"]), F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out"))
-        ).otherwise(
-            F.struct(
-                s["end"].alias("at"),
-                F.concat(
-                    a["out"], F.substr(text, a["at"] + 1, s["start"] - a["at"]), F.get(names, s["kind"])
-                ).alias("out"),
+    pieces = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+    def piece(s: Column, n: Column) -> Column:
+        return F.coalesce(F.get(s["pieces"], n), F.lit(""))
+
+    def between(s: Column, a: Column, b: Column) -> Column:
+        """The text from ``a`` to ``b``, of the pieces that hold it."""
+        first, last = (F.floor(x / PIECE).cast("int") for x in (a, b))
+        return F.when(first == last, F.substr(piece(s, first), a % PIECE + 1, b - a)).otherwise(
+            F.concat(
+                F.substr(piece(s, first), a % PIECE + 1),
+                F.array_join(F.slice(s["pieces"], first + 2, F.greatest(last - first - 1, F.lit(0))), ""),
+                F.left(piece(s, last), b % PIECE),
             )
+        )
+
+    def built(s: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(s["spans"]) - 1)
+        heads = F.filter(places, lambda i: F.get(s["spans"], i)["start"] >= F.get(s["upto"], i))
+        body = F.transform(
+            heads,
+            lambda i: F.concat(
+                between(s, F.get(s["upto"], i), F.get(s["spans"], i)["start"]),
+                F.get(names, F.get(s["spans"], i)["kind"]),
+            ),
+        )
+        return F.concat(F.array_join(body, ""), between(s, F.element_at(s["upto"], -1), s["n"]))
+
+    return let(
+        let(
+            by_start,
+            lambda x: F.struct(
+                x.alias("spans"),
+                before(F.transform(x, lambda y: y["end"]), F.greatest).alias("upto"),
+                pieces.alias("pieces"),
+                F.length(text).alias("n"),
+            ),
         ),
-        lambda a: F.concat(a["out"], F.substr(text, a["at"] + 1)),
+        built,
     )
 
 
@@ -392,7 +472,7 @@ def redact(docs: DataFrame) -> DataFrame:
     names = docs.columns
     packed = docs.select("text", F.struct(*names).alias("doc"))
     found = stage(find_candidates(packed), "candidates")
-    spans = final_spans(accepted(found))
+    spans = final_spans(trained(found))
     text = F.when(F.size(spans) == 0, F.col("text")).otherwise(_redacted(F.col("text"), spans))
     out = found.withColumn("text", text)
     replaced = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
