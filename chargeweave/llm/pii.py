@@ -468,12 +468,13 @@ def _redacted(text: Column, spans: Column) -> Column:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with every span replaced; texts without spans, and null ones, stay as they are."""
+    """``docs`` with every span replaced; texts without spans, and null ones, stay as they are. Texts are
+    searched twice, for the classifier and for the result, and not written in between."""
     names = docs.columns
-    packed = docs.select("text", F.struct(*names).alias("doc"))
-    found = stage(find_candidates(packed), "candidates")
-    spans = final_spans(trained(found))
-    text = F.when(F.size(spans) == 0, F.col("text")).otherwise(_redacted(F.col("text"), spans))
+    known = find_candidates(docs.select("text")).select("spans").where(F.size("spans") > 0)
+    spans = final_spans(trained(stage(known, "candidates")))
+    found = find_candidates(docs.select("text", F.struct(*names).alias("doc"))).withColumn("spans", spans)
+    text = F.when(F.size("spans") == 0, F.col("text")).otherwise(_redacted(F.col("text"), F.col("spans")))
     out = found.withColumn("text", text)
     replaced = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
     return out.select(

@@ -159,20 +159,22 @@ def host_rates(measured: DataFrame, source: str = "source") -> DataFrame:
     )
 
 
-def judge(measured: DataFrame, source: str = "source") -> DataFrame:
-    """``measured`` with ``base_failed``, ``host_failed`` and ``kept``; read it from a written table.
-
-    The verdicts on hosts are written too, so that their size decides whether the documents, of which
-    one host may hold a third, are shuffled to them at all."""
+def failed_hosts(measured: DataFrame, source: str = "source") -> DataFrame:
+    """host, host_failed: written, so that its size decides whether the documents, of which one host
+    may hold a third, are shuffled to it at all."""
     hosts = (
         host_rates(measured, source)
         .groupBy("host")
         .agg((F.max("rate") > MAX_HOST_RATE).alias("host_failed"))
     )
-    failed = stage(hosts, "hosts")
+    return stage(hosts, "hosts")
+
+
+def judge(measured: DataFrame, hosts: DataFrame, source: str = "source") -> DataFrame:
+    """``measured`` with ``base_failed``, ``host_failed`` and ``kept``."""
     return (
         measured.withColumn("host", source_key(F.col(source)))
-        .join(failed, "host")
+        .join(hosts, "host")
         .drop("host")
         .withColumn("base_failed", base_failed())
         .withColumn("kept", ~F.col("base_failed") & ~F.col("host_failed"))
@@ -181,15 +183,16 @@ def judge(measured: DataFrame, source: str = "source") -> DataFrame:
 
 def verdicts(docs: DataFrame) -> DataFrame:
     """doc_id, the measures and verdicts of every document."""
-    measured = measure(docs.select("doc_id", "text", "source")).drop("text")
-    return judge(stage(measured, "measured")).select(
+    measured = stage(measure(docs.select("doc_id", "text", "source")).drop("text"), "measured")
+    return judge(measured, failed_hosts(measured)).select(
         "doc_id", *MEASURES, "base_failed", "host_failed", "kept"
     )
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that pass, with their own columns."""
+    """The documents that pass, with their own columns. Texts are measured twice, for the hosts and for
+    the result, and not written in between."""
     names = docs.columns
+    hosts = failed_hosts(measure(docs.select("text", "source")).drop("text"))
     packed = docs.select(F.struct(*names).alias("doc"), "text", "source")
-    measured = stage(measure(packed).drop("text"), "measured")
-    return judge(measured).where("kept").select(*(F.col("doc")[c].alias(c) for c in names))
+    return judge(measure(packed), hosts).where("kept").select(*(F.col("doc")[c].alias(c) for c in names))
