@@ -1,5 +1,6 @@
 """Model jobs on the smallest tables: repeatable, better than the mean, and persistent."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,3 +158,36 @@ def test_permutation_does_not_depend_on_the_groups(spark):
         {r.feature: r.rmse_rise for r in models.permutation_importance(fit, df, ["k"], groups=n).collect()} for n in (1, 256)
     )
     assert one == pytest.approx(many) and one["x"] > 1
+
+
+def _jobs(spark, rounds, depth):
+    group = f"boosting-{rounds}"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        fit = models.fit(_noisy(spark), NOISY, Boosting(iterations=rounds, depth=depth, learning_rate=0.1, patience=100))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(fit.validation_losses) == rounds
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_a_round_costs_one_job_a_level(spark):
+    assert 0 < _jobs(spark, 9, 3) - _jobs(spark, 3, 3) <= 6 * 3
+
+
+def test_draws_do_not_depend_on_partitions(spark):
+    drawn = Boosting(iterations=3, depth=3, learning_rate=0.3, row_fraction=0.5, feature_fraction="0.5")
+    one, many = (models.fit(_noisy(spark).repartition(n), NOISY, drawn).validation_losses for n in (1, 7))
+    assert one == pytest.approx(many)
+
+
+def test_cuts_between_bins():
+    assert boosting.cuts_between(np.array([1.0, 3.0, 3.0])).tolist() == [2.0]
+    assert boosting.cuts_between(np.array([5.0, 5.0])).tolist() == []
+    assert boosting.cuts_between(np.arange(8.0), 4).tolist() == [1.5, 3.5, 5.5]
+
+
+def test_blocks_written_between_rounds_give_the_same_model(spark, stopped, monkeypatch):
+    monkeypatch.setattr(boosting, "CUT_EVERY", 2)
+    again = models.fit(_noisy(spark), NOISY, stopped.product.boosting)
+    assert again.validation_losses == pytest.approx(stopped.validation_losses)
