@@ -223,3 +223,17 @@ def test_queries_over_uncapped_tables(spark, name):
     ours = entry_points.queries()[f"{name}_uncapped"](spark, folder).toPandas()
     theirs = connect(folder).execute(entry_points.oracle_sql()[f"{name}_uncapped"]).df()
     assert len(ours) and difference(ours, theirs) is None
+
+
+def test_the_station_cap_shuffles_once(spark, readings):
+    rows = [("S", f"C{i % 7}", at(i % 24, day=1 + i // 24), 1.0, 1.0, 1.0, None) for i in range(400)]
+    df = readings(rows).repartition(3)
+    capped = cleaning.cap_stations(df, 50)
+    plan = capped._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange hashpartitioning") == 1 and "50, Partial" in plan
+    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "10")
+    try:
+        salted = cleaning.cap_stations(df, 50)
+        assert salted.exceptAll(capped).isEmpty() and salted.count() == capped.count() == 50
+    finally:
+        spark.conf.unset("spark.sql.optimizer.windowGroupLimitThreshold")
