@@ -182,3 +182,13 @@ def test_quantiles_with_infinities(spark):
     assert order_stats.quantiles(df, ["v"], 0.0) == {"v": float("-inf")}
     got = {r["g"]: r["m"] for r in order_stats.grouped_quantile(df, ["g"], "v", 0.5, "m").collect()}
     assert got == {0: 4.5, 1: float("-inf")}
+
+
+def test_hash_order_is_counted_without_a_sort(spark):
+    df = spark.range(500).selectExpr("cast(id AS string) AS a")
+    levels = splits.hash_levels(["a"], 7)
+    counts = df.groupBy(levels[0][1].alias("k")).agg(F.min(levels[1][1]), F.max(levels[1][1]))
+    assert "SortAggregate" not in counts._jdf.queryExecution().executedPlan().toString()
+    order = [splits.hash_order(["a"], 7), "a"]
+    coarse = df.orderBy(*order).select(*[e.alias(n) for n, e in levels[:2]]).collect()
+    assert coarse == sorted(coarse)
