@@ -154,3 +154,14 @@ def test_known_charger_without_statistics_stays_missing(spark):
     )
     rows = feature_rows(with_charger_history(asked, charger_history(history)), "leftover").collect()
     assert {r["charger_id"]: r["charger_max_energy_wh"] for r in rows} == {"c": None, "new": 150.0}
+
+
+def test_charger_history_collapses_in_a_hash_table(spark):
+    rows = [("S2", "C1", 2, 5.0, 1.0), ("S3", "C1", 1, 9.0, 2.0), ("S1", "C1", 1, 7.0, None), (None, "C2", 3, None, None), ("S9", "C2", 4, 1.0, 4.0)]
+    schema = "charging_station_id string, charger_id string, timestamp int, charger_max_energy_wh double, charger_mean_energy_wh double"
+    history = rq.charger_history(spark.createDataFrame(rows, schema))
+    plan = history._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate(keys=[charger_id" in plan and plan.count("partial_min_by") == 1
+    assert plan.index("partial_min_by") < plan.rindex("HashAggregate(keys=[charger_id")
+    got = {r.charger_id: (r._charger_max_energy_wh, r._charger_mean_energy_wh, r._station_id) for r in history.collect()}
+    assert got == {"C1": (9.0, 1.5, "S1"), "C2": (1.0, 4.0, None)}
