@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from chargeweave.operators.evaluation import regression_metrics
@@ -191,3 +192,22 @@ def test_blocks_written_between_rounds_give_the_same_model(spark, stopped, monke
     monkeypatch.setattr(boosting, "CUT_EVERY", 2)
     again = models.fit(_noisy(spark), NOISY, stopped.product.boosting)
     assert again.validation_losses == pytest.approx(stopped.validation_losses)
+
+
+def test_a_level_is_one_stage(spark):
+    tracker, stages = spark.sparkContext.statusTracker(), []
+    for rounds in (2, 6):
+        _jobs(spark, rounds, 4)
+        jobs = [tracker.getJobInfo(i) for i in tracker.getJobIdsForGroup(f"boosting-{rounds}")]
+        ran = [tracker.getStageInfo(i) for j in jobs for i in j.stageIds]
+        stages.append(sum(x is not None and x.numCompletedTasks > 0 for x in ran))  # without skipped ones
+    assert 0 < stages[1] - stages[0] <= 4 * 4
+
+
+def test_what_a_sibling_leaves_is_the_other_childs_mean(spark):
+    rows = [(Vectors.dense(i % 10, i * 7919 % 101), float(i % 10) * 3 + (i * 31 % 17), s) for i in range(300) for s in ("train", "val")]
+    df = spark.createDataFrame(rows, [boosting.FEATURES, boosting.LABEL, "split"])
+    model = boosting.boost(df, Boosting(iterations=1, depth=4, learning_rate=1.0)).model
+    train = model.transform(df.where("split = 'train'")).groupBy(F.round("prediction", 9).alias("p"))
+    leaves = train.agg(F.avg(boosting.LABEL).alias("mean")).collect()
+    assert len(leaves) > 4 and all(r["p"] == pytest.approx(r["mean"]) for r in leaves)
