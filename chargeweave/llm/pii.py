@@ -270,19 +270,19 @@ def _candidates(kind: str, spans: Column, strict: bool) -> Column:
 def find_candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with ``spans``: array of kind, start, end, base, votes, features."""
     t = F.col("_text")
-    df = docs.withColumn("_text", whole_text(text))
-    for kind in KINDS:
-        df = df.withColumn(f"_{kind}", _spans_or_none(t, MAY_HOLD[kind](t), STRICT[kind]))
+    strict = {f"_{kind}": _spans_or_none(t, MAY_HOLD[kind](t), STRICT[kind]) for kind in KINDS}
     loose = {kind: t.rlike(MAY_HOLD_LOOSE[kind]) for kind in KINDS}
-    df = df.withColumn("_rest", F.when(loose["email"] | loose["ip"] | loose["card"] | loose["phone"], t))
+    rest = F.when(loose["email"] | loose["ip"] | loose["card"] | loose["phone"], t)
+    df = docs.withColumn("_text", whole_text(text)).withColumns({**strict, "_rest": rest})
     rest = F.col("_rest")
     for kind in KINDS:  # one after another, each on what the others left
         df = df.withColumn("_rest", F.when(F.size(f"_{kind}") > 0, _masked(rest, STRICT[kind])).otherwise(rest))
-    for kind in KINDS:
-        df = df.withColumn(
-            f"_loose_{kind}",
-            _spans_or_none(rest, F.coalesce(rest.rlike(MAY_HOLD_LOOSE[kind]), F.lit(False)), LOOSE[kind]),
-        )
+    df = df.withColumns(
+        {
+            f"_loose_{kind}": _spans_or_none(rest, F.coalesce(rest.rlike(MAY_HOLD_LOOSE[kind]), F.lit(False)), LOOSE[kind])
+            for kind in KINDS
+        }
+    )
     made = F.concat(
         *(_candidates(kind, F.col(f"_{kind}"), True) for kind in KINDS),
         *(_candidates(kind, F.col(f"_loose_{kind}"), False) for kind in KINDS),
@@ -380,7 +380,8 @@ def trained(found: DataFrame) -> Model | None:
 
 
 def log_odds(features: Column, model: Model) -> Column:
-    weights = F.array(*map(F.lit, model[1]))
+    # One string: as literals of their own the weights make up most of the plan, which the driver holds many times.
+    weights = F.split(F.lit(",".join(map(repr, model[1]))), ",").cast("array<double>")
     return F.aggregate(features, F.lit(model[0]), lambda a, f: a + F.get(weights, f))
 
 

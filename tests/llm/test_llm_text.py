@@ -354,3 +354,12 @@ def test_bpe_generations(monkeypatch):
     small = list(bpe.Vocabulary(ranks, tokenizers.PATTERN).encode_all(texts))
     known = tiktoken.Encoding("t", pat_str=tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     assert small == [known.encode_ordinary(x) for x in texts]
+
+
+def test_the_weights_of_the_classifier_are_one_literal(spark):
+    weights = [0.1 * i - 1 / 3 for i in range(pii.DIMENSIONS)]
+    df = spark.createDataFrame([([0, 7, 1023],)], "features array<int>")
+    scored = df.select(pii.log_odds(F.col("features"), (0.25, weights)).alias("x"))
+    assert scored.first().x == 0.25 + weights[0] + weights[7] + weights[1023]
+    plan = scored._jdf.queryExecution().analyzed().toString()
+    assert plan.count("split(") == 1 and "array(" not in plan
