@@ -11,10 +11,11 @@ In buckets that then still hold several components, the members outside the larg
 ``CENTERS`` members inside and outside it, which are all pairs that matter in buckets up to
 ``CENTERS`` + 1. For the members of larger buckets that still hold several components, the shingles
 that no other such member has are counted: they bound every similarity from above, and the members
-with the fewest are the next ones to meet those outside. What the bound leaves across components is
-compared pair by pair. A link that would change a component is missed only where a pair shares no
-band or its signatures err by more than the slack allows, see ``MISS`` and ``SLACK``; groups of
-copies stay linear.
+with the fewest are the next ones to meet those outside. What is left across components is found by
+its rarest shingles: in one order of all shingles, the rarest first, two linked sets have the first
+common one so early in both that enough can follow, so pairs meet by these shingles instead of by
+bucket. A link that would change a component is missed only where a pair shares no band or its
+signatures err by more than the slack allows, see ``MISS`` and ``SLACK``; groups of copies stay linear.
 
 Null and empty texts, and rows without doc_id, are linked with nothing. Rows that share a doc_id are
 one document, linked through any of their texts. Other columns are ignored.
@@ -247,20 +248,22 @@ def candidates(members: DataFrame, percent: int) -> DataFrame:
 def _dealt(slices: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {"slice": [], "id": [], "part": []}
-            for id_, data in zip(batch.column("id").to_pylist(), batch.column("set"), strict=True):
+            out: dict[str, list] = {x: [] for x in _PARTS.names}
+            for id_, text, data in zip(*(batch.column(c).to_pylist() for c in ("id", "text")), batch.column("set"), strict=True):
                 h = np.frombuffer(data.as_py(), np.uint64)
                 at = ((h >> np.uint64(32)) * np.uint64(slices)) >> np.uint64(32)
                 for first, last in zip(*_runs(at), strict=True):
                     out["slice"].append(int(at[first]))
                     out["id"].append(id_)
+                    out["text"].append(text)
+                    out["n"].append(len(h))
                     out["part"].append(h[first:last].tobytes())
             yield pa.RecordBatch.from_pydict(out, _PARTS)
 
     return run
 
 
-_PARTS = pa.schema([("slice", pa.int64()), ("id", pa.int64()), ("part", pa.binary())])
+_PARTS = pa.schema([(x, pa.int64()) for x in ("slice", "id", "text", "n")] + [("part", pa.binary())])
 
 
 def _runs(x: np.ndarray) -> tuple[list[int], list[int]]:
@@ -269,30 +272,57 @@ def _runs(x: np.ndarray) -> tuple[list[int], list[int]]:
     return ([0, *cuts], [*cuts, len(x)]) if len(x) else ([], [])
 
 
-def _alone(parts: pd.DataFrame) -> pd.DataFrame:
-    lengths = np.array([len(x) // 8 for x in parts["part"]])
-    h = np.frombuffer(b"".join(parts["part"]), np.uint64)
-    _, at, times = np.unique(h, return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(len(lengths)), lengths)
-    n = np.bincount(owner, weights=times[at] == 1, minlength=len(lengths))
-    return pd.DataFrame({"id": parts["id"], "alone": n.astype(np.int64)})
+def _counted(percent: int):
+    def run(parts: pd.DataFrame) -> pd.DataFrame:
+        lengths = np.array([len(x) // 8 for x in parts["part"]])
+        h = np.frombuffer(b"".join(parts["part"]), np.int64)
+        _, at, counts = np.unique(h, return_inverse=True, return_counts=True)
+        times, owner = counts[at], np.repeat(np.arange(len(lengths)), lengths)
+        alone = np.bincount(owner, weights=times == 1, minlength=len(lengths))
+        order = np.lexsort((h, times, owner))
+        ends = lengths.cumsum()
+        kept = np.minimum(lengths, parts["n"].to_numpy() * (100 - percent) // 100 + 1)
+        rare = [order[end - n : end - n + k] for end, n, k in zip(ends, lengths, kept, strict=True)]
+        return pd.DataFrame(
+            {
+                "id": parts["id"],
+                "text": parts["text"],
+                "n": parts["n"],
+                "alone": alone.astype(np.int64),
+                "times": [times[x] for x in rare],
+                "shingle": [h[x] for x in rare],
+            }
+        )
+
+    return run
 
 
-def alone_counts(sets: DataFrame, total: int) -> DataFrame:
-    """id, alone: how many shingles of a set are in no other one of ``sets``. Hash ranges of about
-    ``SLICE`` shingles are counted in a task each."""
+def shingle_counts(sets: DataFrame, total: int, percent: int) -> DataFrame:
+    """id, text, n, alone, rare of every different set: its size, how many of its shingles are in no
+    other one of ``sets``, and as many of its rarest ones, with their times, as may come before the
+    first that it shares with a linked set. Hash ranges of about ``SLICE`` shingles are counted in a
+    task each."""
     slices = max(1, -(-total // SLICE))
-    texts = sets.groupBy("id").agg(F.count_distinct(F.xxhash64("set")).alias("texts"))
-    alone = (
+    columns = "id long, text long, n long, alone long, times array<long>, shingle array<long>"
+    rare = F.array_sort(F.flatten(F.collect_list(F.arrays_zip("times", "shingle"))))
+    most = F.floor(F.col("n") * (100 - percent) / 100).cast("int") + 1
+    return (
         sets.dropDuplicates(["id", "set"])
-        .mapInArrow(_dealt(slices), "slice long, id long, part binary")
+        .select("id", F.xxhash64("set").alias("text"), "set")
+        .mapInArrow(_dealt(slices), "slice long, id long, text long, n long, part binary")
         .groupBy("slice")
-        .applyInPandas(_alone, "id long, alone long")
-        .groupBy("id")
-        .agg(F.sum("alone").alias("alone"))
+        .applyInPandas(_counted(percent), columns)
+        .groupBy("id", "text", "n")
+        .agg(F.sum("alone").alias("alone"), rare.alias("rare"))
+        .withColumn("rare", F.slice("rare", F.lit(1), most))
     )
+
+
+def alone_counts(counted: DataFrame) -> DataFrame:
+    """id, alone: how many shingles of a document no other one has."""
     # No bound for a document whose rows have different texts.
-    return alone.join(texts, "id").select("id", F.when(F.col("texts") == 1, F.col("alone")).otherwise(0).alias("alone"))
+    alone = F.when(F.count(F.lit(1)) == 1, F.max("alone")).otherwise(0)
+    return counted.groupBy("id").agg(alone.alias("alone"))
 
 
 def _large(shared: DataFrame) -> DataFrame:
@@ -300,11 +330,16 @@ def _large(shared: DataFrame) -> DataFrame:
     return shared.where(F.col("members") > CENTERS + 1)
 
 
-def open_members(shared: DataFrame, found: DataFrame) -> DataFrame:
-    """The members of buckets that hold several components, with their components."""
-    members = shared.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn(
+def _now(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """``rows`` with the component of each id."""
+    return rows.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn(
         "component", F.coalesce("component", "id")
     )
+
+
+def open_members(shared: DataFrame, found: DataFrame) -> DataFrame:
+    """The members of buckets that hold several components, with their components."""
+    members = _now(shared, found)
     several = (
         members.groupBy("key")
         .agg(F.min("component").alias("x"), F.max("component").alias("y"))
@@ -327,14 +362,19 @@ def nearest_across(members: DataFrame, percent: int) -> DataFrame:
     return _met(members, F.col("alone") / F.col("n"), _common_allows(percent))
 
 
-def all_across(members: DataFrame, percent: int) -> DataFrame:
-    """All pairs of members of different components, as far as their common shingles allow a link,
-    from the first band (of ``keys``) that they share."""
-    a, b = members.alias("a"), members.alias("b")
-    apart = F.col("a.component") < F.col("b.component")
-    earlier = F.arrays_overlap(*(F.slice(f"{x}.keys", F.lit(1), F.col("a.band")) for x in "ab"))
-    allowed = _common_allows(percent) & ~earlier
-    return _ordered_pairs(a.join(b, (F.col("a.key") == F.col("b.key")) & apart & allowed))
+def all_across(rare: DataFrame, percent: int) -> DataFrame:
+    """All pairs of different components that have one of their ``rare`` shingles (id, component, n,
+    place, shingle; rarest first) in common, with enough shingles from there on for a link.
+
+    The smaller set of a linked pair has a common one among its first (100 - p) / (100 + p) n + 1, the
+    larger one among its first (100 - p) / 100 n + 1."""
+    a = rare.where(F.col("place") * (100 + percent) <= F.col("n") * (100 - percent)).alias("a")
+    b = rare.alias("b")
+    apart = F.col("a.component") != F.col("b.component")
+    larger = F.struct("a.n", "a.id") < F.struct("b.n", "b.id")
+    rest = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place"))
+    enough = (100 + percent) * rest >= percent * (F.col("a.n") + F.col("b.n"))
+    return _ordered_pairs(a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & apart & larger & enough))
 
 
 def _agreeing(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
@@ -390,18 +430,16 @@ def cluster(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     ids = left.select("id", "n").distinct()
     total = ids.agg(F.sum("n")).first()[0]
     if total:
-        alone = stage(alone_counts(sets.join(ids.select("id").distinct(), "id", "left_semi"), total), "alone")
-        keys = heads.select("id", _keys(percent).alias("keys")).join(alone, "id").dropDuplicates(["id"])
-        known = stage(keys, "alone")
+        these = sets.join(ids.select("id").distinct(), "id", "left_semi")
+        counted = stage(shingle_counts(these, total, percent), "shingle_counts")
+        members = _now(left.drop("component").join(alone_counts(counted), "id"), found)
         done = first.union(more)
-        for meet in (nearest_across, all_across):
-            now = found.withColumnRenamed("node", "id")
-            members = (
-                left.drop("component").join(known, "id").join(now, "id", "left")
-                .withColumn("component", F.coalesce("component", "id"))
-            )
-            open_ = meet(members, percent).join(done, ["u", "v"], "left_anti")
-            found = _joined(found, stage(_confirmed(open_, sets, percent), "links"))
+        open_ = nearest_across(members, percent).join(done, ["u", "v"], "left_anti")
+        found = _joined(found, stage(_confirmed(open_, sets, percent), "links"))
+        rare = counted.select("id", "n", F.posexplode("rare").alias("place", "r")).select("id", "n", "place", "r.*")
+        rare = stage(_now(rare.where("times > 1"), found), "rare")
+        open_ = all_across(rare, percent).join(done, ["u", "v"], "left_anti")
+        found = _joined(found, stage(_confirmed(open_, sets, percent), "links"))
     component = F.when(
         F.col("n_shingles") > 0, F.coalesce("component", "id", "doc_id")
     ).otherwise(F.col("doc_id"))

@@ -211,3 +211,35 @@ def test_repeats_of_rows_without_an_own_id(spark):
     got = [tuple(x) for x in suffixes.report(table).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
     assert all(n_removed <= n_bytes for _, n_bytes, n_removed, _, _ in got)
+
+
+def test_texts_that_share_bands_but_no_links_are_not_compared_all_with_all(spark, monkeypatch):
+    """Copies with four words left out: few shingles are in one copy only, hardly any pair is linked."""
+    r = random.Random(11)
+    base, texts = _words(150, r), []
+    for _ in range(150):
+        out = set(r.sample(range(150), 4))
+        texts.append(" ".join(w for i, w in enumerate(base) if i not in out))
+    compared, confirmed = [], minhash._confirmed
+
+    def counting(pairs, sets, percent):
+        compared.append(pairs.count())
+        return confirmed(pairs, sets, percent)
+
+    monkeypatch.setattr(minhash, "_confirmed", counting)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"]: x["component_id"] for x in minhash.cluster(docs).collect()}
+    assert got == dict(enumerate(_components(texts)[1]))
+    assert len(compared) == 4 and compared[-1] < 3 * len(texts), compared
+
+
+def test_sets_of_unlike_sizes_are_linked_by_their_rare_shingles(spark):
+    """At the least similarity, 85 of 100: all members of a set are in a larger one."""
+    a, b, c = list(range(85)), list(range(100)), list(range(1, 100))
+    rows = [(i, np.array(x, np.uint64).tobytes()) for i, x in enumerate([a, b, c])]
+    counted = minhash.shingle_counts(spark.createDataFrame(rows, "id long, set binary"), 284, 85)
+    rare = counted.select("id", "n", F.posexplode("rare").alias("place", "r")).select("id", "n", "place", "r.*", F.col("id").alias("component"))
+    got = {tuple(x) for x in minhash.all_across(rare, 85).collect()}
+    assert (0, 1) in got and (1, 2) in got
+    alone = {x["id"]: x["alone"] for x in minhash.alone_counts(counted).collect()}
+    assert alone == {0: 0, 1: 0, 2: 0}
