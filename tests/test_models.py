@@ -211,3 +211,14 @@ def test_what_a_sibling_leaves_is_the_other_childs_mean(spark):
     train = model.transform(df.where("split = 'train'")).groupBy(F.round("prediction", 9).alias("p"))
     leaves = train.agg(F.avg(boosting.LABEL).alias("mean")).collect()
     assert len(leaves) > 4 and all(r["p"] == pytest.approx(r["mean"]) for r in leaves)
+
+
+def test_rows_reach_their_leaves_at_any_depth():
+    """Leaves above the last level, and only the first rows of a block."""
+    tree = boosting.Tree(
+        np.array([1, -1, 0, -1, -1]), np.array([5, 0, 62, 0, 0]), np.array([1, 0, 3, 0, 0]),
+        np.zeros(5), np.ones(5), np.zeros(5), 2,
+    )
+    bins = np.array([[63, 63, 0, 62, 63], [5, 6, 6, 6, 63]], np.uint8)
+    assert tree.places(bins, 4).tolist() == [1, 4, 3, 3]
+    assert tree.places(bins, 5).tolist() == [1, 4, 3, 3, 4]
