@@ -23,7 +23,7 @@ one document, linked through any of their texts. Other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -164,9 +164,8 @@ def _with_both(pairs: DataFrame, of: DataFrame, column: str) -> DataFrame:
     return pairs.join(left, "u").join(right, "v").select("u", "v", "su", "sv")
 
 
-def _sizes_allow(percent: int) -> Column:
-    low, high = F.least("a.n", "b.n"), F.greatest("a.n", "b.n")
-    return 100 * low >= percent * high
+def _sizes_allow(percent: int, a: Column, b: Column) -> Column:
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
 def _ordered_pairs(joined: DataFrame) -> DataFrame:
@@ -210,7 +209,8 @@ def first_candidates(shared: DataFrame, percent: int) -> DataFrame:
     allowing, so that the edits of a text agree on few partners."""
     first = shared.groupBy("key").agg(F.min(F.struct("place", "id", "n")).alias("f")).select("key", "f.*")
     a, b = shared.alias("a"), first.alias("b")
-    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") != F.col("b.id")) & _sizes_allow(percent))
+    allowed = _sizes_allow(percent, F.col("a.n"), F.col("b.n"))
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") != F.col("b.id")) & allowed)
     return (
         met.groupBy(F.col("a.id").alias("id"))
         .agg(F.min(F.struct("b.place", "b.id")).alias("f"))
@@ -228,21 +228,31 @@ def _outside(members: DataFrame) -> DataFrame:
     )
 
 
-def _met(members: DataFrame, order: Column, allowed: Column) -> DataFrame:
-    """Pairs of different components: each member outside its bucket's largest component with the
-    first ``CENTERS`` inside and the first ``CENTERS`` outside. In buckets of up to ``CENTERS`` + 1
-    members these are all such pairs."""
+def _partners(members: DataFrame, order: Column, allowed: Callable[[Column], Column]) -> DataFrame:
+    """id, others: for each member outside its bucket's largest component those of other components
+    among the first ``CENTERS`` inside and the first ``CENTERS`` outside, as far as ``allowed`` (of
+    one of them). In buckets of up to ``CENTERS`` + 1 members these are all such pairs.
+
+    Each bucket has one list of centers, so a member and a center that share many buckets meet once."""
     marked = _outside(members)
     rank = F.row_number().over(Window.partitionBy("key", "outside").orderBy(order, "id"))
     centers = marked.withColumn("rank", rank).where(F.col("rank") <= CENTERS)
-    a, b = marked.where("outside").alias("a"), centers.alias("b")
-    apart = F.col("a.component") != F.col("b.component")
-    return _ordered_pairs(a.join(b, (F.col("a.key") == F.col("b.key")) & apart & allowed))
+    compared = [c for c in ("id", "component", "n", "alone") if c in members.columns]
+    lists = centers.groupBy("key").agg(F.collect_list(F.struct(*compared)).alias("centers"))
+    apart = F.filter("centers", lambda c: (c["component"] != F.col("component")) & allowed(c))
+    met = marked.where("outside").join(lists, "key").select("id", F.transform(apart, lambda c: c["id"]).alias("others"))
+    return met.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("others"))
+
+
+def _met(members: DataFrame, order: Column, allowed: Callable[[Column], Column]) -> DataFrame:
+    """The pairs of ``_partners``, the lesser id first."""
+    pairs = _partners(members, order, allowed).select("id", F.explode("others").alias("other"))
+    return pairs.select(F.least("id", "other").alias("u"), F.greatest("id", "other").alias("v")).distinct()
 
 
 def candidates(members: DataFrame, percent: int) -> DataFrame:
     """Pairs of members of open buckets with the first members of other components, sizes allowing."""
-    return _met(members, F.col("place"), _sizes_allow(percent))
+    return _met(members, F.col("place"), lambda c: _sizes_allow(percent, F.col("n"), c["n"]))
 
 
 def _dealt(slices: int):
@@ -351,15 +361,15 @@ def open_members(shared: DataFrame, found: DataFrame) -> DataFrame:
     )
 
 
-def _common_allows(percent: int) -> Column:
-    common = F.least(F.col("a.n") - F.col("a.alone"), F.col("b.n") - F.col("b.alone"))
-    return 100 * common >= percent * (F.col("a.n") + F.col("b.n") - common)
+def _common_allows(percent: int, c: Column) -> Column:
+    common = F.least(F.col("n") - F.col("alone"), c["n"] - c["alone"])
+    return 100 * common >= percent * (F.col("n") + c["n"] - common)
 
 
 def nearest_across(members: DataFrame, percent: int) -> DataFrame:
     """As ``candidates``, but with the members that have the smallest share alone, as far as the
     common shingles allow a link."""
-    return _met(members, F.col("alone") / F.col("n"), _common_allows(percent))
+    return _met(members, F.col("alone") / F.col("n"), lambda c: _common_allows(percent, c))
 
 
 def all_across(rare: DataFrame, percent: int) -> DataFrame:

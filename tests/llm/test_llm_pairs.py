@@ -243,3 +243,29 @@ def test_sets_of_unlike_sizes_are_linked_by_their_rare_shingles(spark):
     assert (0, 1) in got and (1, 2) in got
     alone = {x["id"]: x["alone"] for x in minhash.alone_counts(counted).collect()}
     assert alone == {0: 0, 1: 0, 2: 0}
+
+
+def test_members_that_share_many_buckets_meet_once(spark):
+    """Each bucket had every member meet its centers anew."""
+    r = random.Random(8)
+    rows = [
+        (key, id_, r.randint(80, 120), id_ % 7, 40, id_ // 3 * 3)
+        for key in range(24) for id_ in range(40) if key < 20 or r.random() < 0.5
+    ]
+    members = spark.createDataFrame(rows, "key long, id long, n long, place long, members long, component long")
+    expected = set()
+    for key in range(24):
+        own = [x for x in rows if x[0] == key]
+        sizes = {}
+        for x in own:
+            sizes[x[5]] = sizes.get(x[5], 0) + 1
+        largest = max((n, c) for c, n in sizes.items())[1]
+        outside, inside = ([x for x in own if (x[5] != largest) == side] for side in (True, False))
+        centers = [y for side in (outside, inside) for y in sorted(side, key=lambda x: (x[3], x[1]))[: minhash.CENTERS]]
+        for x in outside:
+            for y in centers:
+                if x[5] != y[5] and 100 * min(x[2], y[2]) >= 85 * max(x[2], y[2]):
+                    expected.add((min(x[1], y[1]), max(x[1], y[1])))
+    assert {tuple(x) for x in minhash.candidates(members, 85).collect()} == expected
+    met = minhash._partners(members, F.col("place"), lambda c: F.lit(True)).collect()
+    assert len(met) == len({x.id for x in met}) and all(len(x.others) == len(set(x.others)) for x in met)
