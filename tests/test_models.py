@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from py4j.clientserver import ClientServerConnection
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
@@ -222,3 +223,25 @@ def test_rows_reach_their_leaves_at_any_depth():
     bins = np.array([[63, 63, 0, 62, 63], [5, 6, 6, 6, 63]], np.uint8)
     assert tree.places(bins, 4).tolist() == [1, 4, 3, 3]
     assert tree.places(bins, 5).tolist() == [1, 4, 3, 3, 4]
+
+
+def test_small_tables_make_few_blocks():
+    """Below some 100,000 rows a block costs more to start than to count."""
+    assert [boosting.blocks_for(n, 12) for n in (1, 25_000, 100_000, 400_000, 2_500_000)] == [1, 1, 2, 4, 10]
+    assert boosting.blocks_for(18_000_000, 12) == 36
+
+
+def test_a_model_is_made_with_few_calls(spark, monkeypatch):
+    n = 255
+    inner = np.arange(n) < n // 2
+    tree = boosting.Tree(
+        np.where(inner, 0, -1), np.where(inner, np.arange(n) % 3, 0), np.where(inner, 2 * np.arange(n) + 1, 0),
+        np.arange(n) * 1.5, np.full(n, 10.0), np.where(inner, 2.0, 0.0), 7,
+    )
+    calls, send = [], ClientServerConnection.send_command
+    monkeypatch.setattr(ClientServerConnection, "send_command", lambda self, x: calls.append(x) or send(self, x))
+    model = boosting._ensemble([tree], [1.0], [np.array([0.5, 1.5, 2.5])], spark.range(1))
+    assert len(calls) < 12 * n
+    assert model.trees[0].numNodes == n and model.trees[0].depth == 7
+    assert model.predict(Vectors.dense([0.0])) == 1.5 * (n // 2)  # always left
+    assert model.featureImportances.toArray().tolist() == [1.0]
