@@ -472,8 +472,9 @@ def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span replaced; texts without spans, and null ones, stay as they are. Texts are
     searched twice, for the classifier and for the result, and not written in between."""
     names = docs.columns
-    known = find_candidates(docs.select("text")).select("spans").where(F.size("spans") > 0)
-    spans = final_spans(trained(stage(known, "candidates")))
+    # Filtered after it is written: a filter above would be pushed down to the texts with the whole search in it.
+    known = stage(find_candidates(docs.select("text")).select("spans"), "candidates").where(F.size("spans") > 0)
+    spans = final_spans(trained(known))
     found = find_candidates(docs.select("text", F.struct(*names).alias("doc"))).withColumn("spans", spans)
     text = F.when(F.size("spans") == 0, F.col("text")).otherwise(_redacted(F.col("text"), F.col("spans")))
     out = found.withColumn("text", text)

@@ -363,3 +363,21 @@ def test_the_weights_of_the_classifier_are_one_literal(spark):
     assert scored.first().x == 0.25 + weights[0] + weights[7] + weights[1023]
     plan = scored._jdf.queryExecution().analyzed().toString()
     assert plan.count("split(") == 1 and "array(" not in plan
+
+
+def test_redaction_searches_its_texts_once_a_pass(spark, monkeypatch):
+    """A filter on the spans would repeat the whole search in the plan, many times over."""
+    sizes, written = [], pii.stage
+
+    def stage(df, label):
+        if label == "candidates":
+            sizes.append(len(df._jdf.queryExecution().optimizedPlan().toString()))
+        return written(df, label)
+
+    monkeypatch.setattr(pii, "stage", stage)
+    texts = ["mail me at a.b@example.org", "call 555 123 4567 now", "nothing", "", None, "host 300.1.2.3 and 10.1.2.3"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.redact(rows).collect()}
+    assert got[0] == "mail me at <EMAIL>" and got[2] == "nothing" and got[3] == "" and got[4] is None
+    assert "10.1.2.3" not in got[5]
+    assert len(sizes) == 1 and sizes[0] < 200_000
