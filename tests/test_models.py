@@ -245,3 +245,44 @@ def test_a_model_is_made_with_few_calls(spark, monkeypatch):
     assert model.trees[0].numNodes == n and model.trees[0].depth == 7
     assert model.predict(Vectors.dense([0.0])) == 1.5 * (n // 2)  # always left
     assert model.featureImportances.toArray().tolist() == [1.0]
+
+
+def test_small_tables_take_few_jobs(spark):
+    """One task does the rounds, in slices of 1, 2, 4 ... of them."""
+    assert 0 < _jobs(spark, 31, 3) - _jobs(spark, 1, 3) <= 6
+
+
+@pytest.mark.parametrize("share", [1.0, 0.5])
+def test_one_task_fits_what_many_blocks_do(spark, monkeypatch, share):
+    settings = Boosting(iterations=5, depth=4, learning_rate=0.3, row_fraction=share, feature_fraction="0.7", patience=100)
+    one = models.fit(_noisy(spark), NOISY, settings)
+    monkeypatch.setattr(boosting, "ONE_BLOCK", 0)
+    monkeypatch.setattr(boosting, "TASK_ROWS", 25)
+    monkeypatch.setattr(boosting, "CUT_EVERY", 2)
+    many = models.fit(_noisy(spark).repartition(7), NOISY, settings)
+    assert one.validation_losses == pytest.approx(many.validation_losses)
+    assert [t.numNodes for t in one.trees.trees] == [t.numNodes for t in many.trees.trees]
+
+
+@pytest.mark.parametrize("width", [1, 6, 12])
+def test_words_hold_the_bins_of_several_features(width):
+    """Counts and places are those of a word for each feature."""
+    draw, sizes = np.random.default_rng(3), [64, 2, 1, 7, 64, 12, 3, 5]
+    bins = np.stack([draw.integers(0, n, 400) for n in sizes]).astype(np.uint8)
+    fields = boosting.Fields.of(sizes, width)
+    assert len(fields.pack(bins)) < len(sizes)
+    tree = boosting.Tree(
+        np.array([4, -1, 5, -1, -1]), np.array([30, 0, 6, 0, 0]), np.array([1, 0, 3, 0, 0]),
+        np.zeros(5), np.ones(5), np.zeros(5), 2,
+    )
+    places = tree.places(bins, 400)
+    assert set(places) == {1, 3, 4}
+    assert tree.places(fields.pack(bins), 400, fields).tolist() == places.tolist()
+    rest, none = draw.normal(size=400), np.zeros(400, np.int8)
+    block = boosting.Block(400, fields.pack(bins), rest, none, fields)
+    (counted,) = boosting._count(block, tree, np.array([-1, -1, -1, 0, 1]), 1.0, 0)
+    for slot, node in enumerate((3, 4)):
+        at = places == node
+        for f, column in enumerate(bins):
+            assert counted[0, slot, f].tolist() == np.bincount(column[at], minlength=64).tolist()
+            assert counted[1, slot, f] == pytest.approx(np.bincount(column[at], rest[at], 64))
