@@ -286,3 +286,25 @@ def test_words_hold_the_bins_of_several_features(width):
         for f, column in enumerate(bins):
             assert counted[0, slot, f].tolist() == np.bincount(column[at], minlength=64).tolist()
             assert counted[1, slot, f] == pytest.approx(np.bincount(column[at], rest[at], 64))
+
+
+def test_a_large_model_is_read_from_a_table_of_its_nodes(spark, monkeypatch):
+    """The calls do not grow with the nodes, and the model is that of calls."""
+    n = 511
+    inner = np.arange(n) < n // 2
+    full = boosting.Tree(
+        np.where(inner, np.arange(n) % 2, -1), np.where(inner, np.arange(n) % 3, 0), np.where(inner, 2 * np.arange(n) + 1, 0),
+        np.arange(n) * 1.5, np.full(n, 10.0), np.where(inner, 2.0 + np.arange(n), 0.0), 8,
+    )
+    mean = boosting.Tree(*(np.array([x]) for x in (-1, 0, 0, 7.0, 20.0, 0.0)))
+    cuts, calls, send = [np.array([0.5, 1.5, 2.5]), np.array([1.0, 2.0, 3.0])], [], ClientServerConnection.send_command
+    monkeypatch.setattr(ClientServerConnection, "send_command", lambda self, x: calls.append(x) or send(self, x))
+    trees, weights = [mean, full, full, full, full], [1.0, 0.1, 0.2, 0.3, 0.4]
+    large = boosting._ensemble(trees, weights, cuts, spark.range(1))
+    assert len(calls) < 4 * n  # by calls some 12 a node
+    calls.clear()
+    called = boosting._called(trees, weights, cuts, spark.range(1))
+    for x in np.random.default_rng(0).uniform(0, 4, (50, 2)):
+        assert large.predict(Vectors.dense(x)) == called.predict(Vectors.dense(x))
+    assert large.treeWeights == called.treeWeights and large.toDebugString.split("\n")[1:] == called.toDebugString.split("\n")[1:]
+    assert large.featureImportances == called.featureImportances and large.getFeaturesCol() == boosting.FEATURES
