@@ -308,3 +308,21 @@ def test_a_large_model_is_read_from_a_table_of_its_nodes(spark, monkeypatch):
         assert large.predict(Vectors.dense(x)) == called.predict(Vectors.dense(x))
     assert large.treeWeights == called.treeWeights and large.toDebugString.split("\n")[1:] == called.toDebugString.split("\n")[1:]
     assert large.featureImportances == called.featureImportances and large.getFeaturesCol() == boosting.FEATURES
+
+
+def test_tasks_go_through_several_blocks(spark, monkeypatch):
+    """A task takes longer to start than a block to count; and no round of tasks leaves cores idle."""
+    assert [boosting.tasks_for(n, 12) for n in (1, 4, 12, 13, 36, 48, 49, 216)] == [1, 4, 12, 12, 12, 12, 24, 60]
+    one = models.fit(_noisy(spark), NOISY, Boosting(iterations=3, depth=3, patience=100))
+    monkeypatch.setattr(boosting, "ONE_BLOCK", 0)
+    monkeypatch.setattr(boosting, "BLOCK_ROWS", 30)
+    seen = []
+    across = boosting._boost_across
+    monkeypatch.setattr(boosting, "_boost_across", lambda state, b: seen.append(state.glom().map(len).collect()) or across(state, b))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    try:
+        many = models.fit(_noisy(spark), NOISY, Boosting(iterations=3, depth=3, patience=100))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(seen[0]) == 8 and sum(seen[0]) > 8
+    assert one.validation_losses == pytest.approx(many.validation_losses)
