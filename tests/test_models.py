@@ -301,7 +301,7 @@ def test_a_large_model_is_read_from_a_table_of_its_nodes(spark, monkeypatch):
     monkeypatch.setattr(ClientServerConnection, "send_command", lambda self, x: calls.append(x) or send(self, x))
     trees, weights = [mean, full, full, full, full], [1.0, 0.1, 0.2, 0.3, 0.4]
     large = boosting._ensemble(trees, weights, cuts, spark.range(1))
-    assert len(calls) < 4 * n  # by calls some 12 a node
+    assert sum(not x.startswith("m") for x in calls) < 4 * n  # without releases of older objects; by calls some 12 a node
     calls.clear()
     called = boosting._called(trees, weights, cuts, spark.range(1))
     for x in np.random.default_rng(0).uniform(0, 4, (50, 2)):
@@ -319,10 +319,6 @@ def test_tasks_go_through_several_blocks(spark, monkeypatch):
     seen = []
     across = boosting._boost_across
     monkeypatch.setattr(boosting, "_boost_across", lambda state, b: seen.append(state.glom().map(len).collect()) or across(state, b))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
-    try:
-        many = models.fit(_noisy(spark), NOISY, Boosting(iterations=3, depth=3, patience=100))
-    finally:
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    assert len(seen[0]) == 8 and sum(seen[0]) > 8
+    many = models.fit(_noisy(spark), NOISY, Boosting(iterations=3, depth=3, patience=100))
+    assert len(seen[0]) == 8 and max(seen[0]) > 1
     assert one.validation_losses == pytest.approx(many.validation_losses)
